@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing
+from . import decontaminate, neardup, packing, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op8_quality": quality.op8_quality,
 }
 ORACLES = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op6_near_duplicates": neardup.OP6_SQL,
 }
