@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 
 Run = tuple[tuple[int, ...], int]
 _ENCODERS: dict[str, object] = {}
@@ -29,17 +29,18 @@ def encoder(name: str = "byte_bpe_50k"):
     if name not in _ENCODERS:
         import public_tokenizers as P
         import tiktoken
-        from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(P.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow: list[Tokenizer] = []
+        slow: list = []
 
         def encode(text: str) -> np.ndarray:
             if "<|" in text:
                 if not slow:
+                    from tokenizers import Tokenizer
+
                     slow.append(Tokenizer.from_file(P.path(f"{name}.json")))
                 return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
             return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4")
@@ -69,6 +70,7 @@ def pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, doc: str = "doc_i
                     at, k = at + n, k + 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc].dataType.simpleString()
     return docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
