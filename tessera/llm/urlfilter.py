@@ -42,6 +42,10 @@ def matched(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
+def _hashed(name: str, chars: Column, n: int, buckets: int):
+    return lambda i: F.pmod(F.xxhash64(F.lit(name), F.array_join(F.slice(chars, i + 1, n), "")), F.lit(buckets)).cast("int")
+
+
 def grams(host: Column, path: Column, buckets: int, sizes: tuple[int, ...] = (3, 4)) -> Column:
     """Distinct buckets of the character n-grams of host and path, each with its ends marked and hashed apart."""
     found = []
@@ -49,7 +53,7 @@ def grams(host: Column, path: Column, buckets: int, sizes: tuple[int, ...] = (3,
         chars = F.concat(F.array(F.lit("^")), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("$")))
         for n in sizes:
             at = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
-            found.append(F.transform(at, lambda i, c=chars, n=n, name=name: F.pmod(F.xxhash64(F.lit(name), F.array_join(F.slice(c, i + 1, n), "")), F.lit(buckets)).cast("int")))
+            found.append(F.transform(at, _hashed(name, chars, n, buckets)))
     return F.array_distinct(F.concat(*found))
 
 
@@ -64,7 +68,8 @@ def train(labelled: DataFrame, buckets: int = 4096, max_rows: int = 192, rounds:
     one = rows.agg(F.collect_list(F.struct("g", "label")).alias("r")).where(F.size("r") > 0)
     norm = lambda r: F.sqrt(F.size(r["g"]).cast("double"))
     kernel = F.transform("r", lambda a: F.transform("r", lambda b: F.size(F.array_intersect(a["g"], b["g"])) / (norm(a) * norm(b)) + 1.0))
-    one = one.select("r", kernel.alias("k"))
+    # written, for an inlined matrix would be computed anew for each of its uses
+    one = stash(one.select("r", kernel.alias("k")), "kernel")
     n = F.size("r").cast("double")
 
     def step(alpha: Column, _: Column) -> Column:
@@ -88,9 +93,9 @@ def train(labelled: DataFrame, buckets: int = 4096, max_rows: int = 192, rounds:
 def chance(host: Column, path: Column, weights: list[float]) -> Column:
     """The model's chance that a url is to be allowed."""
     w = F.from_json(F.lit(json.dumps([round(x, 9) for x in weights])), "array<double>")
-    g = grams(host, path, len(weights) - 1)
-    dot = F.aggregate(g, F.lit(0.0), lambda s, i: s + F.get(w, i))
-    return 1 / (1 + F.exp(-(dot / F.sqrt(F.size(g).cast("double")) + F.lit(weights[-1]))))
+    dot = lambda g: F.aggregate(g, F.lit(0.0), lambda s, i: s + F.get(w, i))
+    logit = lambda g: dot(g) / F.sqrt(F.size(g).cast("double")) + F.lit(weights[-1])
+    return 1 / (1 + F.exp(-F.transform(F.array(grams(host, path, len(weights) - 1)), logit)[0]))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, url: str = "url", cut: float = 0.5) -> DataFrame:
