@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SOLID, Words, blocks, mix, stash
+from .common import SOLID, Words, blocks, mix, small_batches, stash
 
 #: 25 bands of 5: a pair at 0.85 shares none with a chance of 4e-7.
 BANDS, ROWS = 25, 5
@@ -112,7 +112,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
     held: list[np.ndarray] | None = None
 
     def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint32).reshape(-1, _N) if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns]
+        read = {"sig": lambda c: np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint32).reshape(-1, _N), "text": lambda c: np.array([*c.to_pylist(), None], dtype=object)[:-1]}
+        return [read.get(name, pa.Array.to_numpy)(c) for name, c in zip(b.schema.names, b.columns, strict=True)]
 
     for b in batches:
         if not b.num_rows:
@@ -170,25 +171,56 @@ def _forest(percent: int, steps: list[tuple[int, int]]):
 
 
 def _across(steps: list[tuple[int, int]]):
-    """Rows (bucket, low block, high block, block, node, label, sig): all pairs of different components that may be
-    similar enough, each in the first band that the two share."""
+    """Rows (bucket, low block, high block, block, node, label, sig) to (bucket, low, high, node): those with a pair of
+    another component that may be similar enough, a pair counting in the first band that its two share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, low, high, block, node, label, sig in _groups(batches, 3):
-            bands = band_hashes(sig)
-            one = low[0] == high[0]
-            us, vs = [], []
-            for i in range(len(node)):
-                if not one and block[i] != low[0]:
-                    continue
-                o = np.arange(i + 1, len(node)) if one else np.flatnonzero(block != low[0])
-                o = o[label[o] != label[i]]
-                o = o[(bands[o] == bands[i]).argmax(1) == (bands[i] == bucket[0]).argmax()] if len(o) else o
-                o, _ = _alive(sig, i, o, steps)
-                us.append(np.minimum(node[i], node[o]))
-                vs.append(np.maximum(node[i], node[o]))
-            if us and sum(map(len, us)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            seen = np.zeros(len(node), dtype=bool)
+            for i, o, _ in _crossing(bucket[0], low[0] == high[0], block == low[0], label, sig, steps):
+                seen[i] = True
+                seen[o] = True
+            if seen.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (bucket, low, high, node)], ["bucket", "low", "high", "node"])
+
+    return run
+
+
+def _crossing(bucket: int, one: bool, left: np.ndarray, label: np.ndarray, sig: np.ndarray, steps: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, matches) of the pairs of different labels: within one block, or of the left with the right block."""
+    bands = band_hashes(sig)
+    for i in range(len(label)) if one else np.flatnonzero(left):
+        o = np.arange(i + 1, len(label)) if one else np.flatnonzero(~left)
+        o = o[label[o] != label[i]]
+        if len(o):
+            o = o[(bands[o] == bands[i]).argmax(1) == (bands[i] == bucket).argmax()]
+            o, m = _alive(sig, i, o, steps)
+            if len(o):
+                yield int(i), o, m
+
+
+def _linked(percent: int, steps: list[tuple[int, int]]):
+    """Rows as of _across() with text to the links (u, v) that join different components, verified on full sets. The
+    likeliest come first, and what a found link has joined is not compared again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, low, high, block, node, label, sig, text in _groups(batches, 3):
+            names, at = np.unique(label, return_inverse=True)
+            parent, sets, us, vs = list(range(len(names))), {}, [], []
+
+            def full(i: int, text=text, sets=sets) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = np.unique(shingles([text[i]])[0])
+                return sets[i]
+
+            for i, o, m in _crossing(bucket[0], low[0] == high[0], block == low[0], label, sig, steps):
+                for j in o[np.argsort(-m, kind="stable")].tolist():
+                    if (x := _find(parent, at[i])) != (y := _find(parent, at[j])) and _similar(full(i), full(j), percent):
+                        parent[x] = y
+                        us.append(node[i])
+                        vs.append(node[j])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(us, vs)), pa.array(np.maximum(us, vs))], ["u", "v"])
 
     return run
 
@@ -244,7 +276,7 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def classify(docs: DataFrame, percent: int = 85, miss: float = 1e-6, block: int = 1024, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, percent: int = 85, miss: float = 1e-6, block: int = 512, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key, n_shingles, component_id and grp (the component; null without words) of every row of docs.
 
     key hashes doc_id and text and finds the row again. Links join texts with 100 * common >= percent * united
@@ -253,6 +285,7 @@ def classify(docs: DataFrame, percent: int = 85, miss: float = 1e-6, block: int
     of candidates are cut into blocks and compared block against block, so no bucket is too large for a task and
     none is capped. Empty table: no rows.
     """
+    small_batches(docs.sparkSession)
     steps = least_matches(percent, miss)
     kind = docs.schema[doc].dataType.simpleString()
     rows = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(doc), F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
@@ -288,8 +321,11 @@ def classify(docs: DataFrame, percent: int = 85, miss: float = 1e-6, block: int
     mixed = named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
     far = named.join(mixed, "bucket", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     far = far.join(sigs, "node").select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sig")
-    far = far.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    more = similar(far.mapInArrow(_across(steps), "u long, v long"))
+    keys = ["bucket", "low", "high"]
+    far = far.repartition(*keys).sortWithinPartitions(*keys)
+    wanted = stash(far.mapInArrow(_across(steps), "bucket long, low long, high long, node long"), "wanted")
+    wanted = wanted.join(named.select("bucket", "node", "block", "label"), ["bucket", "node"]).join(texts, "node").select(*keys, "block", "node", "label", "sig", "text")
+    more = stash(wanted.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(percent, steps), "u long, v long"), "similar")
     labels = stash(components(links.unionByName(more)), "labels")
 
     grouped = classes.select("digest", "node", "doc_id").join(labels, "node", "left").withColumn("grp", F.coalesce("label", "node"))
