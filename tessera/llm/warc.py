@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash_path
+from .common import small_batches, stash, stash_path
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
@@ -41,21 +41,23 @@ def _record(kind: str, ident: Column, fields: list[tuple[str, Column]], block: C
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, page: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, broadcast_rows: int = 200_000, page: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes the captures of pages as WARC files below path.
 
     Files are text whose lines end in the two line ends that close a record, so Spark's own committer writes them and
     a lost executor's files are written again. Of the pages with equal payloads of at least `least` bytes, that with
     the smallest page_id (then the first in the table) is a response and the others revisit it; smaller payloads are
-    all responses. Equal payloads are found by digest: the smallest page of each is aggregated on the map side first,
-    and the join back is one that Spark may split where a digest is hot.
+    all responses. Equal payloads are found by digest: the smallest page of each is aggregated on the map side first.
+    Only digests that repeat go back to the pages: broadcast where they are at most broadcast_rows, else by a join that
+    Spark may split where a digest is hot.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page).cast("string").alias("name"), F.col(page).alias("page"), F.regexp_replace(F.col(url), r"[\x00-\x20\x7f]", "_").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     first = F.min(F.struct(F.col("page").isNull(), F.col("page"), F.col("row")))
-    chosen = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(first.alias("f")).select("digest", F.col("f.page").cast("string").alias("to"), F.col("f.row").alias("to_row"))
-    rows = rows.join(chosen, "digest", "left")
+    chosen = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    chosen = stash(chosen.select("digest", F.col("f.page").cast("string").alias("to"), F.col("f.row").alias("to_row")), "repeated")
+    rows = rows.join(F.broadcast(chosen) if chosen.limit(broadcast_rows + 1).count() <= broadcast_rows else chosen, "digest", "left")
     ident = lambda kind, name, row: F.concat(F.lit(f"urn:capture:{kind}:"), F.coalesce(name, F.lit("")), F.lit(":"), row.cast("string"))
     name, row = F.col("name"), F.col("row")
     again = F.coalesce(F.col("to_row") != row, F.lit(False))
