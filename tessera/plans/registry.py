@@ -6,5 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None) -> Callable[[Query], Query]:
+    """Registers a query and, where SQL can express it, the SQL with the same rows."""
+
+    def put(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is there already")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
