@@ -213,11 +213,11 @@ def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "do
         if seen > common_words:
             least = r.n + 1
             break
-    best = counts.where((F.col("n") >= least) | (F.col("key") == int(END))).select("key", "n").toArrow()
+    is_head = F.col("key").isin([r.key for r in top] + [int(END)])
+    best = counts.where((F.col("n") >= least) | is_head).select("key", "n").toArrow()
     common = Table(best.column("key").to_numpy().astype(np.int64), best.column("n").to_numpy().astype(np.int64))
     heads = Table(np.array([r.key for r in top], dtype=np.int64), np.arange(1, len(top) + 1))
     held_heads = spark.sparkContext.broadcast(heads)
-    is_head = F.col("key").isin([r.key for r in top] + [int(END)])
     tails = counts.where(~is_head).groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     class_n, class_v = np.zeros(K), np.zeros(K)
     class_n[0] = max(0, int(common.find(np.array([END]), 0)[0]))
@@ -234,7 +234,7 @@ def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "do
     kind = docs.schema[doc].dataType.simpleString()
     part = part.mapInArrow(_scored(held), f"row struct<row: bigint, doc_id: {kind}, held_out: boolean>, n_tokens long, n_known long, base_score double, score double, tail array<long>")
     part = stash(part.select("row.*", "n_tokens", "n_known", "base_score", "score", "tail"), "scored")
-    rare = counts.where((F.col("n") < least) & (F.col("key") != int(END))).select("key", F.col("n").alias("c"))
+    rare = counts.where((F.col("n") < least) & ~is_head).select("key", F.col("n").alias("c"))
     more = part.select("row", F.explode("tail").alias("key")).join(rare, "key").groupBy("row").agg(F.count(F.lit(1)).alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("s"))
     out = part.drop("tail").join(more, "row", "left")
     k, s = F.coalesce("k", F.lit(0)), F.coalesce("s", F.lit(0.0))

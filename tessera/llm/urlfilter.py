@@ -34,11 +34,11 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def matched(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule whose host is the url's or a parent of it and whose path starts the url's."""
-    rule = verdict = None
+    rule = verdict = F.lit(None).cast("string")
     for say, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p))
-        rule = F.when(fits, h + p).otherwise(rule if rule is not None else F.lit(None).cast("string"))
-        verdict = F.when(fits, say).otherwise(verdict if verdict is not None else F.lit(None).cast("string"))
+        rule = F.when(fits, h + p).otherwise(rule)
+        verdict = F.when(fits, say).otherwise(verdict)
     return rule, verdict
 
 

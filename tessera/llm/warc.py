@@ -75,7 +75,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, broadcast_rows:
     facts = F.concat(F.coalesce(F.concat(F.lit("page-id: "), name, F.lit("\r\n")), F.lit("")), F.lit("payload-length: "), F.octet_length("payload").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", ident("metadata", name, row), [target, when, beside, ("Content-Type", F.lit("application/warc-fields"))], facts)
     lines = rows.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
-    lines.write.option("lineSep", _END).text(path)
+    # files of about 32 MB, as each is read whole
+    mean = pages.agg(F.avg(F.octet_length(html))).first()[0] or 0.0
+    lines.write.option("lineSep", _END).option("maxRecordsPerFile", max(30, 3 * int((32 << 20) / (mean + 2000)))).text(path)
 
 
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
