@@ -116,3 +116,16 @@ def zip_ranges(value: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
     j = low.join(high, PIX).join(value, PIX, "left")
     v = F.coalesce("v", (F.col("lo") + F.col("hi")) / 2)
     return j.select(*PIX, F.greatest("lo", F.least("hi", v)).alias("v"), "lo", "hi")
+
+
+def bilinear(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Value of a lattice (i, j, v) at points (fx, fy in cells): four corners, each met by an equi-join; points without
+    all four corners are left out."""
+    i, j = F.floor("fx").cast("int"), F.floor("fy").cast("int")
+    out = points.withColumn("_i", i).withColumn("_j", j)
+    for dx, dy in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        corner = nodes.select((F.col("i") - dx).alias("_i"), (F.col("j") - dy).alias("_j"), F.col("v").alias(f"_v{dx}{dy}"))
+        out = out.join(corner, ["_i", "_j"])
+    tx, ty = F.col("fx") - F.col("_i"), F.col("fy") - F.col("_j")
+    v = F.col("_v00") * (1 - tx) * (1 - ty) + F.col("_v10") * tx * (1 - ty) + F.col("_v01") * (1 - tx) * ty + F.col("_v11") * tx * ty
+    return out.select(*points.columns, v.alias("v"))
