@@ -217,6 +217,7 @@ def half_range(lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
     top = np.float64(65504)
     a, b = (np.clip(x.to_numpy(dtype=np.float64, na_value=np.nan), -top, top) for x in (lo, hi))
     ha, hb = a.astype(np.float16), b.astype(np.float16)
-    ha = np.where(ha.astype(np.float64) > a, np.nextafter(ha, np.float16(-np.inf)), ha)
-    hb = np.where(hb.astype(np.float64) < b, np.nextafter(hb, np.float16(np.inf)), hb)
+    with np.errstate(over="ignore"):  # the step beyond the largest number is computed, not taken
+        ha = np.where(ha.astype(np.float64) > a, np.nextafter(ha, np.float16(-np.inf)), ha)
+        hb = np.where(hb.astype(np.float64) < b, np.nextafter(hb, np.float16(np.inf)), hb)
     return pd.DataFrame({"lo": ha.astype(np.float64), "hi": hb.astype(np.float64)})
