@@ -25,7 +25,7 @@ END = np.int64(-(2**63))
 
 
 def tail_class(w: Words) -> np.ndarray:
-    """0..TAILS-1 from the last three bytes of each word and whether it is short."""
+    """0..TAILS-1 from the last three bytes of each word."""
     last = w.buf[w.end - 1].astype(np.uint64)
     mid = w.buf[np.maximum(w.end - 2, w.start)].astype(np.uint64)
     third = w.buf[np.maximum(w.end - 3, w.start)].astype(np.uint64)

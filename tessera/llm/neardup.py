@@ -8,7 +8,7 @@ on their full shingle sets. Only what decides the components is compared: pairs
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from math import comb
 
@@ -266,12 +266,14 @@ def components(links: DataFrame) -> DataFrame:
         if state == mark or not state[0]:
             break
         mark = state
+        # as many tasks and files as the links are worth, however many partitions the session has
+        tasks = max(1, state[0] // 250_000)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+        edges = stash(small.unionByName(least.withColumnRenamed("m", "v")).distinct().coalesce(tasks), "links")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
