@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, blocks
+from .common import ALNUM, Words, blocks, small_batches
 
 NEW = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 _BITS = 20
@@ -128,6 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     if mode not in ("flag", "documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("t IS NOT NULL")
     total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     n_blocks = -(-total // block_bytes) or 1
