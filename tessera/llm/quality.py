@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SOLID, Words, blocks
+from .common import SOLID, Words, blocks, small_batches
 
 #: Hashed shapes of words (which classes of bytes they start and end with, and their length).
 SHAPES = 256
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     """Fits on at most about max_labelled labelled rows, chosen by a hash of their doc_id (the documented bound of
     the sample; all rows where there are fewer). Rows whose crc32(doc_id) mod 4 is 2 are held out. Null labels and
     labels other than 0 and 1 are skipped; a doc_id labelled twice counts as often."""
+    small_batches(docs.sparkSession)
     chosen = labels.select(F.col(doc).alias("_doc"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND _doc IS NOT NULL")
     if held_out:
         chosen = chosen.where(F.crc32(F.col("_doc").cast("string").cast("binary")) % 4 != 2)
@@ -144,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
 def score(docs: DataFrame, model: Ranker, text: str = "text", cut: float = 0.7) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 where score >= cut). Null text counts as empty and is scored too;
     input columns named score or predicted are replaced; repeated rows have equal scores."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
