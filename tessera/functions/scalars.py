@@ -211,6 +211,55 @@ def tile_of(name: Column) -> list[Column]:
     return [F.nullif(F.regexp_extract(name, form, i), F.lit("")).cast(t) for i, t in ((1, "int"), (2, "int"), (3, "int"), (4, "string"))]
 
 
+def quadkey(lod: Column, x: Column, y: Column) -> Column:
+    """Digits 0 to 3 of the tile's path from the root; the root's is empty."""
+    digit = lambda i: F.call_function("shiftright", x, lod - i).bitwiseAND(1) + 2 * F.call_function("shiftright", y, lod - i).bitwiseAND(1)
+    steps = F.when(lod > 0, F.sequence(F.lit(1), lod)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(steps, lambda i: digit(i).cast("string")), "")
+
+
+def skirt_height(width: Column) -> Column:
+    return width * 0.01
+
+
+def ini_values(text: Column) -> Column:
+    """Map of the lines "key = value" of a configuration text."""
+    return F.str_to_map(F.regexp_replace(F.trim(text), r"[ \t]*=[ \t]*", "="), F.lit("\n"), F.lit("="))
+
+
+#: Fixed names of files by interface.
+NAMED_FILES = {
+    "surface": {"mapConfig.json": "config", "tileset.conf": "config", "debug.json": "config", "tileset.index": "index", "tileset.registry": "registry", "style.json": "style", "freelayer.json": "definition"},
+    "geodata": {"mapConfig.json": "config", "freelayer.json": "definition", "style.json": "style", "geo": "geo"},
+    "terrain": {"layer.json": "definition", "cesium.conf": "config"},
+    "wmts": {"WMTSCapabilities.xml": "capabilities"},
+}
+#: Fixed extensions of tiles by interface.
+TILE_FILES = {
+    "surface": {"meta": "tile", "bin": "tile", "nav": "tile"},
+    "geodata": {"geo": "geo", "meta": "metatile"},
+    "terrain": {"terrain": "terrain"},
+    "wmts": {"jpg": "image", "png": "image"},
+}
+
+
+def classify_name(interface: Column, name: Column, tiled: bool = True) -> Column:
+    """What a file name asks for at an interface: a named file, a tile lod-x-y.extension, or "unknown". Geodata that is
+    not tiled has one file and no tiles."""
+    ext = F.regexp_extract(name, r"^\d+-\d+-\d+\.([a-z0-9]+)$", 1)
+    out = F.lit("unknown")
+    for kind, names in NAMED_FILES.items():
+        tiles = {} if kind == "geodata" and not tiled else TILE_FILES[kind]
+        if kind == "geodata" and tiled:
+            names = {k: v for k, v in names.items() if k != "geo"}
+        found = F.lit("unknown")
+        for column, table in ((ext, tiles), (name, names)):
+            for k, v in table.items():
+                found = F.when(column == k, v).otherwise(found)
+        out = F.when(interface == kind, found).otherwise(out)
+    return out
+
+
 @F.pandas_udf(StructType([StructField("lo", DoubleType()), StructField("hi", DoubleType())]))
 def half_range(lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
     """The narrowest pair of half-precision numbers around a range, kept within the largest finite one."""

@@ -121,3 +121,40 @@ def next_id(df: DataFrame, column: str, start: int) -> DataFrame:
 
 def dataset_kind(bands: Column, byte: Column) -> Column:
     return F.when(byte & bands.between(1, 4), "ophoto").when((bands == 1) & ~byte, "dem").when(bands == 0, "vector").otherwise("error")
+
+
+def free_layer(ident: Column, generator: int, rev: Column, style: Column, display_size: int, lods: Column) -> Column:
+    """JSON of a free layer: url templates of metatiles and geodata, style, display size, range of levels."""
+    url = lambda ext: F.concat(F.lit("{lod}-{x}-{y}."), F.lit(ext), F.lit(f"?gr={generator}&r="), rev.cast("string"))
+    return F.to_json(F.struct(ident.alias("id"), F.lit("geodata-tiles").alias("type"), url("meta").alias("metaUrl"), url("geo").alias("geodataUrl"), style.alias("style"), F.lit(display_size).alias("displaySize"), lods.alias("lodRange")))
+
+
+def map_config(own: DataFrame, other: DataFrame, link: str) -> DataFrame:
+    """Layers (map id -> url) of each resource with those of the resource that `link` names: their paths are made
+    relative, and its own layers win. other: id, layers."""
+    j = own.join(other.select(F.col("id").alias(link), F.col("layers").alias("_more")), link, "left")
+    held = F.map_keys("layers")
+    more = F.transform_values(F.map_filter(F.coalesce("_more", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(held, k)), lambda _, v: F.concat(F.lit("../"), F.col(link).cast("string"), F.lit("/"), v))
+    return j.withColumn("layers", F.map_concat("layers", more)).drop("_more")
+
+
+def style(source: Column, layers: Column, light: Column) -> Column:
+    """JSON of an introspection style: sources, terrain, layers and illumination."""
+    return F.to_json(F.struct(F.lit(2).alias("version"), F.struct(F.struct(F.lit("surface").alias("type"), source.alias("url")).alias("main")).alias("sources"), F.struct(F.array(F.lit("main")).alias("sources")).alias("terrain"), layers.alias("layers"), F.struct(F.array(F.lit("tracking"), light, F.lit("45")).alias("light")).alias("illumination")))
+
+
+def tile_matrix_xml(lod: Column, denominator: Column, width: Column) -> Column:
+    """One matrix of a tile matrix set as XML."""
+    return F.concat(F.lit("<TileMatrix><Identifier>"), lod.cast("string"), F.lit("</Identifier><ScaleDenominator>"), F.format_string("%.6f", denominator), F.lit("</ScaleDenominator><MatrixWidth>"), width.cast("string"), F.lit("</MatrixWidth></TileMatrix>"))
+
+
+def definition_json(group: Column, ident: Column, kind: Column, driver: Column, rev: Column, template: bool = False) -> Column:
+    """A definition as it is read; a template has the group TEMPLATE."""
+    g = F.lit("TEMPLATE") if template else group
+    return F.to_json(F.struct(g.alias("group"), ident.alias("id"), kind.alias("type"), driver.alias("driver"), rev.alias("revision")))
+
+
+def with_aliases(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Records (rf, id, dataset) and the alias records (rf, alias, id) of those that are there."""
+    found = aliases.join(records, ["rf", "id"]).select("rf", F.col("alias").alias("id"), "dataset")
+    return records.select("rf", "id", "dataset").unionByName(found)

@@ -177,3 +177,22 @@ def in_ranges(lod: Column, x: Column, y: Column, lods: tuple[int, int], box: tup
     up = F.greatest(lod - lods[0], F.lit(0))
     ax, ay = F.call_function("shiftright", x, up), F.call_function("shiftright", y, up)
     return lod.between(*lods) & ax.between(box[0], box[2]) & ay.between(box[1], box[3])
+
+
+def uniform_quads(cells: DataFrame, order: int, value: str = "flags") -> DataFrame:
+    """The quadtree of pages of 2^order x 2^order cells (x, y, value) with uniform quadrants collapsed: s (cells to a
+    side as a power of two), x, y at that size, value. A quadrant is uniform where all its cells are there and equal;
+    only the largest are kept. One explosion to the sizes and one aggregation; no quadrant is collected."""
+    up = cells.select("x", "y", F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(order))).alias("s"))
+    up = up.select("s", F.expr("shiftright(x, s)").alias("x"), F.expr("shiftright(y, s)").alias("y"), "v")
+    whole = up.groupBy("s", "x", "y").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    even = whole.where((F.col("lo") == F.col("hi")) & (F.col("n") == F.pow(F.lit(4.0), "s").cast("long"))).select("s", "x", "y", F.col("lo").alias(value))
+    above = even.where("s > 0").select(F.explode(F.array(*[F.struct((F.col("s") - 1).alias("s"), (F.col("x") * 2 + i % 2).alias("x"), (F.col("y") * 2 + i // 2).alias("y")) for i in range(4)])).alias("q")).select("q.*")
+    return even.join(above, ["s", "x", "y"], "left_anti")
+
+
+def siblings(index: DataFrame) -> DataFrame:
+    """Each tile with how many of its parent's four children there are and whether all of those are watertight."""
+    w = Window.partitionBy("lod", F.shiftright("x", 1), F.shiftright("y", 1))
+    tight = F.col("flags").bitwiseAND(WATERTIGHT) != 0
+    return index.select(*TILE, F.count(F.lit(1)).over(w).alias("n"), F.bool_and(tight).over(w).alias("all_watertight"))

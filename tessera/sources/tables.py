@@ -82,17 +82,34 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def obj_mesh(lines: DataFrame, column: str = "line") -> tuple[DataFrame, DataFrame]:
-    """(vertices (vid, x, y, z), faces (fid, a, b, c, material)) of OBJ text with a line number column n."""
+def numbered(df: DataFrame, n: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """df with its rows numbered from 1 in the order of the whole numbers in n. Rows are numbered in blocks of n, which
+    start at the count of the rows before: no task sees more than a block, the counts of blocks are few."""
+    from pyspark.sql import Window
+
+    keyed = df.withColumn("_block", F.floor(F.col(n) / block))
+    counts = keyed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(n))
+    return keyed.withColumn("_rank", rank).join(before, "_block").withColumn(name, (F.col("_rank") + F.col("_before")).cast("int")).drop("_block", "_rank", "_before")
+
+
+def obj_mesh(lines: DataFrame, column: str = "line", block: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """(vertices (vid, x, y, z), faces (fid, a, b, c, material)) of OBJ text with a line number column n. A face's
+    material is the one named last before it ("mesh" before any), found in its block of lines or else in the blocks
+    before."""
     from pyspark.sql import Window
 
     number = r"(-?[0-9.]+)"
-    v = lines.where(F.col(column).startswith("v "))
-    v = v.select(F.row_number().over(Window.orderBy("n")).alias("vid"), *[F.regexp_extract(column, rf"^v +{number} +{number} +{number}", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
-    material = F.last(F.when(F.col(column).startswith("usemtl "), F.substring(column, 8, 1000)), ignorenulls=True).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    f = lines.withColumn("material", F.coalesce(material, F.lit("mesh"))).where(F.col(column).startswith("f "))
+    v = numbered(lines.where(F.col(column).startswith("v ")), "n", "vid", block)
+    v = v.select("vid", *[F.regexp_extract(column, rf"^v +{number} +{number} +{number}", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
+    keyed = lines.withColumn("_b", F.floor(F.col("n") / block)).withColumn("_m", F.when(F.col(column).startswith("usemtl "), F.substring(column, 8, 1000)))
+    own = F.last("_m", ignorenulls=True).over(Window.partitionBy("_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    ends = keyed.groupBy("_b").agg(F.max_by("_m", F.when(F.col("_m").isNotNull(), F.col("n"))).alias("_e"))
+    carried = ends.select("_b", F.last("_e", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    f = keyed.withColumn("_own", own).where(F.col(column).startswith("f ")).join(carried, "_b").withColumn("material", F.coalesce("_own", "_carried", F.lit("mesh")))
     face = r"^f +(\d+)[^ ]* +(\d+)[^ ]* +(\d+)"
-    f = f.select(F.row_number().over(Window.orderBy("n")).alias("fid"), *[F.regexp_extract(column, face, i + 1).cast("int").alias(c) for i, c in enumerate("abc")], "material")
+    f = numbered(f, "n", "fid", block).select("fid", *[F.regexp_extract(column, face, i + 1).cast("int").alias(c) for i, c in enumerate("abc")], "material")
     return v, f
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import catalogue, pyramid, raster
-from tessera.plans import more_queries, plugins, queries, registry  # noqa: F401
+from tessera.plans import more_queries, plugins, queries, registry, service_queries  # noqa: F401
 from tessera.sources import store, tables
 from tessera.streaming import refresh
 
