@@ -117,26 +117,30 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, rounds: int = 300, l2
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, text, place) to (label, features, place)."""
     for b in batches:
         rows: list[bytes] = []
         for _, part in blocks(b.column(1).to_pylist()):
             rows += [r.tobytes() for r in features(part)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], ["label", "x", "place"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 8000, doc: str = "doc_id", text: str = "text", held_out: bool = True) -> Ranker:
     """Fits on at most about max_labelled labelled rows, chosen by a hash of their doc_id (the documented bound of
     the sample; all rows where there are fewer). Rows whose crc32(doc_id) mod 4 is 2 are held out. Null labels and
-    labels other than 0 and 1 are skipped; a doc_id labelled twice counts as often."""
+    labels other than 0 and 1 are skipped. A doc_id labelled twice alike counts once, one that repeats in docs
+    as often, within twice max_labelled rows in all: beyond that, those of the smallest hashes of doc_id and text."""
     small_batches(docs.sparkSession)
-    chosen = labels.select(F.col(doc).alias("_doc"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND _doc IS NOT NULL")
+    chosen = labels.select(F.col(doc).alias("_doc"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND _doc IS NOT NULL").distinct()
     if held_out:
         chosen = chosen.where(F.crc32(F.col("_doc").cast("string").cast("binary")) % 4 != 2)
     n = chosen.count()
     if n > max_labelled:
         chosen = chosen.where(F.pmod(F.xxhash64("_doc"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
     texts = docs.select(F.col(doc).alias("_doc"), F.col(text).cast("binary").alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_doc").select("label", "_text").mapInArrow(_featured, "label int, x binary")
+    rows = texts.join(F.broadcast(chosen), "_doc").select("label", "_text", F.xxhash64("_doc", "_text").alias("place"))
+    rows = rows.mapInArrow(_featured, "label int, x binary, place long")
+    rows = rows.orderBy("place", "label").limit(2 * max_labelled)
     found = sorted((r.label, bytes(r.x)) for r in rows.toLocalIterator())
     x = np.frombuffer(b"".join(x for _, x in found), dtype=np.float32).reshape(-1, N_STATS + SHAPES).astype(np.float64)
     return fit(x, np.array([y for y, _ in found], dtype=np.int64))

@@ -340,3 +340,25 @@ def test_pipeline_against_its_parts(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == clean
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "pack"]
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    text = [(i, prose(i, 40), "own score", i * 1.5, f"hits {i}", f"key {i}") for i in range(12)]
+    docs = spark.createDataFrame(text, "doc_id long, text string, score string, predicted double, n_hit string, _key string")
+    labels = spark.createDataFrame([(i, 1) for i in range(12)] + [(0, 1)] * 5, "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b1", prose(3, 40))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [r for r in sorted(text)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_out = stage(spark, docs, str(tmp_path))
+        assert docs_out.columns == docs.columns
+        left = [r for r in want if not (name == "decontaminate" and r[0] == 3)]
+        assert sorted(tuple(r) for r in docs_out.collect()) == left
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 300 + [(3, "b4d w0rds")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 400 + [(3, 0)] * 400, "doc_id long, quality int")
+    model = quality.train(docs, labels, max_labelled=20, held_out=False)
+    got = {r.doc_id: r.predicted for r in quality.score(docs, model).select("doc_id", "predicted").distinct().collect()}
+    assert set(got) == {1, 3}
