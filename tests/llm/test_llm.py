@@ -135,7 +135,7 @@ def test_decontaminate(spark, docs, rows, block):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
-def brute_components(rows, percent=85):
+def brute_components(rows, percent):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
@@ -159,12 +159,12 @@ def brute_components(rows, percent=85):
     return sets, [least[find(i)] for i in range(len(rows))], [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_duplicates(spark, docs, rows, block):
-    sets, least, groups = brute_components(rows)
-    got = neardup.classify(docs, block=block).select("doc_id", "n_shingles", "component_id").collect()
+@pytest.mark.parametrize(("percent", "block"), [(85, 512), (85, 4), (80, 512)])
+def test_near_duplicates(spark, docs, rows, percent, block):
+    sets, least, groups = brute_components(rows, percent)
+    got = neardup.classify(docs, percent, block=block).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == Counter((d, len(s), c) for (d, _), s, c in zip(rows, sets, least, strict=True))
-    kept = neardup.near_dedup(docs, block=block)
+    kept = neardup.near_dedup(docs, percent=percent, block=block)
     assert kept.columns == docs.columns
     n_groups = len({g for g, s in zip(groups, sets, strict=True) if s}) + sum(not s for s in sets)
     assert kept.count() == n_groups
@@ -332,7 +332,7 @@ def test_pipeline_against_its_parts(spark):
     good = corpus_pipeline.good(spark, docs, SF)
     assert good.columns == docs.columns
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    _, least, _ = brute_components(rows)
+    _, least, _ = brute_components(rows, 80)
     first = {d for (d, _), c in zip(rows, least, strict=True) if d == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     left = [(d, t) for d, t in rows if d in first]
