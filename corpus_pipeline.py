@@ -26,7 +26,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates (five words, a similarity of 0.8 or more)."""
     return keeping(docs, ["_key", "_bare"], neardup.near_dedup)
 
 
