@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Generic, TypeVar
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 
 from tessera.functions.scalars import superelevation
 
@@ -47,3 +47,20 @@ HEIGHTS.register("superelevation", _superelevation)
 def height_function(definition: dict | None) -> Callable[[Column], Column]:
     """The function of a definition; none leaves heights as they are."""
     return HEIGHTS.get(definition["function"])(definition) if definition else lambda h: h
+
+
+def provider(generator: object, interface: str, use: Callable[[object], T]) -> T:
+    """use(generator), where it offers the interface; an error says that it does not."""
+    if not callable(getattr(generator, interface, None)):
+        raise TypeError(f"{type(generator).__name__} provides no {interface}")
+    return use(generator)
+
+
+def postprocessed(features: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """features through each step in turn; a step keeps all columns, or is an error."""
+    out = features
+    for step in steps:
+        out = out.transform(step)
+        if lost := [c for c in features.columns if c not in out.columns]:
+            raise ValueError(f"a step dropped {lost}")
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,24 @@ from tessera.operators.catalogue import digest
 VERSION = 2
 
 
+_OWN: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; in one of this process where that is unset (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
+        top = f"file://{_OWN[0]}"
+    return f"{top.rstrip('/')}/tessera-engine/{name}-{uuid.uuid4().hex}"
+
+
+def read_tiles(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Tiles as write_tiles() lays them out; columns: schema of those beside lod. Conditions on lod prune folders."""
+    return spark.read.schema(f"{columns}, lod int").parquet(path)
+
+
 def write_tiles(df: DataFrame, path: str) -> None:
     """Partitioned by level, in page order within files, so that a level or a page is few row groups."""
     df.repartitionByRange("lod", "y", "x").sortWithinPartitions("lod", "y", "x").write.partitionBy("lod").parquet(path)

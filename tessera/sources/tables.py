@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OPEN: dict[tuple[int, str], DataFrame] = {}
+
+
+def open_once(spark: SparkSession, path: str) -> DataFrame:
+    """The table at a path: listed and planned at first use in a session, the same afterwards. Files that come later are
+    seen after spark.catalog.refreshByPath(path)."""
+    key = (id(spark), path)
+    if key not in _OPEN or _OPEN[key].sparkSession is not spark:
+        _OPEN[key] = spark.read.parquet(path)
+    return _OPEN[key]
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """px, py, z (null: no data), mask (0 or 255), l_suppkey."""
     li = table(spark, sf_dir, "lineitem")

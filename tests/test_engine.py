@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import math
+import threading
+import time
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import png
 from tessera.functions import scalars as S
 from tessera.operators import catalogue, pyramid, raster
-from tessera.plans import more_queries, plugins, queries, registry, service_queries  # noqa: F401
-from tessera.sources import store, tables
-from tessera.streaming import refresh
+from tessera.plans import more_queries, plugins, queries, registry, service_queries, store_queries  # noqa: F401
+from tessera.sources import definitions, store, tables
+from tessera.streaming import jobs, refresh
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,3 +130,62 @@ def test_digest_follows_rows_not_order(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") * 2).alias("v"))
     a, b, c = (catalogue.digest(x, ["id", "v"]).first()[0] for x in (df, df.orderBy(F.desc("id")).repartition(7), df.where("id <> 3")))
     assert a == b != c
+
+
+def test_png_round_trip():
+    grey = (np.arange(5 * 9).reshape(5, 9) * 37 % 256).astype(np.uint8)
+    data = png.encode(grey)
+    assert (png.decode(data) == grey).all()
+    assert data[12:16] == b"IHDR" and data[-8:-4] == b"IEND"
+    with pytest.raises(ValueError):
+        png.decode(data.replace(b"IHDR", b"IHDX"))
+
+
+def test_includes(spark, tmp_path):
+    entry = lambda i: {"group": "g", "id": i, "type": "tms", "driver": "x", "referenceFrames": {"earth": {"lodRange": [1, 2]}}}
+    (tmp_path / "sub").mkdir()
+    files = {
+        "main.json": [entry("a"), {"include": ["sub/b.json", "sub/nothing-*.json"]}, {"include": "sub/*.json"}],
+        "sub/b.json": entry("b"), "sub/c.json": [{"include": "../d.json"}, entry("c")], "d.json": [entry("d")],
+        "twice.json": [entry("d"), {"include": "d.json"}], "lost.json": [{"include": "no.json"}], "ring.json": [{"include": "ring.json"}, entry("r")],
+    }
+    for name, what in files.items():
+        (tmp_path / name).write_text(json.dumps(what, indent=1))
+    load = lambda name: sorted(r.id for r in definitions.load_resources(spark, f"file://{tmp_path}/{name}").collect())
+    assert load("main.json") == ["a", "b", "c", "d"]
+    assert load("ring.json") == ["r"]
+    with pytest.raises(ValueError, match="duplicate"):
+        load("twice.json")
+    for name in ("lost.json", "absent.json"):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+            definitions.ConfFile(spark, f"file://{tmp_path}/{name}")
+
+
+def test_abort_ends_a_job(spark):
+    said = []
+
+    def sleepy():
+        try:
+            jobs.abortable(spark, "slow", lambda: spark.range(10**14).selectExpr("sum(sqrt(id))").collect())
+        except Exception as e:
+            said.append(str(e))
+
+    t = threading.Thread(target=sleepy)
+    t.start()
+    for _ in range(100):
+        time.sleep(0.2)
+        jobs.abort(spark, "slow")
+        if said:
+            break
+    t.join(20)
+    assert said and "cancel" in said[0].lower()
+    assert spark.range(10).count() == 10
+
+
+def test_a_step_that_drops_columns_fails(spark):
+    df = spark.range(3).withColumn("v", F.lit(1))
+    assert plugins.postprocessed(df, lambda f: f.withColumn("w", F.col("v"))).columns == ["id", "v", "w"]
+    with pytest.raises(ValueError, match="dropped"):
+        plugins.postprocessed(df, lambda f: f.drop("v"))
+    with pytest.raises(TypeError, match="provides no"):
+        plugins.provider(object(), "tileset", lambda p: p)
