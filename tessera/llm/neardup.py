@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 from math import comb
 
@@ -317,16 +318,25 @@ def classify(docs: DataFrame, percent: int = 80, miss: float = 1e-6, block: int
     links = similar(near.mapInArrow(_forest(percent, steps), "u long, v long"))
     labels = stash(components(links), "labels")
 
-    # what is left: buckets whose members are of different components
-    named = dealt.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # what is left: buckets whose members are of different components. The members of a bucket's largest component
+    # need no comparing with each other: they get blocks of their own, which meet only the blocks of the rest
+    named = dealt.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stash(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-    far = named.join(mixed, "bucket", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # the largest by count, then by label, in one number, which a hash aggregation can hold
+    rank = F.col("m").cast("decimal(38,0)") * F.lit(Decimal(10**19)) + F.col("label")
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).withColumn("rank", rank.cast("decimal(38,0)"))
+    sizes = sizes.groupBy("bucket").agg(F.max("rank").alias("rank"), F.max("m").alias("m"), F.sum("m").alias("n")).where("n > m")
+    most = (F.col("rank") % F.lit(Decimal(10**19))).cast("long")
+    sizes = sizes.select("bucket", most.alias("most"), F.ceil(F.col("m") / block).alias("lots"), F.ceil((F.col("n") - F.col("m")) / block).alias("few"))
+    mine, spot = F.col("label") == F.col("most"), F.xxhash64("node")
+    mixed = named.join(sizes, "bucket").withColumn("block", F.when(mine, F.col("few") + F.pmod(spot, F.col("lots"))).otherwise(F.pmod(spot, F.col("few"))))
+    mixed = stash(mixed.select("bucket", "node", "label", "block", F.when(mine, F.col("few")).otherwise(F.col("few") + F.col("lots")).alias("others")), "mixed")
+    far = mixed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     far = far.join(sigs, "node").select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sig")
     keys = ["bucket", "low", "high"]
     far = far.repartition(*keys).sortWithinPartitions(*keys)
     wanted = stash(far.mapInArrow(_across(steps), "bucket long, low long, high long, node long"), "wanted")
-    wanted = wanted.join(named.select("bucket", "node", "block", "label"), ["bucket", "node"]).join(texts, "node").select(*keys, "block", "node", "label", "sig", "text")
+    wanted = wanted.join(mixed.select("bucket", "node", "block", "label"), ["bucket", "node"]).join(texts, "node").select(*keys, "block", "node", "label", "sig", "text")
     more = stash(wanted.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(percent, steps), "u long, v long"), "similar")
     labels = stash(components(links.unionByName(more)), "labels")
 
