@@ -2,12 +2,15 @@
 
 Counts of all training tokens give the add-one unigram base. The frequent words are classes of their own; the others
 fall into classes by how they end, so that unseen words have a class too. Counts of neighbouring classes over all
-training texts are what the model is trained on; products of its matrices give one normalised table of class given
-class before, and a word's share within its class is its add-one count there.
+training texts are what the model of classes is trained on. Then every training word of OWN occurrences or more gets a
+context vector and an output vector of its own, where all its occurrences meet: the class after is predicted by the
+word's vector, the word within its class by its output vector and the class before. Both factors are normalised over
+all classes and over all words of the class. Rarer words keep their class's vector and their add-one share.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,10 @@ from .common import SOLID, Words, blocks, mix, small_batches, stash
 #: Classes: the end token, single frequent words, and classes of the other words.
 HEAD, TAILS = 767, 256
 K = 1 + HEAD + TAILS
+#: Training occurrences from which a word has vectors of its own.
+OWN = 3
+#: An occurrence of a word of the tail classes: row * 4 + 2 (count not broadcast) + 1 (learnt), class before, class after.
+PLACE = np.dtype([("row", "<i8"), ("before", "<i2"), ("after", "<i2")])
 #: The end token's key among the hashes of words.
 END = np.int64(-(2**63))
 
@@ -104,8 +111,19 @@ def _pairs(held):
 
 
 def train_nce(pairs: np.ndarray, counts: np.ndarray, dims: int = 48, steps: int = 1500, batch: int = 4096, noise: int = 256, rate: float = 0.1, seed: int = 11) -> np.ndarray:
-    """log10 P(after | before), K x K, of a log-bilinear model: the context vector of the class before, through a
-    bilinear form, against the vector of the class after, plus a bias.
+    """log10 P(after | before), K x K, of the model that train_vectors() gives."""
+    return _table(*train_vectors(pairs, counts, dims, steps, batch, noise, rate, seed))
+
+
+def _table(h: np.ndarray, r: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logits = h @ r.T + bias
+    logits -= logits.max(1, keepdims=True)
+    return ((logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
+
+
+def train_vectors(pairs: np.ndarray, counts: np.ndarray, dims: int = 48, steps: int = 1500, batch: int = 4096, noise: int = 256, rate: float = 0.1, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context vectors, output vectors and biases of a log-bilinear model of classes: the context vector of the class
+    before, through a bilinear form (already applied), against the vector of the class after, plus a bias.
 
     pairs: (before, after, count) rows over the whole corpus, from which batches are drawn in proportion. NCE tells
     each true pair from noise drawn by class counts; the batch shares its noise, so a step is a few matrix products.
@@ -142,20 +160,207 @@ def train_nce(pairs: np.ndarray, counts: np.ndarray, dims: int = 48, steps: int
                 gx /= batch
                 s += gx * gx
                 x += step * gx / np.sqrt(s)
-    logits = (q @ c) @ r.T + bias
-    logits -= logits.max(1, keepdims=True)
-    return ((logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
+    return q @ c, r, bias
+
+
+def _climb(start: np.ndarray, value, solve, tries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the best vector of some damped Newton steps from zero, and what `value` says of it: value gives
+    objective, gradient and a dense matrix of rows; solve turns gradients into steps. A step that does not better the
+    objective is not taken."""
+    best, (gain, gradient, dense) = start, value(start)
+    way, length = solve(gradient), np.ones((len(start), 1), dtype=np.float32)
+    for _ in range(tries):
+        got = best + length * way
+        new, gradient, there = value(got)
+        good = (new > gain)[:, None]
+        best, dense, gain = np.where(good, got, best), np.where(good, there, dense), np.maximum(new, gain)
+        way, length = np.where(good, solve(gradient), way), np.where(good, np.float32(1), length / 4)
+    return best, dense
+
+
+def _spread(vectors: np.ndarray, share: np.ndarray, centred: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and eigenvectors of the (centred) second moment of vectors by their share."""
+    moment, mean = (vectors * share[:, None]).T @ vectors, share @ vectors
+    e, u = np.linalg.eigh(moment - np.outer(mean, mean) if centred else moment)
+    return np.maximum(e, 0), u
+
+
+def context_vectors(seen: np.ndarray, base: np.ndarray, r: np.ndarray, spread=None, prior: float = 4.0, tries: int = 3) -> np.ndarray:
+    """ln P(class | word) - ln P(class | the word's class), words x classes: each word's own vector, fitted to the
+    classes seen after it (words x classes), with the class's vector as prior. base: ln P(class | class of the words).
+    Every row is normalised over all classes."""
+    n, total = seen.sum(1, keepdims=True), seen @ r
+    e, u = _spread(r, np.exp(base), True) if spread is None else spread
+
+    def value(d):
+        x = d @ r.T
+        top = (x + base).max(1, keepdims=True)
+        w = np.exp(x + base - top)
+        z = w.sum(1, keepdims=True)
+        norm = top + np.log(z)
+        return (d * total).sum(1) - (n * norm)[:, 0] - prior / 2 * (d * d).sum(1), total - n * (w @ r / z) - prior * d, x - norm
+
+    return _climb(np.zeros_like(total), value, lambda g: (g @ u / (n * e + prior)) @ u.T, tries)[1]
+
+
+def _biased(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones((len(h), 1), dtype=h.dtype)], 1)
+
+
+def output_vectors(seen: np.ndarray, around: np.ndarray, h: np.ndarray, spread=None, noise: float = 16.0, prior: float = 4.0, tries: int = 3) -> np.ndarray:
+    """ln of what a word's weight within its class is multiplied by after each class, words x classes: each word's own
+    vector and bias by NCE, with the expected noise of its share in place of drawn noise. seen: counts of classes
+    before the words; around: the same of all words of their class."""
+    n = seen.sum(1, keepdims=True)
+    h, share = _biased(h), around / max(around.sum(), 1)
+    false = noise * n * share
+    e, u = _spread(h, share, False) if spread is None else spread
+    e = e * np.float32(noise / (1 + noise))
+
+    def value(d):
+        x = d @ h.T
+        s = x - np.float32(np.log(noise))
+        odds = np.log1p(np.exp(-np.abs(s)))
+        gain = (seen * (np.minimum(s, 0) - odds)).sum(1) - (false * (np.maximum(s, 0) + odds)).sum(1)
+        true = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        return gain - prior / 2 * (d * d).sum(1), (seen - (seen + false) * true) @ h - prior * d, x
+
+    return _climb(np.zeros((len(seen), h.shape[1]), dtype=np.float32), value, lambda g: (g @ u / (n * e + prior)) @ u.T, tries)[1]
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, held_out, key, own, before, after) to (own, key, places): the occurrences of a batch's words of the tail
+    classes, those of one word together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            lists = b.column(2)
+            own = b.column(3).flatten().to_numpy()
+            place = np.empty(len(own), dtype=PLACE)
+            row = b.column(0).to_numpy() * 4 + ~b.column(1).to_numpy(zero_copy_only=False)
+            place["row"] = np.repeat(row, np.diff(lists.offsets.to_numpy())) + 2 * (own >= TAILS)
+            place["before"], place["after"] = b.column(4).flatten().to_numpy(), b.column(5).flatten().to_numpy()
+            held.append((lists.flatten().to_numpy(), own % TAILS, place))
+        if not held or b is not None and sum(len(x[0]) for x in held) < 500_000:
+            continue
+        key, own, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        held = []
+        order = np.lexsort((key, own))
+        key, own, place = key[order], own[order], place[order]
+        first = np.flatnonzero(np.concatenate([[len(key) > 0], key[1:] != key[:-1]]))
+        for i in range(0, len(first), 50_000):
+            at = first[i : i + 50_000]
+            last = first[i + 50_000] if i + 50_000 < len(first) else len(key)
+            offsets = (np.append(at, last) - at[0]) * PLACE.itemsize
+            data = pa.py_buffer(place[at[0] : last].tobytes())
+            places = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), data])
+            yield pa.RecordBatch.from_arrays([pa.array(own[at].astype(np.int32)), pa.array(key[at]), places], ["own", "key", "places"])
+
+
+def _last_run(key: np.ndarray) -> int:
+    """Where the last run of equal keys starts; 0 for none."""
+    other = np.flatnonzero(key != key[-1]) if len(key) else key
+    return int(other[-1]) + 1 if len(other) else 0
+
+
+def _fitted(held):
+    """(own, key, places), all of a word together and sorted, to (row, k, base, score): what the words' counts and own
+    vectors add to rows; and under -1 - (tail class * K + class before), what they add to the weight of their class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, h, r, around = held.value
+        weight: dict[int, np.ndarray] = {}
+        spreads: dict[int, tuple] = {}
+
+        def fit(b: pa.RecordBatch) -> list[np.ndarray]:
+            own, key, blobs = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            place = np.frombuffer(b"".join(blobs), dtype=PLACE)
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            word = np.repeat(np.cumsum(new) - 1, [len(x) // PLACE.itemsize for x in blobs])
+            own = own[new]
+            learnt, rare = (place["row"] & 1).astype(np.float32), (place["row"] & 2) > 0
+            n = np.bincount(word, weights=learnt, minlength=len(own))
+            base = np.where(rare, np.log10(n + 1)[word], 0.0)
+            score = base.copy()
+            ends = np.searchsorted(word, np.arange(len(own) + 1))
+            for t in np.unique(own):
+                if t not in spreads:
+                    spreads.clear()
+                    spreads[t] = _spread(r, np.exp(table[1 + HEAD + t]), True), _spread(_biased(h), around[t] / max(around[t].sum(), 1), False)
+                who = np.flatnonzero((own == t) & (n >= OWN))
+                for i in range(0, len(who), 512):
+                    some = who[i : i + 512]
+                    size = ends[some + 1] - ends[some]
+                    at = np.repeat(ends[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    line, before, after = np.repeat(np.arange(len(some)), size), place["before"][at].astype(np.int64), place["after"][at].astype(np.int64)
+                    count = lambda c: np.bincount(line * K + c, weights=learnt[at], minlength=len(some) * K).reshape(-1, K).astype(np.float32)  # noqa: E731, B023
+                    x = context_vectors(count(after), table[1 + HEAD + t], r, spreads[t][0])
+                    y = output_vectors(count(before), around[t], h, spreads[t][1])
+                    score[at] += (x[line, after] + y[line, before]) / np.log(10)
+                    weight[t] = weight.get(t, 0) + (n[some] + 1) @ np.expm1(y.astype(np.float64))
+            return [place["row"] >> 2, rare & (n[word] > 0), base, score]
+
+        def merged(parts: list) -> list[np.ndarray]:
+            rows, back = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            return [rows, *(np.bincount(back, weights=np.concatenate([x[i] for x in parts])) for i in (1, 2, 3))]
+
+        def out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(x[0]), 50_000):
+                row, k, base, score = (y[i : i + 50_000] for y in x)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(k.astype(np.int64)), pa.array(base), pa.array(score)], ["row", "k", "base", "score"])
+
+        waiting, size, enough = [], 0, 2 << 20
+        sums: list[list[np.ndarray]] = []
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                waiting.append(b)
+                size += b.nbytes
+            if waiting and (b is None or size >= enough):
+                whole = pa.concat_batches(waiting)
+                key = whole.column(1).to_numpy()
+                # the last word may go on in the next batch
+                cut = len(key) if b is None else _last_run(key)
+                if cut:
+                    sums.append(merged([fit(whole.slice(0, cut))]))
+                waiting = [whole.slice(cut)] if cut < len(key) else []
+                size = sum(x.nbytes for x in waiting)
+                enough = max(2 << 20, 2 * size)
+            if sum(len(x[0]) for x in sums) > 500_000:
+                sums = [merged(sums)]
+                if len(sums[0][0]) > 250_000:
+                    yield from out(sums.pop())
+        if sums:
+            yield from out(merged(sums))
+        for t, w in weight.items():
+            zero = np.zeros(K)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - (int(t) * K + np.arange(K))), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(w)], ["row", "k", "base", "score"])
+
+    return run
+
+
+def _weighed(held):
+    """(row, own, before) to (row, more): the change of the weights of the classes that the words are shares of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.diff(b.column(1).offsets.to_numpy())
+            x = held.value[b.column(1).flatten().to_numpy() % TAILS, b.column(2).flatten().to_numpy()]
+            more = np.bincount(np.repeat(np.arange(len(n)), n), weights=x, minlength=len(n))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(more)], ["row", "more"])
+
+    return run
 
 
 def _scored(held):
-    """(row, text) to (row, n_tokens, n_known, base, score, tail keys): sums over what the broadcast tables decide;
-    the keys of the other words go on to a join with their counts."""
+    """(row, text) to (row, n_tokens, n_known, base, score, key, own, before, after): sums over what the broadcast
+    tables decide; the words of the tail classes go on to where their occurrences meet. own: the tail class, and TAILS
+    more where the word's count is not broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, common, table, shares, base_total = held.value
         for b in batches:
-            out = [[] for _ in range(4)]
-            tails: list[np.ndarray] = []
+            out = [[] for _ in range(8)]
+            n = []
             for _, part in blocks(b.column(1).to_pylist()):
                 w = Words(part, SOLID)
                 cls = _classes(w, heads)
@@ -173,12 +378,15 @@ def _scored(held):
                 out[1].append(np.add.reduceat((known > 0).astype(np.int64), starts))
                 out[2].append(np.add.reduceat(base, starts))
                 out[3].append(np.add.reduceat(table[before, full] + inner, starts))
-                unknown = count < 0
-                keys, own = _keys(w)[unknown], w.owner()[unknown]
-                tails += np.split(keys, np.searchsorted(own, np.arange(1, len(part))))
-            n = np.array([len(t) for t in tails])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(tails)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(x)) for x in out), lists], ["row", "n_tokens", "n_known", "base_score", "score", "tail"])
+                at = np.flatnonzero(full > HEAD)
+                out[4].append(_with_ends(w, _keys(w), END)[0][at])
+                out[5].append((full[at] - 1 - HEAD + np.where(known[at] < 0, TAILS, 0)).astype(np.int16))
+                out[6].append(before[at].astype(np.int16))
+                out[7].append(full[at + 1].astype(np.int16))
+                n.append(np.diff(np.searchsorted(at, np.append(starts, len(full)))))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(n))]).astype(np.int32))
+            cols = [pa.array(np.concatenate(x)) for x in out]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols[:4], *(pa.ListArray.from_arrays(offsets, x) for x in cols[4:])], ["row", "n_tokens", "n_known", "base_score", "score", "key", "own", "before", "after"])
 
     return run
 
@@ -188,11 +396,13 @@ def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "do
 
     held_out: a condition; the other rows are learnt from, all of them, whole. Tokens are words between ASCII white
     space (A-Z lower-cased) and one end. base_score sums log10((c + 1) / (N + V + 1)). score is the model's: the class
-    given the class before, and for words that are no class of their own log10((c + 1) / (n + v + 1)) with the tokens
-    n and distinct words v of their class, which adds to one over known words and one unseen word.
+    given the word before, and for words that are no class of their own their weight among those of their class, given
+    the class before. A weight is c + 1, times what the word's own vector makes of the class before; one unseen word
+    counts as 1 in each class. Both factors add to one.
 
     Words are keyed by 64-bit hashes. The common_words most frequent are broadcast (a fixed bound, about 16 bytes
-    each); the rest of a text's words meet their counts in a shuffle, so vocabularies of any size are exact. Null or
+    each); the words of the tail classes meet their counts and vectors in a shuffle, so vocabularies of any size are
+    exact. Their context vectors, output vectors and biases are learnt there from all their training occurrences. Null or
     empty text: the end alone. Null doc_id is scored; repeated rows each. No training rows: every count is 0 and the
     model is uniform over classes. An empty table gives no rows.
     """
@@ -226,19 +436,36 @@ def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "do
     for r in tails:
         class_n[1 + HEAD + r.tail], class_v[1 + HEAD + r.tail] = r.n, r.v
     pairs = learnt.mapInArrow(_pairs(held_heads), "before int, after int, n long").groupBy("before", "after").agg(F.sum("n").alias("n")).orderBy("before", "after").toArrow()
-    table = train_nce(np.stack([pairs.column(c).to_numpy() for c in ("before", "after", "n")], 1).astype(np.int64), class_n, steps=steps)
+    pairs = np.stack([pairs.column(c).to_numpy() for c in ("before", "after", "n")], 1).astype(np.int64)
+    h, r, bias = train_vectors(pairs, class_n, steps=steps)
+    table = _table(h, r, bias)
     shares = np.log10(class_n + class_v + 1)
     held = spark.sparkContext.broadcast((heads, common, table, shares, np.log10(n + v + 1)))
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
     part = keyed.select(F.struct("row", "doc_id", "held_out").alias("row"), "text")
     kind = docs.schema[doc].dataType.simpleString()
-    part = part.mapInArrow(_scored(held), f"row struct<row: bigint, doc_id: {kind}, held_out: boolean>, n_tokens long, n_known long, base_score double, score double, tail array<long>")
-    part = stash(part.select("row.*", "n_tokens", "n_known", "base_score", "score", "tail"), "scored")
-    rare = counts.where((F.col("n") < least) & ~is_head).select("key", F.col("n").alias("c"))
-    more = part.select("row", F.explode("tail").alias("key")).join(rare, "key").groupBy("row").agg(F.count(F.lit(1)).alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("s"))
-    out = part.drop("tail").join(more, "row", "left")
-    k, s = F.coalesce("k", F.lit(0)), F.coalesce("s", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + k).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + s).alias("base_score"), (F.col("score") + s).alias("score"))
+    lists = "key array<bigint>, own array<smallint>, before array<smallint>, after array<smallint>"
+    part = part.mapInArrow(_scored(held), f"row struct<row: bigint, doc_id: {kind}, held_out: boolean>, n_tokens long, n_known long, base_score double, score double, {lists}")
+    part = stash(part.select("row.*", "n_tokens", "n_known", "base_score", "score", "key", "own", "before", "after"), "scored")
+    around = np.zeros((TAILS, K), dtype=np.float32)
+    tail = pairs[pairs[:, 1] > HEAD]
+    around[tail[:, 1] - 1 - HEAD, tail[:, 0]] = tail[:, 2]
+    own = spark.sparkContext.broadcast((table * np.float32(np.log(10)), h.astype(np.float32), r.astype(np.float32), around))
+    # the words of a tail class in few tasks, so that the weights they add stay few: about 4,000 words each
+    split = F.pmod("key", F.lit(1 + v // (4_000 * TAILS)))
+    places = part.select("row", "held_out", "key", "own", "before", "after").mapInArrow(_places, "own int, key long, places binary")
+    fitted = stash(places.repartition("own", split).sortWithinPartitions("own", "key").mapInArrow(_fitted(own), "row long, k long, base double, score double"), "fitted")
+    weight = fitted.where("row < 0").groupBy("row").agg(F.sum("score").alias("w")).toArrow()
+    added = np.zeros(TAILS * K)
+    added[-1 - weight.column("row").to_numpy()] = weight.column("w").to_numpy()
+    whole = (class_n + class_v + 1)[1 + HEAD :, None]
+    change = spark.sparkContext.broadcast(-np.log10(np.maximum(whole + added.reshape(TAILS, K), 1) / whole))
+    weighed = part.select("row", "own", "before").mapInArrow(_weighed(change), "row long, more double")
+    zero = F.lit(0.0)
+    more = fitted.where("row >= 0").unionByName(weighed.select("row", F.lit(0).cast("long").alias("k"), zero.alias("base"), F.col("more").alias("score")))
+    more = more.groupBy("row").agg(F.sum("k").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
+    out = part.drop("key", "own", "before", "after").join(more, "row")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("k")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("b")).alias("base_score"), (F.col("score") + F.col("s")).alias("score"))
 
 
 def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:

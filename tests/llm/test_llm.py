@@ -327,6 +327,30 @@ def test_language_model_is_normalised_and_better():
     assert (pairs[:, 2] * (table[pairs[:, 0], pairs[:, 1]] - base[pairs[:, 1]])).sum() > 0
 
 
+def test_language_model_tells_words_of_one_class_apart(spark):
+    fill = [f"f{i}" for i in range(lm.HEAD + 60)]
+    texts = [" ".join(fill[i:] + fill[:i]) for i in range(0, 800, 20)]
+    texts += ["f1 aaaxyz f2"] * 20 + ["f3 bbbxyz f4"] * 20
+    own = ["f1 aaaxyz", "f1 bbbxyz", "aaaxyz f2", "bbbxyz f2", "f1 cccxyz"]
+    df = spark.createDataFrame(list(enumerate(texts + own)), "doc_id long, text string")
+    got = {r.doc_id - len(texts): r.score for r in lm.score(df, F.col("doc_id") >= len(texts), common_words=900, steps=150).where("held_out").collect()}
+    assert got[0] > got[1] + 0.3 and got[2] > got[3] + 0.3 and got[0] > got[4]
+
+
+def test_language_model_own_vectors_are_normalised_and_better():
+    r = np.random.default_rng(5)
+    h, out = r.normal(size=(2, lm.K, 8)).astype(np.float32)
+    base = np.log(r.dirichlet(np.ones(lm.K), 1)[0]).astype(np.float32)
+    seen = np.zeros((3, lm.K), dtype=np.float32)
+    seen[0, 5], seen[1, 5:9], seen[2, 900] = 40, 10, 3
+    x = lm.context_vectors(seen, base, out)
+    assert np.allclose(np.exp(x + base).sum(1), 1, atol=1e-3) and ((seen * x).sum(1) > 0).all()
+    around = seen.sum(0) + r.integers(0, 50, lm.K).astype(np.float32)
+    y = lm.output_vectors(seen, around, h)
+    # against what the words' weights come to on average over the contexts of their class
+    assert ((seen * y).sum(1) / seen.sum(1) > np.log(np.exp(y) @ around / around.sum())).all()
+
+
 def test_pipeline_against_its_parts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = corpus_pipeline.good(spark, docs, SF)
