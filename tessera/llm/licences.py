@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import product
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +74,35 @@ KNOWN = [
 ]
 
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+{1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+_BSD_NAME = """{2} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {holder} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text): the entire licences of the folder licence_texts, named by their file, with and without what
+    follows their terms; and the forms of the BSD licences with two and three clauses."""
+    out = []
+    for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        out.append((f.stem, text))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(f.stem, terms), (f.stem, terms + end)]
+    for (n, name), title, rights, mark, holder in product(((2, ""), (3, _BSD_NAME)), (True, False), ("All rights reserved.\n\n", ""), (("1.", "2.", "3."), ("*",) * 3), ("HOLDER", "OWNER")):
+        head = f"BSD {n}-Clause License\n\n" if title else ""
+        out.append((f"BSD-{n}-Clause", head + rights + (_BSD + name).format(*mark) + _BSD_END.format(holder=holder)))
+    return out
+
+
 def canonical(text: Column) -> Column:
     """A-Z lower-cased; lines that state a copyright dropped; everything but letters, digits and what lies beyond
     ASCII to single spaces; equivalent spellings unified."""
@@ -111,7 +143,7 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", broadcast_rows:
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(docs, known_digests(spark)).drop("text")
+    return scan(docs, known_digests(spark, KNOWN + whole_texts())).drop("text")
 
 
 def _sql() -> str:

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -299,6 +300,16 @@ def test_top_k(spark, block):
     assert topk.top_k(df.where("vec_id = 0"), df.where("vec_id < 3")).count() == 2
 
 
+def test_licence_query_knows_whole_licences(spark, tmp_path):
+    files = sorted((Path(licences.__file__).parent / "licence_texts").glob("*.txt"))
+    texts = [(f.stem, f.read_text(encoding="utf-8")) for f in files]
+    texts.append(("BSD-3-Clause", "Copyright (c) 2013, A and contributors.\nAll rights reserved.\n\n" + (licences._BSD + licences._BSD_NAME).format("1.", "2.", "3.") + licences._BSD_END.format(holder="HOLDER")))
+    texts += [(None, texts[0][1] + " more")]
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.licence for r in licences.op3_licence_scan(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts] and len(files) > 10
+
+
 def test_language_model(spark, docs, rows):
     held = F.pmod(F.col("doc_id"), F.lit(7)) == 2
     got = lm.score(docs, held, common_words=20, steps=150).collect()
