@@ -103,11 +103,21 @@ def whole_texts() -> list[tuple[str, str]]:
     return out
 
 
+#: What may stand before a line of a comment, and the forms of a line that states a copyright: with a sign, a year, a
+#: placeholder or "by" after the word, or a sign before a year or the word; or at the start of a paragraph (of a text or
+#: after an empty line, or after another such line), the word and a holder.
+_COMMENT = r"[ \t*#/;-]*"
+_SIGN = r"(?:\(c\)|©)"
+_YEAR = r"[\[<{]?(?:[0-9]{4}|y{4}|year)"
+_STATED = rf"(?m)^{_COMMENT}(?:copyright[ \t:]*(?:{_SIGN}|{_YEAR}|[\[<{{]|by\b)|{_SIGN}[ \t]*(?:{_YEAR}|copyright\b)|©)[^\r\n]*$"
+_HOLDER = rf"(\A|\n{_COMMENT}\r?\n)(?:{_COMMENT}copyright[ \t]+(?!notice|holder|owner|law|licen[cs]e|statement|and\b|or\b|in\b|is\b)[^\r\n]*(?:\r?\n|\z))+"
+
+
 def canonical(text: Column) -> Column:
-    """A-Z lower-cased; lines that state a copyright dropped; everything but letters, digits and what lies beyond
+    """A-Z lower-cased; lines that state a copyright dropped, but not those where a line of prose begins so; everything but letters, digits and what lies beyond
     ASCII to single spaces; equivalent spellings unified."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    out = F.regexp_replace(out, r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\r\n]*$", " ")
+    out = F.regexp_replace(F.regexp_replace(out, _STATED, ""), _HOLDER, "\n\n")
     out = F.regexp_replace(out, r"https?://(www\.)?", " ")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—]+", " ")), F.lit(" "))
     for other, kept in SPELLINGS:

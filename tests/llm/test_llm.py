@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -300,6 +301,21 @@ def test_top_k(spark, block):
     assert topk.top_k(df.where("vec_id = 0"), df.where("vec_id < 3")).count() == 2
 
 
+def test_licences_in_any_wrapping(spark):
+    known = licences.KNOWN + [(f.stem, f.read_text(encoding="utf-8")) for f in (Path(licences.__file__).parent / "licence_texts").glob("*-2.0*.txt")]
+    rows = []
+    for name, text in known:
+        for width in range(60, 101):
+            # a paragraph with a copyright statement is not prose: its lines stay
+            parts = [p if re.search(r"copyright *(\(c\)|\[)", p, re.I) else textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n[ \t]*\n", text)]
+            rows.append((name, "\n\n".join(parts)))
+    for line in ("Copyright (c) 2020 Someone", "(C) 2020 Someone", "© Someone", "# Copyright 2020-2022, A", "Copyright by A", "Copyright [yyyy] [name of copyright owner]", "Copyright The Foo Authors", "Copyright The Foo Authors\nCopyright Bar Inc."):
+        rows.append(("MIT", line + "\n\n" + licences.KNOWN[0][1]))
+        rows.append(("MIT", "MIT License\n\n" + line + "\n\n" + licences.KNOWN[1][1]))
+    got = licences.scan(spark.createDataFrame(rows, "name string, text string"), licences.known_digests(spark, known)).where("NOT licence <=> name").select("name", "text").collect()
+    assert not [(r.name, r.text[:80]) for r in got]
+
+
 def test_licence_query_knows_whole_licences(spark, tmp_path):
     files = sorted((Path(licences.__file__).parent / "licence_texts").glob("*.txt"))
     texts = [(f.stem, f.read_text(encoding="utf-8")) for f in files]
