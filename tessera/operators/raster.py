@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def gradients(grid: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def resample(pixels: DataFrame, shift: int) -> DataFrame:
-    """The resampling family over blocks of 2^shift pixels: average, mode, lowest, highest, median, quartiles,
+    """The block methods of the resampling family (interpolate() has the others) over blocks of 2^shift pixels: average, mode, lowest, highest, median, quartiles,
     nearest (the sample nearest to the block's centre, ties to the lower row and column)."""
     half = (1 << shift) / 2 - 0.5
     fx, fy = F.col("px").bitwiseAND((1 << shift) - 1), F.col("py").bitwiseAND((1 << shift) - 1)
@@ -92,6 +94,54 @@ def resample(pixels: DataFrame, shift: int) -> DataFrame:
     )
 
 
+def _cubic(t: Column, a: float) -> Column:
+    t = F.abs(t)
+    return F.when(t < 1, (a + 2) * t * t * t - (a + 3) * t * t + 1).when(t < 2, a * (t * t * t - 5 * t * t + 8 * t - 4)).otherwise(0.0)
+
+
+def _spline(t: Column) -> Column:
+    t = F.abs(t)
+    return F.when(t < 1, 2 / 3 - t * t + t * t * t / 2).when(t < 2, (2 - t) * (2 - t) * (2 - t) / 6).otherwise(0.0)
+
+
+def _lanczos(t: Column) -> Column:
+    u = t * math.pi
+    return F.when(F.abs(t) < 1e-9, 1.0).when(F.abs(t) < 3, 3 * F.sin(u) * F.sin(u / 3) / (u * u)).otherwise(0.0)
+
+
+#: Interpolating kernels of one axis: half width in cells, weight at a distance.
+KERNELS = {"bilinear": (1, lambda t: F.greatest(F.lit(0.0), 1 - F.abs(t))), "cubic": (2, lambda t: _cubic(t, -0.5)), "cubicspline": (2, _spline), "lanczos": (3, _lanczos)}
+
+
+def interpolate(grid: DataFrame, scale: float, method: str, heavy: float = 2.0) -> DataFrame:
+    """The interpolating methods of the resampling family: px, py, z of the grid's cells (one row a cell) at `scale`
+    source cells to a target cell, as sums of neighbours by weight over the sum of weights.
+
+    Where the target is coarser the kernel is widened by the scale. Missing cells have no weight; targets without
+    weight, or whose centre is in a missing cell, vanish. texture and dem are average (of the cells whose centres fall in
+    the target) from a scale of `heavy` (the reference gives no number), else cubic and cubicspline.
+    """
+    if method in ("texture", "dem"):
+        method = "average" if scale >= heavy else "cubic" if method == "texture" else "cubicspline"
+    if scale <= 0 or method not in (*KERNELS, "average"):
+        raise ValueError(f"no such resampling: {method} at scale {scale}")
+    valid = grid.where("z IS NOT NULL")
+    centre = lambda c: (F.col(c) + 0.5) / scale
+    if method == "average":
+        return valid.groupBy(F.floor(centre("px")).cast("int").alias("px"), F.floor(centre("py")).cast("int").alias("py")).agg(F.avg("z").alias("z"))
+    half, weight = KERNELS[method]
+    wide = max(scale, 1.0)
+    reach = half * wide / scale
+    near = lambda c: F.sequence(F.ceil(centre(c) - reach - 0.5).cast("int"), F.floor(centre(c) + reach - 0.5).cast("int"))
+    sent = valid.select(F.col("px").alias("sx"), F.col("py").alias("sy"), "z", F.explode(near("px")).alias("px"), "py")
+    sent = sent.select("sx", "sy", "z", "px", F.explode(near("py")).alias("py"))
+    away = lambda c, s: ((F.col(c) + 0.5) * scale - (F.col(s) + 0.5)) / wide
+    w = weight(away("px", "sx")) * weight(away("py", "sy"))
+    inside = (F.floor((F.col("px") + 0.5) * scale) == F.col("sx")) & (F.floor((F.col("py") + 0.5) * scale) == F.col("sy"))
+    sums = sent.withColumn("w", w).groupBy("px", "py").agg(F.sum(F.col("w") * F.col("z")).alias("v"), F.sum("w").alias("w"), F.max(inside).alias("inside"))
+    return sums.where("inside AND abs(w) > 1e-9").select("px", "py", (F.col("v") / F.col("w")).alias("z"))
+
+
 def overview_sizes(width: int, height: int, least: int = 2) -> list[tuple[int, int]]:
     """Sizes of overview levels: halves, rounded away from zero, until a side is below `least`; a level with a side
     equal to it is the last."""

@@ -189,3 +189,29 @@ def test_a_step_that_drops_columns_fails(spark):
         plugins.postprocessed(df, lambda f: f.drop("v"))
     with pytest.raises(TypeError, match="provides no"):
         plugins.provider(object(), "tileset", lambda p: p)
+
+
+@pytest.mark.parametrize("method", ["bilinear", "cubic", "cubicspline", "lanczos", "texture", "dem"])
+@pytest.mark.parametrize("scale", [0.5, 1.0, 2.0])
+def test_interpolating_resampling(spark, method, scale):
+    def cubic(t):
+        return 1.5 * t**3 - 2.5 * t * t + 1 if t < 1 else -0.5 * t**3 + 2.5 * t * t - 4 * t + 2 if t < 2 else 0
+
+    kernels = {
+        "bilinear": lambda t: max(0, 1 - t), "cubic": cubic, "lanczos": lambda t: float(np.sinc(t) * np.sinc(t / 3)) if t < 3 else 0,
+        "cubicspline": lambda t: 2 / 3 - t * t + t**3 / 2 if t < 1 else (2 - t) ** 3 / 6 if t < 2 else 0,
+    }
+    cells = {(x, y): float((x * 7 + y * 13) % 11) for x in range(8) for y in range(8) if (x, y) != (3, 4)}
+    df = spark.createDataFrame([(x, y, z) for (x, y), z in cells.items()] + [(3, 4, None)], "px int, py int, z double")
+    got = {(r.px, r.py): r.z for r in raster.interpolate(df, scale, method).collect()}
+    name = {"texture": "cubic" if scale < 2 else "average", "dem": "cubicspline" if scale < 2 else "average"}.get(method, method)
+    wide, want = max(scale, 1.0), {}
+    for x in range(int(8 / scale)):
+        for y in range(int(8 / scale)):
+            if name == "average":
+                inside = [z for (i, j), z in cells.items() if (int((i + 0.5) / scale), int((j + 0.5) / scale)) == (x, y)]
+                want[x, y] = sum(inside) / len(inside)
+            elif (int((x + 0.5) * scale), int((y + 0.5) * scale)) in cells:
+                w = {c: kernels[name](abs((x + 0.5) * scale - c[0] - 0.5) / wide) * kernels[name](abs((y + 0.5) * scale - c[1] - 0.5) / wide) for c in cells}
+                want[x, y] = sum(w[c] * cells[c] for c in cells) / sum(w.values())
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
