@@ -7,7 +7,9 @@ annuli around each pivot until the triangle inequality shows that nothing beyond
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +19,20 @@ from pyspark.sql import functions as F
 from .common import small_batches, stash
 
 
+#: Vectors with a scaled component of this magnitude or more have inner products that a long may not hold.
+LIMIT = 1 << 26
+
+
 def quantise(df: DataFrame, scale: int = 1024, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(vec_id, v array<long>): floor(scale * x) of each component as a double. Vectors that are null, empty, or hold
-    null or non-finite components are left out."""
-    x = F.col(vec).cast("array<double>")
-    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return df.where(F.col(vec).isNotNull() & (F.size(vec) > 0) & ~bad).select(F.col(key).alias("vec_id"), F.transform(x, lambda e: F.floor(e * F.lit(float(scale)))).alias("v"))
+    null or non-finite components are left out; so are those with a scaled component of LIMIT or more either way."""
+    x = F.transform(F.col(vec).cast("array<double>"), lambda e: e * F.lit(float(scale)))
+    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) >= float(LIMIT)))
+    return df.where(F.col(vec).isNotNull() & (F.size(vec) > 0) & ~bad).select(F.col(key).alias("vec_id"), F.transform(x, lambda e: F.floor(e)).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), dtype=np.int64)
 
@@ -81,87 +88,119 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def _search(held, k: int, step: int):
-    """Index rows of a partition to each query's k best among them that can still be among the k best of all."""
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(pivot, dist, vec_id, v) of runs of about `size` bytes of vectors, each sorted by pivot and distance: in whatever
+    order the files of a task come, and however many they are."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in itertools.chain(batches, [None]):
+        if b is not None and b.num_rows:
+            held.append(b)
+            n += b.nbytes
+        if held and (b is None or n >= size):
+            t = pa.Table.from_batches(held).combine_chunks()
+            pivot, dist, vec = (t.column(i).to_numpy() for i in range(3))
+            order = np.lexsort((dist, pivot))
+            yield pivot[order], dist[order], vec[order], _matrix(t.column(3).combine_chunks())[order]
+            held, n = [], 0
+
+
+def _search(held, k: int, step: int, size: int):
+    """Index rows of a task to each query's k best among them that can still be among the k best of all. Holds one
+    chunk of about `size` bytes at a time, and the queries with their best so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, centers, top, floor_ = held.value
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3))) for b in batches if b.num_rows]
-        if not parts:
-            return
-        pivot, dist, vec, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-        vf = v.astype(np.float64)
-        lifted = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
+        qf = q.astype(np.float64)
+        lifted = np.hstack([qf, np.zeros((len(q), 1))])
         lengths = (lifted * lifted).sum(1)
-        # exact in doubles while the sums stay below 2^53; integers otherwise
-        exact = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * v.shape[1] < 2**53
-        held_s = [np.full(0, 0, dtype=np.int64) for _ in ids]
-        held_v = [vec[:0] for _ in ids]
+        held_s = [np.zeros(0, dtype=np.int64) for _ in ids]
+        held_v = [ids[:0] for _ in ids]
         bound = floor_.astype(np.float64).copy()
-        for p in np.unique(pivot):
-            a, z = np.searchsorted(pivot, [p, p + 1])
-            ring = dist[a:z]
-            dq = np.sqrt(np.maximum(0, lengths + (centers[p] ** 2).sum() - 2 * lifted @ centers[p]))
-            for i in np.argsort(dq):
-                at = int(np.searchsorted(ring, dq[i]))
-                lo, hi = at, at
-                while True:
-                    # nothing with a distance beyond reach can score above the bound; the slack covers rounding
-                    reach = np.sqrt(max(0.0, lengths[i] + top - 2 * bound[i])) * (1 + 1e-9) + 1e-3
-                    new_lo = max(lo - step, int(np.searchsorted(ring, dq[i] - reach)))
-                    new_hi = min(hi + step, int(np.searchsorted(ring, dq[i] + reach, side="right")))
-                    new_lo, new_hi = min(new_lo, lo), max(new_hi, hi)
-                    if new_lo == lo and new_hi == hi:
-                        break
-                    near = np.r_[a + new_lo : a + lo, a + hi : a + new_hi]
-                    s = (vf[near] @ q[i].astype(np.float64)).astype(np.int64) if exact else v[near] @ q[i]
-                    ok = (s >= bound[i]) & (vec[near] != ids[i])
-                    s, w = np.concatenate([held_s[i], s[ok]]), np.concatenate([held_v[i], vec[near][ok]])
-                    keep = _best(s, w, k)
-                    held_s[i], held_v[i] = s[keep], w[keep]
-                    if len(keep) == k:
-                        bound[i] = max(bound[i], float(held_s[i][-1]))
-                    lo, hi = new_lo, new_hi
+        # nothing with a distance beyond reach can score above the bound; the slack covers rounding of squared distances
+        slack = 1e-3 + 1e-6 * np.sqrt(lengths + top)
+        reach = lambda i: np.sqrt(np.maximum(0.0, lengths[i] + top - 2 * bound[i])) + slack[i]
+        for pivot, dist, vec, v in _chunks(batches, size):
+            # exact in doubles while the sums stay below 2^53; integers otherwise
+            exact = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * v.shape[1] < 2**53
+            vs, qs = (v.astype(np.float64), qf) if exact else (v, q)
+            names, starts = np.unique(pivot, return_index=True)
+            for p, a, z in zip(names, starts, [*starts[1:], len(pivot)], strict=True):
+                ring = dist[a:z]
+                dq = np.sqrt(np.maximum(0, lengths + (centers[p] ** 2).sum() - 2 * lifted @ centers[p]))
+                far = reach(slice(None))
+                meets = np.searchsorted(ring, dq + far, side="right") > np.searchsorted(ring, dq - far)
+                for i in np.flatnonzero(meets):
+                    lo = hi = int(np.searchsorted(ring, dq[i]))
+                    while True:
+                        r = reach(i)
+                        new_lo = min(lo, max(lo - step, int(np.searchsorted(ring, dq[i] - r))))
+                        new_hi = max(hi, min(hi + step, int(np.searchsorted(ring, dq[i] + r, side="right"))))
+                        if new_lo == lo and new_hi == hi:
+                            break
+                        near = np.r_[a + new_lo : a + lo, a + hi : a + new_hi]
+                        s = (vs[near] @ qs[i]).astype(np.int64)
+                        ok = (s >= bound[i]) & (vec[near] != ids[i])
+                        s, w = np.concatenate([held_s[i], s[ok]]), np.concatenate([held_v[i], vec[near][ok]])
+                        keep = _best(s, w, k)
+                        held_s[i], held_v[i] = s[keep], w[keep]
+                        if len(keep) == k:
+                            bound[i] = max(bound[i], float(held_s[i][-1]))
+                        lo, hi = new_lo, new_hi
         n = [len(x) for x in held_s]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate(held_v)), pa.array(np.concatenate(held_s))], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, step: int = 256, pivots: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k largest integer inner products among the vectors other than
-    itself (all, if fewer), ties to the smaller vec_id.
-
-    queries and vectors are (vec_id, v) as quantise() gives them; rows with null vec_id take no part. Queries are
-    taken in blocks of at most `block`; each block goes to all tasks, which are runs of the index sorted by pivot
-    and distance. Repeated vectors are candidates each by itself. All vectors must have the same length. No queries
-    or no candidates: no rows. A first bound for each query comes from the bounded pivot sample's own scores.
-    """
+def _top_k_of_length(asked: DataFrame, vectors: DataFrame, k: int, block: int, step: int, pivots: int, size: int) -> list[DataFrame]:
+    """(query_id, vec_id, score) with every query's k best, for queries and vectors of one length; a table a block."""
     spark = vectors.sparkSession
-    small_batches(spark, rows=4000)
-    vectors = stash(vectors.where("vec_id IS NOT NULL"), "vectors")
-    index, centers, top = build_index(vectors, pivots)
-    asked = stash(queries.where("vec_id IS NOT NULL"), "queries")
-    n = asked.count()
-    n_blocks = -(-n // block) or 1
     first = np.array([[r.vec_id, *r.v] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(2048).collect()], dtype=np.int64)
+    n_blocks = -(-asked.count() // block)
+    if not n_blocks or not len(first):
+        return []
+    index, centers, top = build_index(vectors, pivots)
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    found = None
+    found = []
     for i in range(n_blocks):
         part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i)
         rows = part.collect()
-        if not rows or not len(first):
+        if not rows:
             continue
         ids, q = np.array([r.vec_id for r in rows], dtype=np.int64), np.array([r.v for r in rows], dtype=np.int64)
         s = np.where(first[:, 0][None] == ids[:, None], -(2**62), q @ first[:, 1:].T)
         kth = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(ids), -(2**62))
         held = spark.sparkContext.broadcast((ids, q, centers, top, kth))
-        some = index.mapInArrow(_search(held, k, step), f"query_id {kind}, vec_id {kind}, score long")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
+        found.append(index.mapInArrow(_search(held, k, step, size), f"query_id {kind}, vec_id {kind}, score long"))
+    return found
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, step: int = 256, pivots: int = 64, size: int = 16 << 20) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k largest integer inner products among the vectors other than
+    itself (all, if fewer), ties to the smaller vec_id.
+
+    queries and vectors are (vec_id, v) as quantise() gives them; rows with null vec_id take no part. Queries are
+    taken in blocks of at most `block`; each block goes to all tasks, which read the index in chunks of about `size`
+    bytes and sort each by pivot and distance, so that a task's memory and its result depend neither on the order nor
+    on the number of its files. Repeated vectors are candidates each by itself. A query's candidates are the vectors
+    of its own length: each length has an index of its own. No queries or no candidates: no rows. A first bound for
+    each query comes from the scores of a bounded sample. Other columns play no part.
+    """
+    spark = vectors.sparkSession
+    small_batches(spark, rows=4000)
+    sized = lambda df: df.where("vec_id IS NOT NULL").select("vec_id", "v", F.size("v").alias("n"))
+    vectors, asked = stash(sized(vectors), "vectors"), stash(sized(queries), "queries")
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    found: list[DataFrame] = []
+    for n in sorted(r.n for r in asked.select("n").distinct().collect()):
+        of = F.col("n") == n
+        found += _top_k_of_length(asked.where(of), vectors.where(of).drop("n"), k, block, step, pivots, size)
+    if not found:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = reduce(DataFrame.unionByName, found)
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
