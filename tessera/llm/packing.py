@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -20,11 +21,26 @@ Run = tuple[tuple[int, ...], int]
 _ENCODERS: dict[str, object] = {}
 
 
+#: A place where words end whatever stands around it: the blank between two letters.
+_BREAK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
+def segments(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """A long text in runs of about `size` characters, cut where the tokenizer's words end, so that the ids of the runs
+    are the ids of the text. A run goes on until there is such a place."""
+    at = 0
+    while len(text) - at > size and (m := _BREAK.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def encoder(name: str = "byte_bpe_50k"):
     """text -> ids (numpy), as `tokenizers` gives them for name.json without added special tokens.
 
     The rank file holds the same vocabulary and merges; it is the faster reader of the two. Texts that hold the
-    string of a special token go to `tokenizers` itself, whose default is to read it as that token.
+    string of a special token go to `tokenizers` itself, whose default is to read it as that token; so do those that
+    the fast reader refuses (its patterns give up on white space of some hundred thousand characters).
     """
     if name not in _ENCODERS:
         import public_tokenizers as P
@@ -36,16 +52,22 @@ def encoder(name: str = "byte_bpe_50k"):
         fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
         slow: list = []
 
-        def encode(text: str) -> np.ndarray:
-            if "<|" in text:
-                if not slow:
-                    from tokenizers import Tokenizer
+        def plain(text: str) -> np.ndarray:
+            if not slow:
+                from tokenizers import Tokenizer
 
-                    slow.append(Tokenizer.from_file(P.path(f"{name}.json")))
-                return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
-            return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4")
+                slow.append(Tokenizer.from_file(P.path(f"{name}.json")))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-        _ENCODERS[name] = encode
+        def run(text: str) -> np.ndarray:
+            if "<|" in text:
+                return plain(text)
+            try:
+                return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4")
+            except ValueError:
+                return plain(text)
+
+        _ENCODERS[name] = lambda text: np.concatenate([run(part) for part in segments(text)])
     return _ENCODERS[name]
 
 
@@ -75,43 +97,23 @@ def pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, doc: str = "doc_i
     return docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _best_fill(room: int, have: list[int], left: Counter) -> tuple[int, ...]:
-    """Up to two lengths that fill `room` best, the larger first; have: lengths left, ascending."""
-    best: tuple[int, ...] = ()
-    most = 0
-    hi = bisect_right(have, room)
-    for i in range(hi - 1, -1, -1):
-        a = have[i]
-        if 2 * a < most and len(best) == 2:
-            break
-        if a > most:
-            most, best = a, (a,)
-        j = bisect_right(have, min(room - a, a)) - 1
-        while j >= 0 and have[j] == a and left[a] < 2:
-            j -= 1
-        if j >= 0 and a + have[j] > most:
-            most, best = a + have[j], (a, have[j])
-        if most == room:
-            break
-    return best
-
-
 def _first_runs(counts: Counter, size: int) -> list[Run]:
-    """Best fit, longest first: each run repeats one filling of a sequence until a length runs out."""
+    """Best fit, longest first: a sequence takes the longest piece that fits until none does; each run repeats one
+    filling until a length runs out."""
     left, runs = Counter({k: v for k, v in counts.items() if v > 0}), []
     have = sorted(left)
     while have:
-        pattern = [have[-1]]
-        room = size - have[-1]
-        took = Counter(pattern)
+        pattern: list[int] = []
+        room, took = size, Counter()
         while room:
-            rest = Counter({k: left[k] - took[k] for k in have if k <= room and left[k] > took[k]})
-            fill = _best_fill(room, sorted(rest), rest)
-            if not fill:
+            i = bisect_right(have, room) - 1
+            while i >= 0 and took[have[i]] >= left[have[i]]:
+                i -= 1
+            if i < 0:
                 break
-            pattern.append(fill[0])
-            took[fill[0]] += 1
-            room -= fill[0]
+            pattern.append(have[i])
+            took[have[i]] += 1
+            room -= have[i]
         m = min(left[k] // n for k, n in took.items())
         for k, n in took.items():
             left[k] -= n * m
@@ -134,28 +136,31 @@ def _best_move(a: tuple[int, ...], b: tuple[int, ...], room: int) -> tuple[int,
     return best
 
 
-def local_search(runs: list[Run], size: int, max_tries: int = 400_000) -> list[Run]:
+def local_search(runs: list[Run], size: int) -> list[Run]:
     """Exchange one for one, two for one, or move pieces between underfull sequences while the sum of squared
     fills grows; sequences that empty are gone. Equal sequences are held as one run, so that a step changes
-    many at once. max_tries bounds the pairs of runs that are looked at, not what is packed."""
+    many at once. Ends when no pair of runs has a step left; a pair that had none is not looked at again."""
     state = Counter()
     for p, m in runs:
         state[tuple(sorted(p, reverse=True))] += m
     full = Counter({p: m for p, m in state.items() if sum(p) == size})
     under = Counter({p: m for p, m in state.items() if sum(p) < size})
-    tries, again = 0, True
-    while again and tries < max_tries:
+    fruitless: set[tuple[tuple[int, ...], tuple[int, ...]]] = set()
+    again = True
+    while again:
         again = False
         for a in sorted(under, key=sum, reverse=True):
             for b in sorted(under, key=sum):
-                if not under[a] or tries >= max_tries:
+                if not under[a]:
                     break
-                if sum(b) > sum(a) or not under[b]:
+                if sum(b) > sum(a) or not under[b] or (a, b) in fruitless:
                     continue
-                tries += 1
                 m = under[a] // 2 if a == b else min(under[a], under[b])
-                d, x, y = _best_move(a, b, size - sum(a)) if m else (0, (), ())
+                if not m:
+                    continue
+                d, x, y = _best_move(a, b, size - sum(a))
                 if not d:
+                    fruitless.add((a, b))
                     continue
                 new_a = tuple(sorted((Counter(a) - Counter(x) + Counter(y)).elements(), reverse=True))
                 new_b = tuple(sorted((Counter(b) - Counter(y) + Counter(x)).elements(), reverse=True))
@@ -194,16 +199,18 @@ def place(found: DataFrame, size: int = 1024) -> DataFrame:
 
     What a sequence can hold depends on lengths alone, so the packing is made of the count of each length (at most
     `size` numbers on the driver, at any scale). A piece's rank among those of its length then says its place.
-    Ranks are dealt over salted (length, salt) groups: a length that holds a third of all rows is no hot task.
+    Ranks are dealt over groups of (length, salt), salted by the place of the written row: a length that holds a third
+    of all rows is no hot task, nor are rows that repeat.
     """
-    found = stash(found, "pieces")
+    found = stash(found.withColumn("_at", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r["count"] for r in found.groupBy("length").count().collect()}
     slots = found.sparkSession.sparkContext.broadcast(_slots(pack_histogram(counts, size)))
     salts = max(16, sum(counts.values()) // 500_000)
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)).cast("int"))
     before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_at")))
+    found = found.drop("_at")
     ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).select(*found.columns, "_rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +235,7 @@ def pack(docs: DataFrame, size: int = 1024, end_id: int = 2) -> DataFrame:
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null or empty text is the one
     end token. Null or repeated doc_id: each row is packed by itself, its pieces counted from 0. An empty table
-    gives no rows. Other columns of docs play no part. Very long texts are read whole, one at a time.
+    gives no rows. Other columns of docs play no part. Very long texts are read whole, one at a time, in runs of words.
     """
     return place(pieces(docs, size, end_id), size)
 

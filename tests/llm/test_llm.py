@@ -81,10 +81,26 @@ def test_tokenizer_gives_the_same_ids():
     from tokenizers import Tokenizer
 
     slow, fast = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.encoder()
-    for t in ["", " ", "it's  1234\n\n x", "a<|endoftext|>b", "é漢字 🙂" * 9, "  lead", "tab\t\tend  ", prose(3, 200), "aaaa" * 500, "!?!?--" * 50]:
+    for t in ["", " ", "it's  1234\n\n x", "a<|endoftext|>b", "é漢字 🙂" * 9, "  lead", "tab\t\tend  ", prose(3, 200), "aaaa" * 500, "!?!?--" * 50, " " * 10**6, "a" * 10**6, "\n\t" * 10**6, prose(4, 300_000) + " <|endoftext|> it's " + prose(5, 100_000), ("x 1. y" * 60_000) + " " * 300_000 + "z"]:
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_of_long_runs_and_repeats(spark):
+    rows = [(1, " " * 10**6), (2, "a" * 10**6), (None, "again " * 40), (4, prose(1, 400_000))] + [(None, "again " * 40)] * 3000
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    encode = packing.encoder()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, t in rows for _ in range(-(-(len(encode(t)) + 1) // 1024)))
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        ends = np.cumsum([length for _, length in sorted(places)])
+        assert ends[-1] <= 1024 and [o for o, _ in sorted(places)] == [0, *ends[:-1].tolist()]
+    n = len(encode("again " * 40)) + 1
+    full = sum(r.length == 1024 for r in got)
+    assert full > 2000 and len(by) <= full + -(-3001 // (1024 // n)) + 4
+
+
 def test_local_search_keeps_every_piece_and_helps():
     r = random.Random(5)
     for _ in range(30):
@@ -94,6 +110,10 @@ def test_local_search_keeps_every_piece_and_helps():
         assert Counter({x: sum(p.count(x) * m for p, m in runs) for x in counts}) == counts
         assert all(sum(p) <= 100 for p, _ in runs)
         assert sum(m for _, m in runs) <= sum(m for _, m in first)
+    # pieces of a quarter to a half of a sequence are what best fit packs badly
+    counts = Counter(r.randint(25, 52) for _ in range(30_000))
+    first = packing._first_runs(counts, 100)
+    assert sum(m for _, m in packing.local_search(first, 100)) < 0.99 * sum(m for _, m in first)
     bad = [((60,), 1), ((30,), 1), ((50, 40), 1), ((10,), 1)]
     assert sum(m for _, m in packing.local_search(bad, 100)) == 2
 
@@ -301,6 +321,43 @@ def test_top_k(spark, block):
     assert topk.top_k(df.where("vec_id = 0"), df.where("vec_id < 3")).count() == 2
 
 
+def brute_top_k(data, query, k):
+    rows = [(i, np.floor(np.array(v, dtype=float) * 1024).astype(np.int64)) for i, v in data if i is not None]
+    out = Counter()
+    for i, q in rows:
+        if query(i):
+            best = sorted((-int(q @ v), j) for j, v in rows if j != i and len(v) == len(q))[:k]
+            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
+    return out
+
+
+def test_top_k_with_many_files_in_a_task(spark):
+    r = np.random.default_rng(9)
+    data = [(i, r.normal(size=16).round(3).tolist()) for i in range(4000)]
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "2"}
+    before = {c: spark.conf.get(c, None) for c in conf}
+    try:
+        for c, x in conf.items():
+            spark.conf.set(c, x)
+        df = topk.quantise(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+        index, _, _ = topk.build_index(df)
+        assert len(index.inputFiles()) > 10 and index.rdd.getNumPartitions() <= 4
+        for size in (16 << 20, 20_000):
+            got = topk.top_k(df.where("vec_id % 40 = 0"), df, size=size).collect()
+            assert Counter(map(tuple, got)) == brute_top_k(data, lambda i: i % 40 == 0, 10)
+    finally:
+        for c, x in before.items():
+            spark.conf.unset(c) if x is None else spark.conf.set(c, x)
+
+
+def test_top_k_of_vectors_of_several_lengths_and_sizes(spark):
+    r = np.random.default_rng(4)
+    data = [(i, (r.normal(size=7 + 2 * (i % 2)) * 10.0 ** (i % 5)).tolist()) for i in range(200)]
+    df = topk.quantise(spark.createDataFrame([*data, (900, [1e300] * 7), (902, [65536.0] * 7)], "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("n", F.lit("clash")))
+    got = topk.top_k(df.where("vec_id % 3 = 0"), df, k=5, pivots=4).collect()
+    assert Counter(map(tuple, got)) == brute_top_k(data, lambda i: i % 3 == 0, 5)
+
+
 def test_licences_in_any_wrapping(spark):
     known = licences.KNOWN + [(f.stem, f.read_text(encoding="utf-8")) for f in (Path(licences.__file__).parent / "licence_texts").glob("*-2.0*.txt")]
     rows = []
