@@ -13,10 +13,13 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and driver
+    and executors are one process (tests). A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"file://{_OWN_DIR[0]}"
@@ -54,23 +57,23 @@ SOLID[[0x20, *range(0x09, 0x0E)]] = False
 
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Bytes or words that are hashed at once; what is held beside them and the result doesn't grow with a text.
+CHUNK = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n (base is odd), kept and grown by doubling."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64 for i < CHUNK (base is odd)."""
+    if base not in _POWERS:
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
-            p, k, step = np.ones(size, dtype=np.uint64), 1, b
-            while k < size:
+            p, k, step = np.ones(CHUNK, dtype=np.uint64), 1, b
+            while k < CHUNK:
                 p[k : 2 * k] = p[:k] * np.uint64(step)
                 k, step = 2 * k, step * step & _MASK
             out.append(p)
-        have = _POWERS[base] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+        _POWERS[base] = (out[0], out[1])
+    return _POWERS[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,28 +84,51 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def ranges_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """64-bit polynomial hash of values[start:end] for many ranges at once, by prefix sums."""
-    p, inv = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * p[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
+    """64-bit polynomial hash of values[start:end] for many ranges at once (starts and ends ascend), by sums over the
+    values up to each place, which go on from chunk to chunk."""
+    p, inv = powers(base)
+    out, unit = np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.uint64)
+    total, scale, back = 0, 1, 1
+    onward, backward = pow(base, CHUNK, 1 << 64), pow(base, -CHUNK, 1 << 64)
+    i = j = 0
+    for at in range(0, len(values) + 1, CHUNK):
+        part = values[at : at + CHUNK].astype(np.uint64) + np.uint64(1)
+        part *= p[: len(part)]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part, out=sums[1:])
+        sums = sums * np.uint64(scale) + np.uint64(total)
+        last = at + CHUNK - 1
+        i2, j2 = (int(np.searchsorted(x, last, side="right")) for x in (start, end))
+        out[i:i2] -= sums[start[i:i2] - at]
+        unit[i:i2] = inv[start[i:i2] - at] * np.uint64(back)
+        out[j:j2] += sums[end[j:j2] - at]
+        total, scale, back, i, j = int(sums[-1]), scale * onward & _MASK, back * backward & _MASK, i2, j2
+    return mix(out * unit + (end - start).astype(np.uint64))
 
 
 class Words:
     """Words of a block of texts: buf (lower-cased bytes), start and end (byte places), hash, first (the index
-    of each text's first word, and one past the last), base (each text's first byte in buf)."""
+    of each text's first word, and one past the last), base (each text's first byte in buf). Takes about five bytes
+    a byte of text."""
 
-    __slots__ = ("base", "buf", "end", "first", "hash", "start")
+    __slots__ = ("base", "buf", "end", "first", "hash", "start", "table")
 
     def __init__(self, texts: list[bytes], table: np.ndarray):
-        self.base = np.zeros(len(texts) + 1, dtype=np.int64)
+        self.base, self.table = np.zeros(len(texts) + 1, dtype=np.int64), table
         np.cumsum([len(t) + 1 for t in texts], out=self.base[1:])
-        self.buf = LOWER[np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)]
-        inside = np.zeros(len(self.buf) + 2, dtype=np.int8)
-        inside[1:-1] = table[self.buf]
-        edge = np.diff(inside)
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.hash = ranges_hash(self.buf.astype(np.uint64) + np.uint64(1), self.start, self.end, _P)
+        n = int(self.base[-1])
+        self.buf = np.full(n, 32, dtype=np.uint8)
+        np.take(LOWER, np.frombuffer(texts[0] if len(texts) == 1 else b" ".join(texts), dtype=np.uint8), out=self.buf[: max(0, n - 1)], mode="clip")
+        kind = np.int32 if n < 2**31 else np.int64
+        starts, ends, before = [np.zeros(0, dtype=kind)], [np.zeros(0, dtype=kind)], False
+        for at in range(0, n, CHUNK):
+            inside = np.concatenate([[before], table[self.buf[at : at + CHUNK]]])
+            edge = inside[1:] != inside[:-1]
+            starts.append((np.flatnonzero(edge & inside[1:]) + at).astype(kind))
+            ends.append((np.flatnonzero(edge & inside[:-1]) + at).astype(kind))
+            before = inside[-1]
+        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
+        self.hash = ranges_hash(self.buf, self.start, self.end, _P)
         self.first = np.searchsorted(self.start, self.base)
 
     def count(self) -> np.ndarray:
@@ -110,13 +136,21 @@ class Words:
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
-        return np.repeat(np.arange(len(self.base) - 1), self.count())
+        return np.repeat(np.arange(len(self.base) - 1, dtype=np.int32), self.count())
+
+    def normal(self) -> Iterator[bytes]:
+        """Each text's words by one space."""
+        keep = self.table[self.buf]
+        keep[self.end] = True
+        spaced = self.buf.copy()
+        spaced[self.end] = 32
+        for a, z in zip(self.base[:-1].tolist(), self.base[1:].tolist(), strict=True):
+            yield spaced[a:z][keep[a:z]].tobytes()[:-1]
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every run of n words within a text: first word, hash, text. Texts of fewer words have none."""
         own = self.owner()
-        at = np.arange(max(0, len(own) - n + 1))
-        at = at[own[at] == own[at + n - 1]] if len(at) else at
+        at = np.flatnonzero(own[: max(0, len(own) - n + 1)] == own[n - 1 :])
         return at, ranges_hash(self.hash, at, at + n, 0xD6E8FEB86659FD93), own[at]
 
     def wholes(self, below: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,21 +29,20 @@ _MUL = _SEED.integers(0, 1 << 31, _N, dtype=np.uint32) * np.uint32(2) + np.uint3
 _SALT = _SEED.integers(1, 1 << 62, BANDS, dtype=np.uint64)
 
 
-def normal(text: bytes) -> bytes:
-    """A-Z lower-cased, words (between ASCII white space) by one space."""
-    return b" ".join(text.lower().split())
-
-
-def shingles(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all k-word shingles (a shorter text is one shingle), and each text's first place among them."""
-    w = Words(texts, SOLID)
     _, h, own = w.windows(k)
     who, whole = w.wholes(k)
     if len(who):
         own = np.concatenate([own, who])
         order = np.argsort(own, kind="stable")
         h, own = np.concatenate([h, whole])[order], own[order]
-    return h, np.searchsorted(own, np.arange(len(texts) + 1))
+    return h, np.searchsorted(own, np.arange(len(w.base)))
+
+
+def digests(w: Words) -> list[bytes | None]:
+    """MD5 of each text's words by one space; None for texts without words."""
+    return [hashlib.md5(x).digest() if x else None for x in w.normal()]
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -87,9 +86,10 @@ def _features(text_at: int):
         for b in batches:
             n, digest, bands = [], [], []
             for _, part in blocks(b.column(text_at).to_pylist()):
-                h, first = shingles(part)
+                w = Words(part, SOLID)
+                h, first = shingles(w)
                 n += [len(np.unique(h[a:z])) for a, z in zip(first[:-1], first[1:], strict=True)]
-                digest += [hashlib.md5(x).digest() if (x := normal(t)) else None for t in part]
+                digest += digests(w)
                 bands += list(band_hashes(signatures(h, first)))
             bands = pa.array([x.tolist() if d else None for x, d in zip(bands, digest, strict=True)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != text_at), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), bands], ["doc_id", "key", "n_shingles", "digest", "bands"])
@@ -101,10 +101,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, digest, text) to (node, sig, text), for texts that have the digest."""
     for b in batches:
         node, digest, texts = (b.column(i).to_pylist() for i in range(3))
-        at = [i for i, (d, t) in enumerate(zip(digest, texts, strict=True)) if hashlib.md5(normal(t or b"")).digest() == d]
-        sig: list[bytes] = []
-        for _, part in blocks([texts[i] for i in at]):
-            sig += [x.tobytes() for x in signatures(*shingles(part))]
+        at, sig = [], []
+        for first, part in blocks(texts):
+            w = Words(part, SOLID)
+            found = signatures(*shingles(w))
+            for i, d in enumerate(digests(w)):
+                if d == digest[first + i]:
+                    at.append(first + i)
+                    sig.append(found[i].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in at], pa.int64()), pa.array(sig, pa.binary()), pa.array([texts[i] for i in at], pa.binary())], ["node", "sig", "text"])
 
 
@@ -211,7 +215,7 @@ def _linked(percent: int, steps: list[tuple[int, int]]):
 
             def full(i: int, text=text, sets=sets) -> np.ndarray:
                 if i not in sets:
-                    sets[i] = np.unique(shingles([text[i]])[0])
+                    sets[i] = np.unique(shingles(Words([text[i]], SOLID))[0])
                 return sets[i]
 
             for i, o, m in _crossing(bucket[0], low[0] == high[0], block == low[0], label, sig, steps):
@@ -234,14 +238,14 @@ def _verified(percent: int):
             ta, tb = b.column(2).to_pylist(), b.column(3).to_pylist()
             keep = []
             for first, part in blocks([x for p in zip(ta, tb, strict=True) for x in p]):
-                h, at = shingles(part)
+                h, at = shingles(Words(part, SOLID))
                 sets = [np.unique(h[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
                 # a block can start with the second of a pair: its first is then done again below
                 for i in range(first % 2, len(part) - 1, 2):
                     keep.append(((first + i) // 2, _similar(sets[i], sets[i + 1], percent)))
                 if first % 2:
                     i = first // 2
-                    h, at = shingles([ta[i]])
+                    h, at = shingles(Words([ta[i]], SOLID))
                     keep.append((i, _similar(np.unique(h), sets[0], percent)))
             ok = pa.array(sorted(i for i, yes in keep if yes), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(ok), b.column(1).take(ok)], ["u", "v"])

@@ -15,7 +15,7 @@ from .common import SOLID, Words, blocks, small_batches
 
 #: Hashed shapes of words (which classes of bytes they start and end with, and their length).
 SHAPES = 256
-_CLASS = np.full(256, 6, dtype=np.int64)
+_CLASS = np.full(256, 6, dtype=np.int8)
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 0, 1, 2, 3
 _CLASS[[0x2E, 0x2C, 0x3B, 0x3A, 0x27, 0x28, 0x29, 0x3F]] = 4
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 5
@@ -33,7 +33,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     starts = w.base[:-1]
     kinds = _CLASS[raw]
     for c in range(7):
-        out[:, c] = np.add.reduceat((kinds == c).astype(np.float64), starts) / n
+        out[:, c] = np.add.reduceat(kinds == c, starts, dtype=np.int64) / n
     words = w.count()
     has = np.flatnonzero(words > 0)
     if not len(has):
@@ -64,8 +64,8 @@ def features(texts: list[bytes]) -> np.ndarray:
     out[has, 17], out[has, 18] = mean(head == 1), mean(head == 6)
     out[has, 19] = mean(size == 1)
     out[has, 20] = np.log1p(nw) / 10
-    out[has, 21] = np.add.reduceat((raw == 10).astype(np.float64), starts)[has] / nw
-    shape = ((kinds[np.maximum(w.end - 2, w.start)] * 7 + last) * 7 + head) * 8 + np.minimum(size, 15).astype(np.int64) // 2
+    out[has, 21] = np.add.reduceat(raw == 10, starts, dtype=np.int64)[has] / nw
+    shape = ((kinds[np.maximum(w.end - 2, w.start)].astype(np.int64) * 7 + last) * 7 + head) * 8 + np.minimum(size, 15).astype(np.int64) // 2
     shape = (shape * 2654435761 >> 7) % SHAPES
     counts = np.bincount(own * SHAPES + shape, minlength=len(texts) * SHAPES).reshape(-1, SHAPES)[has]
     out[has, N_STATS:] = np.sqrt(counts / nw[:, None])

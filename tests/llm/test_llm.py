@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, licences, lm, neardup, packing, quality, sharding, topk, urlfilter, warc
+from tessera.llm import common, decontaminate, licences, lm, neardup, packing, quality, sharding, topk, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -140,7 +141,7 @@ def brute_decontaminate(rows, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("block", [32 << 20, 40])
+@pytest.mark.parametrize("block", [32 << 20, 400])
 def test_decontaminate(spark, docs, rows, block):
     w = rows[3][1].split()
     items = [(1, " ".join(w[20:35])), (2, "One, TWO"), (3, None), (4, "..."), (None, " ".join(w[30:42])), (10, "é ß 漢字 é ß 漢字 é ß 漢字 é"), (1, "x x x"), (5, " ".join(w[20:35]))]
@@ -157,6 +158,44 @@ def test_decontaminate(spark, docs, rows, block):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_benchmark_grams_with_colliding_hashes(monkeypatch):
+    w = prose(2, 400).split()
+    items = [(1, " ".join(w[20:45])), (2, "One, TWO"), (3, None), (4, "..."), (None, " ".join(w[30:42])), (5, "x x x"), (1, "x x x")] + [(i, " ".join(w[i : i + 12])) for i in range(50, 90)] + [(7, "two one")] * 50
+    rows = [(1, " ".join(w)), (2, "one two one"), (3, None), (4, "... "), (5, "x x x x"), (6, prose(3, 50)), (7, " ".join(w[30:41]))]
+    want = brute_decontaminate(rows, items)
+    for patched in (False, True):
+        if patched:
+            monkeypatch.setattr(common, "mix", lambda h: h % np.uint64(97))
+        grams = decontaminate.Grams([(None if i is None else str(i), None if t is None else t.encode()) for i, t in items], 10)
+        assert bool(grams.odd) == patched
+        marks = decontaminate._Marks(False)
+        for text, words, o, spans, names in decontaminate._found(grams, [None if t is None else t.encode() for _, t in rows]):
+            marks.add(text, words, o, decontaminate._spans(spans), names)
+        got = Counter((d, n, h, len(x), hashlib.sha256(",".join(x).encode()).hexdigest(), h > 0) for (d, _), n, h, x in zip(rows, marks.words, marks.hits, marks.items, strict=True))
+        assert got == want
+
+
+def test_words_of_a_long_text_take_little_memory():
+    text = (prose(6, 200_000) * 8).encode()
+    tracemalloc.start()
+    w = common.Words([text], common.SOLID)
+    got = w.windows(5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got[0]) == len(text.split()) - 4 and peak < 14 * len(text) + (64 << 20)
+
+
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    texts = [t.encode() for t in ("", prose(1, 500), " a", "é漢字 " * 99, "b" * 1000)]
+    a = common.Words(texts, common.ALNUM)
+    want = a.hash, a.windows(3)[1], a.wholes(3)[1], a.start, list(a.normal())
+    monkeypatch.setattr(common, "CHUNK", 64)
+    monkeypatch.setattr(common, "_POWERS", {})
+    b = common.Words(texts, common.ALNUM)
+    for x, y in zip(want, (b.hash, b.windows(3)[1], b.wholes(3)[1], b.start, list(b.normal())), strict=True):
+        assert list(x) == list(y)
+
+
 def brute_components(rows, percent):
     sets = []
     for _, t in rows:
