@@ -26,6 +26,8 @@ _N = BANDS * ROWS
 _SEED = np.random.default_rng(20240607)
 _XOR = _SEED.integers(0, 1 << 32, _N, dtype=np.uint32)
 _MUL = _SEED.integers(0, 1 << 31, _N, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Values of a signature in each second key of a bucket that is too wide.
+SECOND = 4
 _SALT = _SEED.integers(1, 1 << 62, BANDS, dtype=np.uint64)
 
 
@@ -175,6 +177,24 @@ def _forest(percent: int, steps: list[tuple[int, int]]):
     return run
 
 
+def _second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, node, label, sig) to (bucket, node, label) under the second keys of a bucket: each SECOND values of the
+    signature outside the bucket's own band."""
+    for b in batches:
+        bucket, node, label = (b.column(i).to_numpy() for i in range(3))
+        sig = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint32).reshape(-1, _N)
+        band = (band_hashes(sig) == bucket[:, None]).argmax(1)
+        out = []
+        for j in range((_N - ROWS) // SECOND):
+            h = mix(bucket.view(np.uint64) + np.uint64(j + 1))
+            for k in range(j * SECOND, (j + 1) * SECOND):
+                # the columns after the band's own follow those before it
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[np.arange(len(sig)), k + ROWS * (k >= band * ROWS)])
+            out.append(h.view(np.int64))
+        for h in out:
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(label)], ["bucket", "node", "label"])
+
+
 def _across(steps: list[tuple[int, int]]):
     """Rows (bucket, low block, high block, block, node, label, sig) to (bucket, low, high, node): those with a pair of
     another component that may be similar enough, a pair counting in the first band that its two share."""
@@ -192,13 +212,16 @@ def _across(steps: list[tuple[int, int]]):
 
 
 def _crossing(bucket: int, one: bool, left: np.ndarray, label: np.ndarray, sig: np.ndarray, steps: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, others, matches) of the pairs of different labels: within one block, or of the left with the right block."""
+    """(i, others, matches) of the pairs of different labels: within one block, or of the left with the right block. In the
+    bucket of a band, only those that share no earlier band; under a second key, all."""
     bands = band_hashes(sig)
+    mine = (bands[0] == bucket).argmax() if (bands[0] == bucket).any() else -1
     for i in range(len(label)) if one else np.flatnonzero(left):
         o = np.arange(i + 1, len(label)) if one else np.flatnonzero(~left)
         o = o[label[o] != label[i]]
         if len(o):
-            o = o[(bands[o] == bands[i]).argmax(1) == (bands[i] == bucket).argmax()]
+            if mine >= 0:
+                o = o[(bands[o] == bands[i]).argmax(1) == mine]
             o, m = _alive(sig, i, o, steps)
             if len(o):
                 yield int(i), o, m
@@ -283,14 +306,34 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def classify(docs: DataFrame, percent: int = 80, miss: float = 1e-6, block: int = 512, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def _mixed(named: DataFrame, block: int) -> DataFrame:
+    """(bucket, node, label, block, others, few) of the buckets with nodes of several labels. The nodes of a bucket's
+    commonest label need no comparing with each other: they get blocks of their own, which meet only the blocks of the
+    rest. others: the blocks that a block is compared with; few: those of the rest, as often is such a node copied."""
+    # the commonest by count, then by label, in one number, which a hash aggregation can hold
+    rank = F.col("m").cast("decimal(38,0)") * F.lit(Decimal(10**19)) + F.col("label")
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).withColumn("rank", rank.cast("decimal(38,0)"))
+    sizes = sizes.groupBy("bucket").agg(F.max("rank").alias("rank"), F.max("m").alias("m"), F.sum("m").alias("n")).where("n > m")
+    most = (F.col("rank") % F.lit(Decimal(10**19))).cast("long")
+    sizes = sizes.select("bucket", most.alias("most"), F.ceil(F.col("m") / block).alias("lots"), F.ceil((F.col("n") - F.col("m")) / block).alias("few"))
+    mine, spot = F.col("label") == F.col("most"), F.xxhash64("node")
+    mixed = named.join(sizes, "bucket").withColumn("block", F.when(mine, F.col("few") + F.pmod(spot, F.col("lots"))).otherwise(F.pmod(spot, F.col("few"))))
+    return mixed.select("bucket", "node", "label", "block", F.when(mine, F.col("few")).otherwise(F.col("few") + F.col("lots")).alias("others"), "few")
+
+
+def classify(docs: DataFrame, percent: int = 80, miss: float = 1e-6, block: int = 256, copies: int = 16, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key, n_shingles, component_id and grp (the component; null without words) of every row of docs.
 
     key hashes doc_id and text and finds the row again. Links join texts with 100 * common >= percent * united
     five-word shingles. Null, empty or wordless text: no shingles, linked with nothing. Rows with null doc_id take
-    part; component_id is the smallest doc_id that is not null. Repeated rows: same text, same component. Buckets
-    of candidates are cut into blocks and compared block against block, so no bucket is too large for a task and
-    none is capped. Empty table: no rows.
+    part; component_id is the smallest doc_id that is not null. Repeated rows: same text, same component, and one of
+    them is compared. Very long texts are read whole. Sets are of 64-bit hashes: two shingles of a pair are taken for one
+    with a chance of about the square of their number over 2^65. Other columns play no part. Empty table: no rows.
+
+    Buckets of candidates are cut into blocks and compared block against block, so no bucket is too large for a task and
+    none is capped. A bucket whose nodes would be copied to more than `copies` blocks is dealt again by second keys, so
+    that the copies grow with its nodes alone: a pair at 0.80 that shares its band shares no second key with a chance
+    of 1.4e-7. What is too large even there is compared in blocks.
     """
     small_batches(docs.sparkSession)
     steps = least_matches(percent, miss)
@@ -308,6 +351,9 @@ def classify(docs: DataFrame, percent: int = 80, miss: float = 1e-6, block: int
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "key")
     found = rows.select("key", "text").join(wanted, "key").select("node", "digest", "text")
     texts = stash(found.mapInArrow(_signed, "node long, sig binary, text binary"), "candidates")
+    if texts.groupBy("node").count().where("count > 1").limit(1).count():
+        # rows that repeat the representative's doc_id and text
+        texts = stash(texts.dropDuplicates(["node"]), "candidates")
     sigs = texts.select("node", "sig")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -322,19 +368,14 @@ def classify(docs: DataFrame, percent: int = 80, miss: float = 1e-6, block: int
     links = similar(near.mapInArrow(_forest(percent, steps), "u long, v long"))
     labels = stash(components(links), "labels")
 
-    # what is left: buckets whose members are of different components. The members of a bucket's largest component
-    # need no comparing with each other: they get blocks of their own, which meet only the blocks of the rest
+    # what is left: buckets whose members are of different components
     named = dealt.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stash(named, "named")
-    # the largest by count, then by label, in one number, which a hash aggregation can hold
-    rank = F.col("m").cast("decimal(38,0)") * F.lit(Decimal(10**19)) + F.col("label")
-    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).withColumn("rank", rank.cast("decimal(38,0)"))
-    sizes = sizes.groupBy("bucket").agg(F.max("rank").alias("rank"), F.max("m").alias("m"), F.sum("m").alias("n")).where("n > m")
-    most = (F.col("rank") % F.lit(Decimal(10**19))).cast("long")
-    sizes = sizes.select("bucket", most.alias("most"), F.ceil(F.col("m") / block).alias("lots"), F.ceil((F.col("n") - F.col("m")) / block).alias("few"))
-    mine, spot = F.col("label") == F.col("most"), F.xxhash64("node")
-    mixed = named.join(sizes, "bucket").withColumn("block", F.when(mine, F.col("few") + F.pmod(spot, F.col("lots"))).otherwise(F.pmod(spot, F.col("few"))))
-    mixed = stash(mixed.select("bucket", "node", "label", "block", F.when(mine, F.col("few")).otherwise(F.col("few") + F.col("lots")).alias("others")), "mixed")
+    mixed = stash(_mixed(named.select("bucket", "node", "label"), block), "mixed")
+    wide = mixed.where(F.col("few") > copies)
+    if wide.limit(1).count():
+        wide = wide.join(sigs, "node").select("bucket", "node", "label", "sig")
+        under = stash(wide.mapInArrow(_second_keys, "bucket long, node long, label long"), "second")
+        mixed = stash(mixed.where(F.col("few") <= copies).unionByName(_mixed(under, block)), "mixed")
     far = mixed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     far = far.join(sigs, "node").select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sig")
     keys = ["bucket", "low", "high"]
@@ -354,17 +395,18 @@ def classify(docs: DataFrame, percent: int = 80, miss: float = 1e-6, block: int
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id. Wordless rows all stay; of repeated rows
-    one stays; of components without any doc_id one row stays. Columns are those of docs."""
+    one stays; of components without any doc_id one row stays. Columns are those of docs, whatever their names. Very long
+    texts and empty tables as in classify()."""
     marks = classify(docs, **how)
     doc, text = how.get("doc", "doc_id"), how.get("text", "text")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
     best = marks.where("grp IS NOT NULL").groupBy("grp").agg(F.min(rank).alias("best"))
     kept = stash(best.select(F.col("best.key").alias("_key"), F.lit(False).alias("_bare")).unionByName(marks.where("grp IS NULL").select(F.col("key").alias("_key"), F.lit(True).alias("_bare")).distinct()), "kept")
-    rows = docs.withColumn("_key", F.xxhash64(F.col(doc), F.col(text))).join(kept, "_key")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(doc), F.col(text)).alias("_key")).join(kept, "_key")
     repeated = marks.where("grp IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(kept, F.col("key") == F.col("_key"), "left_semi").limit(1).count()
     if repeated:
         rows = rows.where("_bare").unionByName(rows.where("NOT _bare").dropDuplicates(["_key"]))
-    return rows.select(*docs.columns)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,18 +220,30 @@ def brute_components(rows, percent):
     return sets, [least[find(i)] for i in range(len(rows))], [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("percent", "block"), [(85, 512), (85, 4), (80, 512)])
-def test_near_duplicates(spark, docs, rows, percent, block):
+@pytest.mark.parametrize(("percent", "block", "copies"), [(85, 512, 16), (85, 4, 1000), (85, 4, 0), (80, 512, 16)])
+def test_near_duplicates(spark, docs, rows, percent, block, copies):
     sets, least, groups = brute_components(rows, percent)
-    got = neardup.classify(docs, percent, block=block).select("doc_id", "n_shingles", "component_id").collect()
+    got = neardup.classify(docs, percent, block=block, copies=copies).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == Counter((d, len(s), c) for (d, _), s, c in zip(rows, sets, least, strict=True))
-    kept = neardup.near_dedup(docs, percent=percent, block=block)
+    kept = neardup.near_dedup(docs, percent=percent, block=block, copies=copies)
     assert kept.columns == docs.columns
     n_groups = len({g for g, s in zip(groups, sets, strict=True) if s}) + sum(not s for s in sets)
     assert kept.count() == n_groups
     assert neardup.classify(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeats_and_a_passage_of_many_texts(spark):
+    passage = prose(1, 60)
+    rows = [(i, f"{prose(1000 + i, 25)} {passage} {prose(5000 + i, 25)}") for i in range(1500)]
+    rows += [(i, edited(rows[0][1], 1, 1)) for i in (5000, 5001)]
+    df = spark.createDataFrame(rows + [(7000, prose(7, 200))] * 4000, "doc_id long, text string").repartition(4).withColumn("_key", F.lit(1))
+    got = neardup.classify(df, 85, block=16, copies=4).select("doc_id", "n_shingles", "component_id").collect()
+    least = {5000: 0, 5001: 0}
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((d, least.get(d, d)) for d, _ in rows) + Counter({(7000, 7000): 4000})
+    kept = neardup.near_dedup(df, percent=85, block=16, copies=4)
+    assert kept.count() == 1501 and kept.select("_key").distinct().collect()[0][0] == 1
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "u long, v long")).collect()}
