@@ -84,12 +84,20 @@ _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(named fields in lower case, block) of each record; blocks are cut by their Content-Length alone."""
+    """(named fields in lower case, block) of each record; blocks are cut by their Content-Length alone, where a record
+    has one."""
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", start)
+        stop = data.find(b"\r\n\r\n", start)
+        if stop < 0:
+            return
         head = data[start:stop]
-        size = int(_LENGTH.search(head)[1])
+        if found := _LENGTH.search(head):
+            size = int(found[1])
+        else:
+            # without a length, a block goes up to the next record
+            after = data.find(_END.encode() + b"WARC/", stop + 4)
+            size = (after if after >= 0 else len(data.removesuffix(_END.encode()))) - stop - 4
         fields = {}
         for line in head.split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
@@ -110,8 +118,8 @@ def read_records(spark: SparkSession, path: str, blocks: bool = False) -> DataFr
             for content in b.column(0):
                 rows: list[tuple] = []
                 for f, block in parse(content.as_py()):
-                    kind = f["warc-type"]
-                    payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
+                    kind = f.get("warc-type", "")
+                    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     bare = [v.strip("<>") if (v := f.get(k)) else None for k in ("warc-record-id", "warc-concurrent-to", "warc-refers-to")]
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if payload is not None else None
                     rows.append((kind, bare[0], f.get("warc-target-uri"), bare[1], bare[2], None if payload is None else len(payload), digest, block if blocks or kind == "metadata" else None))
@@ -144,17 +152,20 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0, name: str = "warc") -> DataFrame:
-    """Writes the archives of pages into the shared folder, reads them and assembles their captures.
+    """Writes the archives of pages into the shared folder, reads them once and assembles their captures.
 
-    Null html is an empty payload; null url has no WARC-Target-URI; white space in urls becomes _ in the archive. Null
-    page_id: written and read without one (last in the order that picks responses). Repeated rows are captures of
-    their own, the first being the response. An empty table gives no captures.
+    pages must give the same rows in the same order when it is read again, as a written table does: the rows' places
+    name the captures. Null html is an empty payload; null url has no WARC-Target-URI; white space in urls becomes _ in
+    the archive. Null page_id: written and read without one (last in the order that picks responses). Repeated rows are
+    captures of their own, the first being the response. Very long html is one record, read whole. Other columns play no
+    part. An empty table gives no captures.
     """
     spark = pages.sparkSession
     small_batches(spark)
     path = stash_path(spark, name)
     write_archives(pages, path, least)
-    return assemble(read_records(spark, path))
+    # without blocks but those of metadata: a small table, which four branches of the assembly read
+    return assemble(stash(read_records(spark, path), "records"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
