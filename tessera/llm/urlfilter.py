@@ -98,14 +98,15 @@ def chance(host: Column, path: Column, weights: list[float]) -> Column:
     return 1 / (1 + F.exp(-F.transform(F.array(grams(host, path, len(weights) - 1)), logit)[0]))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, url: str = "url", cut: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, url: str = "url", cut: float = 0.5, max_rows: int = 192) -> DataFrame:
     """pages with host, path, rule, verdict and chance.
 
     verdict is that of the longest fitting rule; without one, the model's: allow where chance >= cut. labelled is a
-    small table (url, label: 1 allow, 0 block). Without it, the urls of pages that rules decide are the labelled ones,
-    of which train() reads a bounded number of distinct ones, half of each label. Null or malformed urls have empty
-    host and path, no rule, and the model's verdict; repeated rows have equal verdicts; an empty table has no rows.
-    Input columns with these names are replaced.
+    small table (url, label: 1 allow, 0 block). Without it, the urls of pages that rules decide are the labelled ones.
+    The model is fitted on at most max_rows of them (the documented bound of the sample, as training grows with its
+    square): those of the smallest hashes, without a table half of each label, each url once. Null or malformed urls
+    have empty host and path, no rule, and the model's verdict; repeated rows have equal verdicts; very long urls are
+    read whole; an empty table has no rows. Input columns with these names are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "chance")
     host, path = parts(F.col(url))
@@ -114,12 +115,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled:
     if labelled is None:
         known = split.select("host", "path", verdict.alias("v")).where("v IS NOT NULL")
         known = known.groupBy("v", F.xxhash64("host", "path").alias("h")).agg(F.min(F.struct("host", "path")).alias("s"))
-        half = [known.where(F.col("v") == v).orderBy("h").limit(96) for v in ("allow", "block")]
+        half = [known.where(F.col("v") == v).orderBy("h").limit(max_rows // 2) for v in ("allow", "block")]
         table = reduce(DataFrame.unionByName, half).select("s.host", "s.path", (F.col("v") == "allow").cast("double").alias("label"))
     else:
         h, p = parts(F.col("url"))
         table = labelled.where("label IS NOT NULL").select(h.alias("host"), p.alias("path"), F.col("label").cast("double").alias("label"))
-    weights = train(stash(table, "labelled"))
+    weights = train(stash(table, "labelled"), max_rows=max_rows)
     out = split.withColumn("rule", rule).withColumn("_said", verdict).withColumn("chance", chance(F.col("host"), F.col("path"), weights))
     return out.withColumn("verdict", F.coalesce("_said", F.when(F.col("chance") >= cut, "allow").otherwise("block"))).drop("_said")
 
