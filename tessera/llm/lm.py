@@ -110,9 +110,9 @@ def _pairs(held):
     return run
 
 
-def train_nce(pairs: np.ndarray, counts: np.ndarray, dims: int = 48, steps: int = 1500, batch: int = 4096, noise: int = 256, rate: float = 0.1, seed: int = 11) -> np.ndarray:
+def train_nce(pairs: np.ndarray, counts: np.ndarray, dims: int = 48, steps: int = 300) -> np.ndarray:
     """log10 P(after | before), K x K, of the model that train_vectors() gives."""
-    return _table(*train_vectors(pairs, counts, dims, steps, batch, noise, rate, seed))
+    return _table(*train_vectors(pairs, counts, dims, steps))
 
 
 def _table(h: np.ndarray, r: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -121,45 +121,39 @@ def _table(h: np.ndarray, r: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return ((logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
 
 
-def train_vectors(pairs: np.ndarray, counts: np.ndarray, dims: int = 48, steps: int = 1500, batch: int = 4096, noise: int = 256, rate: float = 0.1, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train_vectors(pairs: np.ndarray, counts: np.ndarray, dims: int = 48, steps: int = 300, noise: float = 64.0, rate: float = 0.05, prior: float = 0.3, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context vectors, output vectors and biases of a log-bilinear model of classes: the context vector of the class
     before, through a bilinear form (already applied), against the vector of the class after, plus a bias.
 
-    pairs: (before, after, count) rows over the whole corpus, from which batches are drawn in proportion. NCE tells
-    each true pair from noise drawn by class counts; the batch shares its noise, so a step is a few matrix products.
-    The bias starts at the log share of the class, so that the untrained model is the class unigram.
+    pairs: (before, after, count) rows over the whole corpus. NCE tells each true pair from `noise` noise pairs drawn by
+    class counts; every step goes over all counted pairs, weighted by their counts, and over the expected noise in place
+    of draws, so nothing depends on how many pairs are drawn as a corpus grows. The gradient is a few matrix products of
+    K x K; steps are scaled by its running moments. The bias starts at the log share of the class, so that the untrained
+    model is the class unigram; `prior` pulls vectors to zero by so many counts.
     """
     k = len(counts)
     rng = np.random.default_rng(seed)
-    share = (counts + 1) / (counts + 1).sum()
-    q, r = rng.normal(0, 0.1, (k, dims)), rng.normal(0, 0.1, (k, dims))
-    c = np.eye(dims)
-    bias = np.log(share)
-    grown = [np.full_like(x, 1e-3) for x in (q, r, c, bias)]
-    if len(pairs):
-        cum = np.cumsum(pairs[:, 2].astype(np.float64))
-        for t in range(steps):
-            at = np.searchsorted(cum, rng.random(batch) * cum[-1])
-            before, after = pairs[np.minimum(at, len(pairs) - 1), :2].T
-            other = rng.choice(k, noise, p=share)
-            h = q[before] @ c
-            true = (h * r[after]).sum(1) + bias[after] - np.log(noise * share[after])
-            false = h @ r[other].T + bias[other] - np.log(noise * share[other])
-            dt = 1 - 1 / (1 + np.exp(-np.clip(true, -30, 30)))
-            df = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            dh = dt[:, None] * r[after] + df @ r[other]
-            g = [np.zeros_like(x) for x in (q, r, c, bias)]
-            np.add.at(g[0], before, dh @ c.T)
-            np.add.at(g[1], after, dt[:, None] * h)
-            np.add.at(g[1], other, df.T @ h)
-            g[2] = q[before].T @ dh
-            np.add.at(g[3], after, dt)
-            np.add.at(g[3], other, df.sum(0))
-            step = rate * (1 - 0.9 * t / steps)
-            for x, gx, s in zip((q, r, c, bias), g, grown, strict=True):
-                gx /= batch
-                s += gx * gx
-                x += step * gx / np.sqrt(s)
+    share = ((counts + 1) / (counts + 1).sum()).astype(np.float32)
+    seen = np.zeros((k, k), dtype=np.float32)
+    seen[pairs[:, 0], pairs[:, 1]] = pairs[:, 2]
+    both = seen + seen.sum(1, keepdims=True) * (noise * share)
+    eye, log_share = np.eye(dims, dtype=np.float32), np.log(share)
+    odds = log_share + np.float32(np.log(noise))
+    q, r = (rng.normal(0, 0.1, (k, dims)).astype(np.float32) for _ in range(2))
+    at = [q, r, eye.copy(), log_share.copy()]
+    mean, square = [np.zeros_like(x) for x in at], [np.zeros_like(x) for x in at]
+    for t in range(1, steps + 1):
+        q, r, c, bias = at
+        h = q @ c
+        g = seen - both / (1 + np.exp(-np.clip(h @ r.T + (bias - odds), -30, 30)))
+        dh = g @ r
+        slopes = [dh @ c.T - prior * q, g.T @ h - prior * r, q.T @ dh - prior * (c - eye), g.sum(0)]
+        step = rate * (1 - 0.9 * t / steps)
+        for x, gx, m, v in zip(at, slopes, mean, square, strict=True):
+            m += 0.1 * (gx - m)
+            v += 0.01 * (gx * gx - v)
+            x += step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-3)
+    q, r, c, bias = at
     return q @ c, r, bias
 
 
@@ -391,7 +385,7 @@ def _scored(held):
     return run
 
 
-def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "doc_id", text: str = "text", steps: int = 1500) -> DataFrame:
+def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "doc_id", text: str = "text", steps: int = 300) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     held_out: a condition; the other rows are learnt from, all of them, whole. Tokens are words between ASCII white
@@ -403,7 +397,8 @@ def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "do
     Words are keyed by 64-bit hashes. The common_words most frequent are broadcast (a fixed bound, about 16 bytes
     each); the words of the tail classes meet their counts and vectors in a shuffle, so vocabularies of any size are
     exact. Their context vectors, output vectors and biases are learnt there from all their training occurrences. Null or
-    empty text: the end alone. Null doc_id is scored; repeated rows each. No training rows: every count is 0 and the
+    empty text: the end alone. Null doc_id is scored; repeated rows each. Very long texts are read whole, in runs of about
+    1 MB or the text itself. Other columns play no part, whatever their names. No training rows: every count is 0 and the
     model is uniform over classes. An empty table gives no rows.
     """
     spark = docs.sparkSession
