@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -294,6 +295,14 @@ def test_warc(spark, bound, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_broken_warc_records():
+    end = b"\r\n\r\n"
+    head = lambda kind, more="": f"WARC/1.1\r\nWARC-Type: {kind}{more}\r\n\r\n".encode()
+    data = head("metadata") + b"no length" + end + head("response", "\r\nContent-Length: 6") + b"ab" + end + end + head("request") + b"last" + end + b"WARC/1.1\r\ncut"
+    assert [(f["warc-type"], b) for f, b in warc.parse(data)] == [("metadata", b"no length"), ("response", b"ab" + end), ("request", b"last")]
+    assert list(warc.parse(b"")) == [] and list(warc.parse(b"WARC/1.1\r\ncut")) == []
+
+
 def test_url_filter(spark):
     urls = [
         (1, "http://www.Example.ORG/es/1?x", "www.example.org", "/es/1", "example.org/es/", "block"), (2, "https://example.org/en/12#y", "example.org", "/en/12", "example.org/en/1", "block"),
@@ -317,6 +326,40 @@ def test_url_model_learns(spark):
     assert got == {i: "allow" if i < 10 else "block" for i in range(20)}
 
 
+def plain_url_model(urls, labels, n=4096, rounds=150, rate=2.0, decay=1e-3):
+    """chance(url) of a logistic regression on hashed n-grams, in the same dual form, one row at a time."""
+
+    def grams(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (lower(m[1]), m[2]) if m else ("", "")
+        out = set()
+        for name, text in (("h", host), ("p", path)):
+            chars = ["^", *text, "$"]
+            for k in (3, 4):
+                out |= {xxhash.xxh64("".join(chars[i : i + k]).encode(), xxhash.xxh64(name.encode(), 42).intdigest()).intdigest() % n for i in range(max(len(chars) - k, 0) + 1)}
+        return out
+
+    g = [grams(u) for u in urls]
+    alpha = [0.0] * len(g)
+    for _ in range(rounds):
+        s = [sum(alpha[j] * (len(g[i] & g[j]) / (len(g[i]) * len(g[j])) ** 0.5 + 1) for j in range(len(g))) for i in range(len(g))]
+        alpha = [a + rate * ((y - 1 / (1 + np.exp(-z))) / len(g) ** 0.5 - decay * a) for a, y, z in zip(alpha, labels, s, strict=True)]
+    return lambda url: 1 / (1 + np.exp(-sum(a * (len((x := grams(url)) & h) / (len(x) * len(h)) ** 0.5 + 1) for a, h in zip(alpha, g, strict=True))))
+
+
+def test_url_verdicts_against_a_plain_model(spark):
+    known = [(f"http://school{i}.edu/lesson/{i * 7}", 1) for i in range(12)] + [(f"https://CASINO{i}.win/bet/{i}?x", 0) for i in range(12)]
+    other = ["http://school99.edu/other", "http://casino77.win/", "http://a.b/ü", "", None, "no url", "http://lesson.win/bet", "http://casino.edu/lesson/1"]
+    pages = spark.createDataFrame(list(enumerate(other)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(pages, [], spark.createDataFrame(known, "url string, label int")).collect()}
+    plain = plain_url_model([u for u, _ in known], [y for _, y in known])
+    for i, u in enumerate(other):
+        assert abs(got[i].chance - plain(u)) < 1e-4
+        assert got[i].verdict == ("allow" if plain(u) >= 0.5 else "block")
+    few = urlfilter.judge(pages, [], spark.createDataFrame(known, "url string, label int"), max_rows=4)
+    assert few.count() == len(other)
+
+
 def test_sharding(spark, docs, rows):
     got = sharding.shard(docs, shards=5).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
@@ -336,6 +379,79 @@ def test_sharding(spark, docs, rows):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_heavy_groups_stay_whole_where_a_shard_has_room():
+    r = random.Random(8)
+    for _ in range(200):
+        shards = r.randint(1, 9)
+        groups = [(bytes([i]), r.randint(1, 60), r.randint(1, 40)) for i in range(r.randint(0, 12))]
+        total = sum(z * n for _, z, n in groups) + r.randint(0, 3000)
+        parts, left = sharding.reserve(groups, total, shards)
+        of, used = defaultdict(list), Counter()
+        size = {d: z for d, z, _ in groups}
+        for d, a, z, i in parts:
+            of[d].append((a, z))
+            used[i] += size[d] * (z - a)
+        assert {d: n for d, _, n in groups} == {d: max(z for _, z in x) for d, x in of.items()}
+        assert all([a for a, _ in sorted(x)] == [0, *[z for _, z in sorted(x)][:-1]] for x in of.values())
+        share = total / shards
+        whole = total - sum(z * n for _, z, n in groups)
+        assert abs(sum(left) - whole) < 1e-6 * max(total, 1)
+        assert all(used[i] <= share + 60 for i in range(shards))
+        level = max((used[i] + t for i, t in enumerate(left) if t > 0), default=0)
+        assert all(abs(used[i] + t - level) < 1e-6 * level if t > 0 else used[i] >= level - 1e-6 * total for i, t in enumerate(left))
+    assert len(sharding.reserve([(b"a", 10, 9), (b"b", 10, 8)], 200, 2)[0]) == 2
+
+
+def brute_tree(points, leaves, whole):
+    """The shard of each (digest, weight, coordinates): cuts at the weighted quantile of the widest dimension."""
+    if len(leaves) == 1:
+        return {p[0]: leaves[0][0] for p in points}
+    if not points:
+        return {}
+    dims = range(4)
+    axis = max(dims, key=lambda c: (max(p[2][c] for p in points) - min(p[2][c] for p in points)) / whole[c])
+    left, right = leaves[: len(leaves) // 2], leaves[len(leaves) // 2 :]
+    want = sum(p[1] for p in points) * sum(t for _, t in left) / sum(t for _, t in leaves)
+    points = sorted(points, key=lambda p: p[2][axis])
+    below, n = 0.0, 0
+    for p in points:
+        if below + p[1] / 2 >= want:
+            break
+        below, n = below + p[1], n + 1
+    return brute_tree(points[:n], left, whole) | brute_tree(points[n:], right, whole)
+
+
+@pytest.mark.parametrize("bins", [1 << 20, 64])
+def test_kd_tree_against_a_plain_one(spark, monkeypatch, bins):
+    monkeypatch.setattr(sharding, "_ALL_BINS", bins)
+    r = np.random.default_rng(2)
+    points = [(i, float(r.integers(1, 50)), [float(x) for x in (r.normal() * 9, r.exponential() * 50, r.integers(3) + r.random(), r.random())]) for i in range(500)]
+    whole = [max(p[2][c] for p in points) - min(p[2][c] for p in points) for c in range(4)]
+    leaves = [(3, 10.0), (4, 2.0), (5, 10.0), (7, 10.0), (8, 5.0), (9, 10.0), (10, 10.0)]
+    units = spark.createDataFrame([(i, w, *x) for i, w, x in points], "digest long, weight double, " + ", ".join(f"{c} double" for c in sharding.DIMS))
+    assert {x.digest: x.shard for x in sharding.kd_tree(units, leaves).collect()} == brute_tree(points, leaves, whole)
+    one = sharding.kd_tree(units, [(6, 1.0)]).select("shard").distinct().collect()
+    assert [x.shard for x in one] == [6]
+
+
+def test_sharding_with_a_text_that_holds_a_third_of_all(spark):
+    rows = [(i, "copy " * 30 if i % 3 == 0 else f"half {i % 5} " * 20 if i % 3 == 1 and i < 600 else prose(i, 25)) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).repartition(5), shards=9).collect()
+    sizes, slots, of = Counter(), defaultdict(list), defaultdict(Counter)
+    for x in got:
+        sizes[x.shard] += x["size"]
+        slots[x.shard].append(x.slot)
+        of[x.text_crc32][x.shard] += 1
+    assert sorted(x.doc_id for x in got) == list(range(3000)) and set(sizes) == set(range(9))
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    text = "copy " * 30
+    share = sum(sizes.values()) / 9
+    for crc, shards in of.items():
+        most = -(-1000 * (len(text) + 16) // share) + 1 if crc == zlib.crc32(text.encode()) else 1
+        assert len(shards) <= most
+
+
 def test_quality(spark, docs):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = quality.op8_quality(spark, SF).toPandas()
@@ -352,6 +468,44 @@ def test_quality(spark, docs):
     assert quality.score(docs.limit(0), quality.train(docs, labels.limit(0))).count() == 0
 
 
+def plain_features(text):
+    """The features of a text, one by one."""
+    kind = lambda b: 0 if 97 <= b < 123 else 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 3 if b >= 128 else 4 if chr(b) in ".,;:'()?" else 5 if b in (32, *range(9, 14)) else 6
+    raw = text.encode() + b" "
+    out = [sum(kind(b) == c for b in raw) / len(raw) for c in range(7)]
+    # a word ends where the text's bytes say; its kinds are of the bytes as they stand
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if not words:
+        return np.zeros(quality.N_STATS + quality.SHAPES)
+    n, size, low = len(words), [len(w) for w in words], [w.lower() for w in words]
+    mean = sum(size) / n
+    counts = Counter(low)
+    out += [mean / 10, max(0, sum(s * s for s in size) / n - mean**2) ** 0.5 / 10, len(counts) / n, max(counts.values()) / n, len(counts) / n * np.log1p(n) / 5]
+    out.append(sum(a == b for a, b in zip(low, low[1:], strict=False)) / n)
+    out += [sum(kind(w[-1]) == c for w in words) / n for c in (1, 4, 6, 2)]
+    out += [sum(kind(w[0]) == c for w in words) / n for c in (1, 6)]
+    out += [sum(s == 1 for s in size) / n, np.log1p(n) / 10, raw.count(10) / n]
+    shape = Counter(((((kind(w[max(len(w) - 2, 0)]) * 7 + kind(w[-1])) * 7 + kind(w[0])) * 8 + min(len(w), 15) // 2) * 2654435761 >> 7) % quality.SHAPES for w in words)
+    return np.array(out + [(shape[i] / n) ** 0.5 for i in range(quality.SHAPES)])
+
+
+def test_quality_scores_against_a_plain_one(spark, rows):
+    texts = [t or "" for _, t in rows] + ["One. TWO, three!! 44 (x) x X\n\nA", "ß" * 9]
+    plain = np.array([plain_features(t) for t in texts])
+    assert np.allclose(quality.features([t.encode() for t in texts]), plain, atol=1e-5)
+    y = np.array([i % 2 for i in range(len(texts))])
+    model = quality.fit(plain, y, pairs=5000, rounds=50)
+    z = (plain - model.center) / model.scale
+    good, bad = z[y == 1] @ model.weights, z[y == 0] @ model.weights
+    # the loss over all preference pairs is less than without weights, and the threshold splits by the share of lows
+    assert np.log1p(np.exp(bad[None] - good[:, None])).mean() < np.log(2)
+    assert abs((np.concatenate([good, bad]) < model.threshold).mean() - (y == 0).mean()) < 0.05
+    want = 1 / (1 + np.exp(-np.clip((z @ model.weights - model.threshold) / model.spread + np.log(0.7 / 0.3), -30, 30)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = {x.doc_id: (x.score, x.predicted) for x in quality.score(df, model).collect()}
+    assert all(abs(got[i][0] - w) < 1e-4 and (abs(w - 0.7) < 1e-4 or got[i][1] == (w >= 0.7)) for i, w in enumerate(want))
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_top_k(spark, block):
     r = np.random.default_rng(3)
@@ -451,6 +605,71 @@ def test_language_model(spark, docs, rows):
     assert lm.score(docs.limit(0), held, steps=5).count() == 0
 
 
+def test_language_model_scores_against_a_plain_one(spark):
+    """Every word of every text by itself, with the fitted vectors looked up by word."""
+    r = random.Random(3)
+    heads = [f"head{i}" for i in range(lm.HEAD)]
+    rare = [f"rare{i}{c}" for i in range(20) for c in ("xyz", "uvw")]
+    texts = [" ".join(heads[i : i + 40] + r.choices(rare, k=2)) for i in list(range(0, lm.HEAD, 20)) * 8]
+    texts += ["", None, "unseen1 head3 rare0xyz unseen2", "rare1xyz " * 5]
+    held = lambda d: d % 5 == 2
+    got = {}
+    for common_words in (800, 2000):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        rows = lm.score(df, F.col("doc_id") % 5 == 2, common_words=common_words, steps=40).collect()
+        got[common_words] = {x.doc_id: x.score for x in rows}
+    key = lambda w: int(lm._keys(common.Words([w.encode()], common.SOLID))[0])
+    tail = lambda w: int(lm.tail_class(common.Words([w.encode()], common.SOLID))[0])
+    words = [[*(t or "").split(), None] for t in texts]
+    counts = Counter(w for d, ws in enumerate(words) if not held(d) for w in ws)
+    heads = sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], key(w)))[: lm.HEAD]
+    number = {None: 0} | {w: i + 1 for i, w in enumerate(heads)}
+    cls = lambda w: number.get(w, 1 + lm.HEAD + tail(w) if w else 0)
+    pairs, class_n, class_v = Counter(), np.zeros(lm.K), np.zeros(lm.K)
+    after, before = defaultdict(Counter), defaultdict(Counter)
+    for d, ws in enumerate(words):
+        for p, w in zip([None, *ws[:-1]], ws, strict=True):
+            if not held(d):
+                pairs[cls(p), cls(w)] += 1
+                after[p][cls(w)] += 1
+                before[w][cls(p)] += 1
+    for w, n in counts.items():
+        class_n[cls(w)] += n
+        class_v[cls(w)] += cls(w) > lm.HEAD
+    h, out, bias = lm.train_vectors(np.array([(a, b, n) for (a, b), n in sorted(pairs.items())]), class_n, steps=40)
+    table = lm._table(h, out, bias)
+    around = np.zeros((lm.TAILS, lm.K), dtype=np.float32)
+    for (a, b), n in pairs.items():
+        if b > lm.HEAD:
+            around[b - 1 - lm.HEAD, a] = n
+    row = lambda c: np.array([[c[k] for k in range(lm.K)]], dtype=np.float32)
+    own = [w for w, n in counts.items() if cls(w) > lm.HEAD and n >= lm.OWN]
+    x = {w: lm.context_vectors(row(after[w]), (table * np.float32(np.log(10)))[cls(w)], out)[0] / np.log(10) for w in own}
+    y = {w: lm.output_vectors(row(before[w]), around[cls(w) - 1 - lm.HEAD], h)[0] for w in own}
+    added = np.zeros((lm.K, lm.K))
+    for w in own:
+        added[cls(w)] += (counts[w] + 1) * np.expm1(y[w].astype(float))
+    whole = class_n + class_v + 1
+    assert len(own) > 20
+
+    def chance(p, w):
+        a, c = cls(p), cls(w)
+        s = float(table[a, c]) + (x[p][c] if p in x else 0)
+        if c > lm.HEAD:
+            s += log10(counts[w] + 1) - log10(max(whole[c] + added[c][a], 1)) + (y[w][a] / np.log(10) if w in y else 0)
+        return s
+
+    for d, ws in enumerate(words):
+        want = sum(chance(p, w) for p, w in zip([None, *ws[:-1]], ws, strict=True))
+        assert all(abs(g[d] - want) < 2e-3 * len(ws) for g in got.values())
+    # all words that can follow, with one unseen word in each tail class, add to one
+    for p in (None, heads[0], own[0]):
+        total = sum(10 ** chance(p, w) for w in counts)
+        a = cls(p)
+        unseen = sum(10 ** (float(table[a, c]) + (x[p][c] if p in x else 0)) / max(whole[c] + added[c][a], 1) for c in range(1 + lm.HEAD, lm.K))
+        assert abs(total + unseen - 1) < 1e-3
+
+
 def test_language_model_is_normalised_and_better():
     r = np.random.default_rng(1)
     pairs = np.array([(i, (i + 1) % 20, 50) for i in range(20)] + [(i, int(r.integers(20)), 5) for i in range(20)])
