@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def tms_y(lod: Column, y: Column) -> Column:
@@ -165,13 +162,20 @@ def path_prefix(parts: list[Column], n: int) -> Column:
     return F.concat_ws("/", *parts[:n])
 
 
+#: Letters that stand by themselves, each before a dot or blank.
+_RUN = "(?:[A-Za-z] ?[. ])+"
+
+
 def contract_acronyms(text: Column) -> Column:
-    """Letters that stand apart by dots or spaces become one word."""
-    return F.regexp_replace(text, r"\b([A-Za-z])[. ]+(?=[A-Za-z]\b)", "$1")
+    """Runs of single letters, each before a dot or blank, become one word with a blank after it."""
+    parts = F.regexp_extract_all(text, F.lit(f"{_RUN}|[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
+    joined = lambda p: F.when(F.regexp_like(p, F.lit(f"^{_RUN}$")), F.concat(F.translate(p, ". ", ""), F.lit(" "))).otherwise(p)
+    return F.array_join(F.transform(parts, joined), "")
 
 
 def drop_expansion(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s*[(\[][^)\]]*[)\]]", ""))
+    """Text without what stands in braces, and without the first word of what stands in brackets."""
+    return F.regexp_replace(text, r"\{[^}]*(?:\}|\z)|\[[^ \t-\r\]]*([ \t-\r][^\]]*)?(?:\]|\z)", "$1")
 
 
 _ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýß"
@@ -179,8 +183,9 @@ _PLAIN = "aaaaaaeeeeiiiiooooouuuuncys"
 
 
 def credit_id(text: Column) -> Column:
-    """Attribution to an id: Latin letters without accents, runs of others to one hyphen, auto- before."""
-    plain = F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    """Attribution to an id: expansions dropped, Latin letters without accents, acronyms as one word, runs of others to
+    one hyphen, auto- before. The whole text counts."""
+    plain = contract_acronyms(F.translate(F.lower(drop_expansion(text)), _ACCENTED, _PLAIN))
     return F.concat(F.lit("auto-"), F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""))
 
 
@@ -260,13 +265,16 @@ def classify_name(interface: Column, name: Column, tiled: bool = True) -> Column
     return out
 
 
-@F.pandas_udf(StructType([StructField("lo", DoubleType()), StructField("hi", DoubleType())]))
-def half_range(lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
-    """The narrowest pair of half-precision numbers around a range, kept within the largest finite one."""
-    top = np.float64(65504)
-    a, b = (np.clip(x.to_numpy(dtype=np.float64, na_value=np.nan), -top, top) for x in (lo, hi))
-    ha, hb = a.astype(np.float16), b.astype(np.float16)
-    with np.errstate(over="ignore"):  # the step beyond the largest number is computed, not taken
-        ha = np.where(ha.astype(np.float64) > a, np.nextafter(ha, np.float16(-np.inf)), ha)
-        hb = np.where(hb.astype(np.float64) < b, np.nextafter(hb, np.float16(np.inf)), hb)
-    return pd.DataFrame({"lo": ha.astype(np.float64), "hi": hb.astype(np.float64)})
+def half_range(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """The narrowest pair of half-precision numbers around a range, kept within the largest finite one: a number has 11
+    bits, and below 2^-14 the step of that."""
+    held = [F.least(F.greatest(c, F.lit(-65504.0)), F.lit(65504.0)) for c in (lo, hi)]
+
+    def step(c: Column) -> Column:
+        size = F.abs(c)
+        e = F.floor(F.log2(F.greatest(size, F.lit(1e-300))))
+        # the logarithm may be rounded over a power of two
+        e = e - F.when(F.pow(F.lit(2.0), e) > size, 1).otherwise(0) + F.when(F.pow(F.lit(2.0), e + 1) <= size, 1).otherwise(0)
+        return F.pow(F.lit(2.0), F.greatest(e, F.lit(-14)) - 10)
+
+    return F.floor(held[0] / step(held[0])) * step(held[0]), F.ceil(held[1] / step(held[1])) * step(held[1])

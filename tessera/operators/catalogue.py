@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +76,36 @@ def merged_credits(own: Column, other: Column, replace: Column) -> Column:
 
 
 def compose(surface: DataFrame, imagery: DataFrame, key: list[str]) -> DataFrame:
-    """Surface with imagery: both must be there; the higher revision, all credits."""
-    j = surface.join(imagery.select(*key, F.col("revision").alias("_r"), F.col("credits").alias("_c")), key)
-    return j.select(*key, F.greatest("revision", "_r").alias("revision"), F.array_sort(F.array_union("credits", "_c")).alias("credits"))
+    """Surface with imagery: the higher revision, all credits. A surface without imagery is an error."""
+    j = surface.join(imagery.select(*key, F.col("revision").alias("_r"), F.col("credits").alias("_c"), F.lit(True).alias("_there")), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no imagery for "), F.concat_ws("/", *key)))
+    revision = F.when(F.col("_there").isNull(), missing.cast("int")).otherwise(F.greatest("revision", "_r"))
+    return j.select(*key, revision.alias("revision"), F.array_sort(F.array_union("credits", "_c")).alias("credits"))
+
+
+@dataclass
+class Raster:
+    """Elevations as cells (px, py, z) from x0, y0 on, `size` wide."""
+
+    cells: DataFrame
+    x0: float
+    y0: float
+    size: float
+
+
+def height_code(points: DataFrame, rasters: list[Raster], mode: Column) -> DataFrame:
+    """points (x, y, z) with z of the first raster of the stack that has one at the point's cell. mode: "always" takes it
+    wherever there is one, "auto" only for points without z, "never" leaves all as they are.
+
+    Each raster is met by an equi-join on the cell; points that keep their z take no part in its search."""
+    asks = (mode == "always") | (mode == "auto") & F.col("z").isNull()
+    out = points.withColumn("_asks", asks).withColumn("_z", F.lit(None).cast("double"))
+    for r in rasters:
+        spot = [F.when(F.col("_asks") & F.col("_z").isNull(), F.floor((F.col(c) - c0) / r.size).cast("int")) for c, c0 in (("x", r.x0), ("y", r.y0))]
+        held = r.cells.where("z IS NOT NULL").select(F.col("px").alias("_px"), F.col("py").alias("_py"), F.col("z").cast("double").alias("_new"))
+        out = out.withColumn("_px", spot[0]).withColumn("_py", spot[1]).join(held, ["_px", "_py"], "left")
+        out = out.withColumn("_z", F.coalesce("_z", "_new")).drop("_px", "_py", "_new")
+    return out.withColumn("z", F.when(F.col("_asks"), F.coalesce("_z", "z")).otherwise(F.col("z"))).select(*points.columns)
 
 
 def cache_age(explicit: Column, kind: Column, ages: dict[str, int]) -> Column:
@@ -143,9 +172,117 @@ def style(source: Column, layers: Column, light: Column) -> Column:
     return F.to_json(F.struct(F.lit(2).alias("version"), F.struct(F.struct(F.lit("surface").alias("type"), source.alias("url")).alias("main")).alias("sources"), F.struct(F.array(F.lit("main")).alias("sources")).alias("terrain"), layers.alias("layers"), F.struct(F.array(F.lit("tracking"), light, F.lit("45")).alias("light")).alias("illumination")))
 
 
-def tile_matrix_xml(lod: Column, denominator: Column, width: Column) -> Column:
+def _element(name: str, *inner: Column | str) -> Column:
+    return F.concat(F.lit(f"<{name}>"), *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in inner], F.lit(f"</{name}>"))
+
+
+def escaped(text: Column) -> Column:
+    """Text as it stands in XML."""
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(name))
+    return text
+
+
+def _number(value: Column) -> Column:
+    return F.format_string("%.6f", value)
+
+
+def tile_matrix_xml(lod: Column, denominator: Column, left: Column, top: Column, width: Column, height: Column, tile: int = 256) -> Column:
     """One matrix of a tile matrix set as XML."""
-    return F.concat(F.lit("<TileMatrix><Identifier>"), lod.cast("string"), F.lit("</Identifier><ScaleDenominator>"), F.format_string("%.6f", denominator), F.lit("</ScaleDenominator><MatrixWidth>"), width.cast("string"), F.lit("</MatrixWidth></TileMatrix>"))
+    corner = F.concat(_number(left), F.lit(" "), _number(top))
+    parts = [_element("ows:Identifier", lod), _element("ScaleDenominator", _number(denominator)), _element("TopLeftCorner", corner), _element("TileWidth", str(tile)), _element("TileHeight", str(tile)), _element("MatrixWidth", width), _element("MatrixHeight", height)]
+    return _element("TileMatrix", *parts)
+
+
+def capabilities(sets: DataFrame, layers: DataFrame) -> DataFrame:
+    """One XML document of layers (layer, set, lod, x0, y0, x1, y1, and extents xmin, ymin, xmax, ymax) with the limits of
+    their levels, and of tile matrix sets (set, crs, lod, denominator, left, top, width, height). Layers and sets come in
+    the order of their names, levels by number; a document holds what one server publishes."""
+    ordered = lambda key, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), text.alias("t")))), lambda e: e["t"]), "")
+    limit = _element("TileMatrixLimits", *[_element(n, F.col(c)) for n, c in (("TileMatrix", "lod"), ("MinTileRow", "y0"), ("MaxTileRow", "y1"), ("MinTileCol", "x0"), ("MaxTileCol", "x1"))])
+    corners = [F.concat(_number(F.col(x)), F.lit(" "), _number(F.col(y))) for x, y in (("xmin", "ymin"), ("xmax", "ymax"))]
+    each = layers.groupBy("layer", "set").agg(ordered("lod", limit).alias("limits"), *[f(c).alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))])
+    link = _element("TileMatrixSetLink", _element("TileMatrixSet", escaped(F.col("set"))), _element("TileMatrixSetLimits", F.col("limits")))
+    box = _element("ows:BoundingBox", _element("ows:LowerCorner", corners[0]), _element("ows:UpperCorner", corners[1]))
+    said = each.select("layer", "set", _element("Layer", _element("ows:Identifier", escaped(F.col("layer"))), box, link).alias("x")).agg(ordered("layer", F.col("x")).alias("layers"))
+    matrix = tile_matrix_xml(F.col("lod"), F.col("denominator"), F.col("left"), F.col("top"), F.col("width"), F.col("height"))
+    one = sets.groupBy("set", "crs").agg(ordered("lod", matrix).alias("m"))
+    one = one.select("set", _element("TileMatrixSet", _element("ows:Identifier", escaped(F.col("set"))), _element("ows:SupportedCRS", F.col("crs")), F.col("m")).alias("x"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><Capabilities version="1.0.0" xmlns="http://www.opengis.net/wmts/1.0" xmlns:ows="http://www.opengis.net/ows/1.1">'
+    whole = one.agg(ordered("set", F.col("x")).alias("sets")).join(F.broadcast(said), F.lit(True))
+    return whole.select(F.concat(F.lit(head), _element("Contents", F.col("layers"), F.col("sets")), F.lit("</Capabilities>")).alias("xml"))
+
+
+def matrix_roots(nodes: DataFrame, content: str | None) -> DataFrame:
+    """Root level, tile range and extents of a tile matrix set over a frame's nodes (lod, x, y, srs, xmin, ymin, xmax,
+    ymax): those in the system `content`, which must be there and all of one level; without it, the only node."""
+    own = nodes.where(F.col("srs") == content) if content else nodes
+    n, levels = F.count(F.lit(1)), (F.min("lod"), F.max("lod"))
+    wrong = F.when(n == 0, f"no root node for {content}").when(F.lit(not content) & (n != 1), "the frame is not single-rooted").when(levels[0] != levels[1], "content roots are not at one level")
+    ends = [f(c).alias(a) for c, f, a in (("x", F.min, "x0"), ("x", F.max, "x1"), ("y", F.min, "y0"), ("y", F.max, "y1"), ("xmin", F.min, "xmin"), ("ymin", F.min, "ymin"), ("xmax", F.max, "xmax"), ("ymax", F.max, "ymax"))]
+    found = own.agg(levels[0].alias("lod"), *ends, wrong.alias("_wrong"))
+    checked = F.when(F.col("_wrong").isNotNull(), F.raise_error(F.concat(F.lit("malformed extension: "), "_wrong")).cast("int")).otherwise(F.col("lod"))
+    return found.withColumn("lod", checked).drop("_wrong")
+
+
+#: Commands and how many arguments each takes.
+COMMANDS = {"list-resources": {0}, "update-resources": {0}, "updated-since": {1, 4}, "supports-reference-frame": {1}, "has-resource": {3}, "is-resource-ready": {3}, "resource-url": {3}}
+
+
+def answer(commands: DataFrame, resources: DataFrame, now: int) -> DataFrame:
+    """(id, answer) of commands (id, command, args array<string>) over resources (rf, grp, resource, type, ready, updated:
+    microseconds). A resource is named by its frame, group and id. Wrong numbers of arguments, what is no number and unknown
+    commands are answered by errors; update-resources gives the time to ask updated-since about."""
+    n = F.size("args")
+    first = F.when(F.col("command") == "updated-since", 1).otherwise(0)
+    arg = lambda i: F.get("args", first + i)
+    asked = commands.withColumn("rf", arg(0)).withColumn("grp", arg(1)).withColumn("resource", arg(2))
+    j = asked.join(resources.withColumn("_there", F.lit(True)), ["rf", "grp", "resource"], "left")
+    name = F.concat_ws("/", "rf", "type", "grp", "resource")
+    listed = F.array_join(F.array_sort(F.collect_list(name)), "\n")
+    whole = resources.agg(listed.alias("_all"), F.max("updated").alias("_newest"), F.collect_set("rf").alias("_frames"))
+    j = j.join(F.broadcast(whole), F.lit(True))
+    there, at = F.col("_there").isNotNull(), F.get("args", F.lit(0)).try_cast("long")
+    since = F.when(at.isNull(), "error: argument is not a number").otherwise((F.when(n == 1, F.col("_newest")).otherwise(F.col("updated")) > at).cast("string"))
+    said = {
+        "list-resources": F.col("_all"), "update-resources": F.lit(f"resource updater notified\n{now}"), "updated-since": F.coalesce(since, F.lit("false")),
+        "supports-reference-frame": F.array_contains("_frames", F.get("args", F.lit(0))).cast("string"), "has-resource": there.cast("string"),
+        "is-resource-ready": (there & F.coalesce("ready", F.lit(False))).cast("string"), "resource-url": F.when(there, F.concat(F.lit("/"), name, F.lit("/"))).otherwise("error: no such resource"),
+    }
+    out = F.concat(F.lit("error: unknown command "), "command")
+    for command, counts in COMMANDS.items():
+        few = F.lit(f"error: {command} expects {' or '.join(map(str, sorted(counts)))} arguments")
+        out = F.when(F.col("command") == command, F.when(n.isin(*counts), said[command]).otherwise(few)).otherwise(out)
+    return j.select("id", out.alias("answer"))
+
+
+#: Members of definitions by driver: name, type, default (None: an error where required, else absent).
+DEFINITION_MEMBERS = {
+    "tms-gdaldem": [("dataset", "string", None, True), ("processing", "string", None, True), ("processingOptions", "array<string>", "[]", False), ("poProgressions", "map<string,array<double>>", "{}", False), ("colorFile", "string", None, False), ("format", "string", '"jpg"', False), ("resampling", "string", '"cubic"', False), ("erodeMask", "boolean", "false", False)],
+    "geodata-vector": [("dataset", "string", None, True), ("demDataset", "string", None, True), ("layers", "array<string>", "[]", False), ("clipLayers", "array<string>", None, False), ("mode", "string", '"auto"', False), ("displaySize", "int", "256", False)],
+}
+
+
+def parse_definition(text: Column, driver: str) -> Column:
+    """A struct of a driver's members from JSON text: defaults where they are absent; an error where a required one is."""
+    members = DEFINITION_MEMBERS[driver]
+    parsed = F.from_json(text, ", ".join(f"{n} {k}" for n, k, _, _ in members))
+
+    def member(name: str, kind: str, default: str | None, required: bool) -> Column:
+        value = parsed[name]
+        if required:
+            return F.when(value.isNull(), F.raise_error(F.lit(f"{driver}: no {name}")).cast(kind)).otherwise(value)
+        if default is None:
+            return value
+        return F.coalesce(value, F.from_json(F.lit(f'{{"v":{default}}}'), f"v {kind}")["v"])
+
+    return F.struct(*[member(*m).alias(m[0]) for m in members])
+
+
+def build_definition(definition: Column) -> Column:
+    """JSON text of parse_definition()'s struct; absent members and empty lists and maps are left out."""
+    text = F.to_json(definition)
+    return F.regexp_replace(F.regexp_replace(text, r'"\w+":(?:\[\]|\{\}),', ""), r',"\w+":(?:\[\]|\{\})', "")
 
 
 def definition_json(group: Column, ident: Column, kind: Column, driver: Column, rev: Column, template: bool = False) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,19 @@ def leaves(pixels: DataFrame, lod: int, shift: int, force_watertight: bool = Fal
     return agg.where("mask_max > 0 AND min_z IS NOT NULL").select(F.lit(lod).alias("lod"), "x", "y", "watertight", "min_z", "max_z")
 
 
-def pyramid(leaf: DataFrame, lod: int, top: int = 0) -> DataFrame:
-    """All levels from lod up to top: lowest and highest elevation, and watertight where every one of the 4^k leaves
-    below is there and watertight.
+def _expected(area: tuple[int, int, int, int] | None, s: Column) -> Column:
+    """How many of the 4^s cells of a tile, s levels below it, lie in an inclusive box of them (all without one)."""
+    if area is None:
+        return F.pow(F.lit(4.0), s).cast("long")
+    side = F.call_function("shiftleft", F.lit(1), s)
+    width = [F.least(F.lit(area[i + 2]), (F.col(c) + 1) * side - 1) - F.greatest(F.lit(area[i]), F.col(c) * side) + 1 for i, c in enumerate("xy")]
+    return (F.greatest(width[0], F.lit(0)) * F.greatest(width[1], F.lit(0))).cast("long")
+
+
+def pyramid(leaf: DataFrame, lod: int, top: int = 0, area: tuple[int, int, int, int] | None = None, force_watertight: bool = False) -> DataFrame:
+    """All levels from lod up to top: lowest and highest elevation, and watertight where every leaf below that can be
+    there is there and watertight: all 4^k, or those inside an inclusive box of leaves (x0, y0, x1, y1) where the
+    resource's area is constrained to it.
 
     Each leaf row is exploded to its ancestors before one aggregation, whose map-side part collapses them: a level
     holds a quarter of the rows of the one below, so the shuffle carries about 4/3 of the leaves.
@@ -32,15 +44,27 @@ def pyramid(leaf: DataFrame, lod: int, top: int = 0) -> DataFrame:
     rows = leaf.select("x", "y", "watertight", "min_z", "max_z", up)
     rows = rows.select((F.lit(lod) - F.col("s")).alias("lod"), F.expr("shiftright(x, s)").alias("x"), F.expr("shiftright(y, s)").alias("y"), "watertight", "min_z", "max_z")
     agg = rows.groupBy(*TILE).agg(F.bool_and("watertight").alias("w"), F.count(F.lit(1)).alias("n"), F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"))
-    whole = F.col("n") == F.pow(F.lit(4.0), F.lit(lod) - F.col("lod")).cast("long")
-    return agg.select(*TILE, (F.col("w") & whole).alias("watertight"), F.col("n").alias("n_leaves"), "min_z", "max_z")
+    whole = F.lit(True) if force_watertight else F.col("w") & (F.col("n") >= _expected(area, F.lit(lod) - F.col("lod")))
+    return agg.select(*TILE, whole.alias("watertight"), F.col("n").alias("n_leaves"), "min_z", "max_z")
 
 
-def mip_step(level: DataFrame) -> DataFrame:
-    """One level up, for pyramids too deep to explode: the same rule over four children."""
+def mip_step(level: DataFrame, area: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """One level up, for pyramids too deep to explode: the same rule over four children, or over those that meet the
+    inclusive box `area` of the children's level."""
     up = level.select((F.col("lod") - 1).alias("lod"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"), "watertight", "n_leaves", "min_z", "max_z")
     agg = up.groupBy(*TILE).agg(F.bool_and("watertight").alias("w"), F.count(F.lit(1)).alias("n"), F.sum("n_leaves").alias("n_leaves"), F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"))
-    return agg.select(*TILE, (F.col("w") & (F.col("n") == 4)).alias("watertight"), "n_leaves", "min_z", "max_z")
+    return agg.select(*TILE, (F.col("w") & (F.col("n") >= _expected(area, F.lit(1)))).alias("watertight"), "n_leaves", "min_z", "max_z")
+
+
+def mip_steps(leaf: DataFrame, lod: int, lod_min: int = 0, root: int = 0, area: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """All levels by steps, from lod down to the higher of the resource's lowest level and the node's own."""
+    level = leaf.withColumn("n_leaves", F.lit(1).cast("long")).select(*TILE, "watertight", "n_leaves", "min_z", "max_z")
+    out = level
+    for _ in range(lod - max(lod_min, root)):
+        level = mip_step(level, area)
+        area = area and tuple(c >> 1 for c in area)
+        out = out.unionByName(level)
+    return out
 
 
 def flags(df: DataFrame, navtile: Column | None = None) -> DataFrame:
@@ -131,24 +155,41 @@ def examples(d: DataFrame, n: int = 10) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("lod").orderBy("y", "x"))).where(F.col("rank") <= n)
 
 
+#: What a pair can break, in the order of check_pair().
+VIOLATIONS = ["unreachable payload", "payload without parent", "parent does not contain child", "tile without payload", "watertight with some children"]
+
+
 def check_pair(index: DataFrame, store: DataFrame) -> DataFrame:
-    """Violations of an index (flags) and its store (min_z, max_z): kind, lod, x, y. None for a sound pair."""
-    name = lambda df, kind: df.select(F.lit(kind).alias("kind"), *TILE)
-    up = store.where("lod > 0").select("*", (F.col("lod") - 1).alias("plod"), F.shiftright("x", 1).alias("px"), F.shiftright("y", 1).alias("py"))
-    over = store.select(F.col("lod").alias("plod"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("min_z").alias("pmin"), F.col("max_z").alias("pmax"))
-    linked = up.join(over, ["plod", "px", "py"], "left")
-    kids = index.where("flags <> 0 AND lod > 0").groupBy((F.col("lod") - 1).alias("lod"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    parts = [
-        name(store.join(ancestors(index), TILE, "left_anti"), "unreachable payload"),
-        name(linked.where("pmin IS NULL"), "payload without parent"),
-        name(linked.where("min_z < pmin OR max_z > pmax"), "parent does not contain child"),
-        name(index.where("flags <> 0").join(store, TILE, "left_anti"), "tile without payload"),
-        name(index.where(F.col("flags").bitwiseAND(WATERTIGHT) != 0).join(kids, TILE).where("n BETWEEN 1 AND 3"), "watertight with some children"),
+    """Violations of an index (flags) and its store (min_z, max_z): kind, lod, x, y. None for a sound pair.
+
+    All that says something of a tile is sent to it (its own row of either side, the tiles above a flagged one, a count
+    of its flagged children, the range of its parent) and meets in one aggregation."""
+    real = index.where("flags <> 0")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def said(df: DataFrame, lod: Column, x: Column, y: Column, **what: Column) -> DataFrame:
+        kinds = {"flags": "int", "min_z": "double", "max_z": "double", "pmin": "double", "pmax": "double", "n": "long", "reach": "boolean"}
+        return df.select(lod.cast("int").alias("lod"), x.cast("int").alias("x"), y.cast("int").alias("y"), *[what.get(c, none(k)).cast(k).alias(c) for c, k in kinds.items()])
+
+    lod, x, y = F.col("lod"), F.col("x"), F.col("y")
+    above = real.select("x", "y", "lod", F.explode(F.sequence(F.lit(0), lod)).alias("s"))
+    child = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("c")
+    below = store.select(*TILE, "min_z", "max_z", child)
+    rows = [
+        said(real, lod, x, y, flags=F.col("flags")),
+        said(store, lod, x, y, min_z=F.col("min_z"), max_z=F.col("max_z")),
+        said(above, lod - F.col("s"), F.expr("shiftright(x, s)"), F.expr("shiftright(y, s)"), reach=F.lit(True)),
+        said(real.where("lod > 0"), lod - 1, F.shiftright("x", 1), F.shiftright("y", 1), n=F.lit(1)),
+        said(below, lod + 1, x * 2 + F.col("c.i"), y * 2 + F.col("c.j"), pmin=F.col("min_z"), pmax=F.col("max_z")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    tile = reduce(DataFrame.unionByName, rows).groupBy(*TILE).agg(*[F.max(c).alias(c) for c in ("flags", "min_z", "max_z", "pmin", "pmax", "reach")], F.sum("n").alias("n"))
+    held = F.col("min_z").isNotNull()
+    wrong = [
+        held & F.col("reach").isNull(), held & (lod > 0) & F.col("pmin").isNull(), held & ((F.col("min_z") < F.col("pmin")) | (F.col("max_z") > F.col("pmax"))),
+        F.col("flags").isNotNull() & ~held, (F.col("flags").bitwiseAND(WATERTIGHT) != 0) & F.col("n").between(1, 3),
+    ]
+    kinds = F.array_compact(F.array(*[F.when(w, k) for w, k in zip(wrong, VIOLATIONS, strict=True)]))
+    return tile.select(F.explode(kinds).alias("kind"), *TILE)
 
 
 def serve(index: DataFrame, store: DataFrame) -> DataFrame:
@@ -196,3 +237,16 @@ def siblings(index: DataFrame) -> DataFrame:
     w = Window.partitionBy("lod", F.shiftright("x", 1), F.shiftright("y", 1))
     tight = F.col("flags").bitwiseAND(WATERTIGHT) != 0
     return index.select(*TILE, F.count(F.lit(1)).over(w).alias("n"), F.bool_and(tight).over(w).alias("all_watertight"))
+
+
+def split_blocks(ranges: DataFrame, nodes: DataFrame, width: int, height: int) -> DataFrame:
+    """Ranges (k, x0, y0, x1, y1) cut at the nodes (node, xa, ya, xb, yb: a grid of width x height) that they meet, with
+    their place: the node of the first corner is 0, then its neighbours ring by ring, by rows and columns. Ranges reach
+    nodes by the cells of the grid, with an equi-join."""
+    cell = lambda c, n: F.expr(f"{c} div {n}")
+    cells = ranges.withColumn("_i", F.explode(F.sequence(cell("x0", width), cell("x1", width)))).withColumn("_j", F.explode(F.sequence(cell("y0", height), cell("y1", height))))
+    grid = nodes.withColumn("_i", cell("xa", width)).withColumn("_j", cell("ya", height))
+    j = cells.join(grid, ["_i", "_j"])
+    away = F.abs(F.col("_i") - cell("x0", width)) + F.abs(F.col("_j") - cell("y0", height))
+    place = F.row_number().over(Window.partitionBy("k").orderBy(away, "ya", "xa")) - 1
+    return j.select("k", "node", F.greatest("x0", "xa").alias("x0"), F.greatest("y0", "ya").alias("y0"), F.least("x1", "xb").alias("x1"), F.least("y1", "yb").alias("y1"), place.alias("place"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,13 +54,20 @@ def convert(index: DataFrame, path: str, form: str) -> DataFrame:
     return index.sparkSession.read.schema(f"{INDEX_COLUMNS}, lod int").format(form).load(path).select(*P.TILE, "flags")
 
 
-def setup_resource(spark: SparkSession, pixels: DataFrame, group: str, ident: str, attribution: str, root: str, lod: int = T.LEAF_LOD, shift: int = T.TILE_SHIFT, overviews: int = 3) -> DataFrame:
-    """All that makes pixels a resource: measures, credit, overviews, tiling, definition; one row that says what was made."""
+def setup_resource(spark: SparkSession, pixels: DataFrame, group: str, ident: str, attribution: str, root: str, notify: Callable[[str], None] | None = None, lod: int = T.LEAF_LOD, shift: int = T.TILE_SHIFT, overviews: int = 3) -> DataFrame:
+    """All that makes pixels a resource: a copy of the dataset, of which all else is made; measures, credit, overviews,
+    tiling; the definition, written where a server looks for it; and word to that server. One row says what was made."""
+    pixels.write.parquet(f"{root}/dataset")
+    pixels = spark.read.parquet(f"{root}/dataset")
     facts = T.probe(pixels).select("xmin", "xmax", "ymin", "ymax", "n")
     over = build_overviews(R.cells(pixels), overviews, f"{root}/overviews")
     index, _ = build_tiling(pixels, lod, shift, f"{root}/tiles", {"rf": "earth"})
     sizes = over.agg(F.count(F.lit(1)).alias("n_overview"))
     levels = index.agg(F.min("lod").alias("lod_min"), F.max("lod").alias("lod_max"), F.count(F.lit(1)).alias("n_tiles"))
     said = C.definition_json(F.lit(group), F.lit(ident), F.lit("surface"), F.lit("surface-dem"), F.lit(0))
+    spark.range(1).select(said.alias("value")).coalesce(1).write.text(f"{root}/definition")
+    if notify:
+        notify(f"{group}/{ident}")
     # one row each
-    return facts.join(F.broadcast(sizes), F.lit(True)).join(F.broadcast(levels), F.lit(True)).select("*", S.credit_id(F.lit(attribution)).alias("credit"), said.alias("definition"))
+    written = spark.read.text(f"{root}/definition").withColumnRenamed("value", "definition")
+    return facts.join(F.broadcast(sizes), F.lit(True)).join(F.broadcast(levels), F.lit(True)).withColumn("credit", S.credit_id(F.lit(attribution))).join(F.broadcast(written), F.lit(True))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import catalogue as C
+from tessera.operators import geometry as G
 from tessera.operators import mesh as M
 from tessera.operators import pyramid as P
 from tessera.operators import raster as R
+from tessera.operators import survey as V
 from tessera.plans.queries import _BLOCK, INDEX, LEAF, OTHER, PYRAMID, blocks, index, leaf, other, tiles
 from tessera.plans.registry import query
 from tessera.sources import tables as T
@@ -34,9 +36,15 @@ def band_view(spark, d):
     return T.table(spark, d, "lineitem").where(px.between(100, 163)).select("l_orderkey", px.alias("px"), F.col("l_extendedprice").alias("band"))
 
 
-@query("b11_quantised_features", "SELECT c_custkey, '{\"id\":' || c_custkey || ',\"x\":' || CAST(round(c_acctbal / 8) AS BIGINT) || ',\"n\":\"' || c_name || '\"}' AS json FROM customer")
+_GEO = "p AS (SELECT c_custkey, c_name, radians(CAST(c_nationkey * 10 - 120 AS DOUBLE)) AS lo, radians(CAST(c_custkey % 160 - 80 AS DOUBLE)) AS la, CAST(c_acctbal AS DOUBLE) AS h, (1 / 298.257223563) * (2 - 1 / 298.257223563) AS e FROM customer), q AS (SELECT *, 6378137.0 / sqrt(1 - e * sin(la) * sin(la)) AS n FROM p), g AS (SELECT c_custkey, c_name, (n + h) * cos(la) * cos(lo) AS gx, (n + h) * cos(la) * sin(lo) AS gy, (n * (1 - e) + h) * sin(la) AS gz FROM q)"
+
+
+@query("b11_quantised_features", f"WITH {_GEO} SELECT c_custkey, '{{\"id\":' || c_custkey || ',\"at\":[' || CAST(round((gx + 6400000) / 8) AS BIGINT) || ',' || CAST(round((gy + 6400000) / 8) AS BIGINT) || ',' || CAST(round((gz + 6400000) / 8) AS BIGINT) || '],\"n\":\"' || c_name || '\"}}' AS json FROM g")
 def quantised(spark, d):
-    return T.table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") / 8).cast("long").alias("x"), F.col("c_name").alias("n"))).alias("json"))
+    """Features in the physical system, as whole steps of eight metres from a corner of its cube."""
+    at = S.geocentric((F.col("c_nationkey") * 10 - 120).cast("double"), (F.col("c_custkey") % 160 - 80).cast("double"), F.col("c_acctbal").cast("double"))
+    steps = F.array(*G.quantised(list(at), [-6.4e6] * 3, 8.0))
+    return T.table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("id"), steps.alias("at"), F.col("c_name").alias("n"))).alias("json"))
 
 
 @query("b16_layer_json", f"WITH {PYRAMID}, r AS (SELECT lod, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pyramid GROUP BY 1) SELECT '[' || string_agg('[{{\"x0\":' || x0 || ',\"y0\":' || y0 || ',\"x1\":' || x1 || ',\"y1\":' || y1 || '}}]', ',' ORDER BY lod) || ']' AS available FROM r")
@@ -54,10 +62,39 @@ def debug_nodes(spark, d):
     return index(spark, d).select(*P.TILE, F.to_json(F.struct(F.concat_ws("-", *P.TILE).alias("id"), F.col("flags").bitwiseOR(P.ATLAS).alias("flags"))).alias("json"))
 
 
-@query("c10_clip_policy", "SELECT c_custkey, CASE WHEN c_nationkey > 20 OR c_mktsegment IN ('BUILDING') THEN c_acctbal BETWEEN 0 AND 5000 ELSE true END AS inside FROM customer")
+_BOX = (100.0, 40.0, 700.0, 500.0)
+_CLIPPED = "c_nationkey > 20 OR c_mktsegment IN ('BUILDING')"
+#: Liang and Barsky's bounds of the parameter of a line from x0, y0 to x1, y1.
+_ENTER = "greatest(0, CASE WHEN dx > 0 THEN (100 - x0) / dx WHEN dx < 0 THEN (700 - x0) / dx ELSE 0 END, CASE WHEN dy > 0 THEN (40 - y0) / dy WHEN dy < 0 THEN (500 - y0) / dy ELSE 0 END)"
+_LEAVE = "least(1, CASE WHEN dx > 0 THEN (700 - x0) / dx WHEN dx < 0 THEN (100 - x0) / dx ELSE 1 END, CASE WHEN dy > 0 THEN (500 - y0) / dy WHEN dy < 0 THEN (40 - y0) / dy ELSE 1 END)"
+
+
+def _lines(spark, d):
+    k = F.col("c_custkey")
+    ends = {"x0": k * 37 % 1000, "y0": F.col("c_nationkey") * 29, "x1": k * 91 % 1000, "y1": k * 53 % 700}
+    return T.table(spark, d, "customer").select(k, "c_nationkey", "c_mktsegment", *[v.cast("double").alias(c) for c, v in ends.items()])
+
+
+@query("c10_clip_policy", f"""
+WITH l AS (SELECT c_custkey, {_CLIPPED} AS clipped, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS x0, CAST(c_nationkey * 29 AS DOUBLE) AS y0, CAST(c_custkey * 91 % 1000 AS DOUBLE) AS x1, CAST(c_custkey * 53 % 700 AS DOUBLE) AS y1 FROM customer),
+t AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM l), u AS (SELECT *, {_ENTER} AS a, {_LEAVE} AS b FROM t),
+v AS (SELECT * FROM u WHERE NOT clipped OR a <= b AND NOT (dx = 0 AND x0 NOT BETWEEN 100 AND 700) AND NOT (dy = 0 AND y0 NOT BETWEEN 40 AND 500))
+SELECT c_custkey, round(CASE WHEN clipped THEN x0 + a * dx ELSE x0 END, 6) AS x0, round(CASE WHEN clipped THEN y0 + a * dy ELSE y0 END, 6) AS y0, round(CASE WHEN clipped THEN x0 + b * dx ELSE x1 END, 6) AS x1, round(CASE WHEN clipped THEN y0 + b * dy ELSE y1 END, 6) AS y1 FROM v""")
 def clip(spark, d):
-    clipped = (F.col("c_nationkey") > 20) | F.col("c_mktsegment").isin("BUILDING")
-    return T.table(spark, d, "customer").select("c_custkey", F.when(clipped, F.col("c_acctbal").between(0, 5000)).otherwise(True).alias("inside"))
+    """Lines of features, clipped to the node's extents where the policy says so; those without a part inside are gone."""
+    ends = ["x0", "y0", "x1", "y1"]
+    clipped = G.clipped_layers(F.col("c_mktsegment"), F.col("c_nationkey") > 20, ["BUILDING"])
+    part = F.when(clipped, G.clip_segment(*[F.col(c) for c in ends], _BOX)).otherwise(F.struct(*ends))
+    return _lines(spark, d).select("c_custkey", part.alias("l")).where("l IS NOT NULL").select("c_custkey", *[F.round(f"l.{c}", 6).alias(c) for c in ends])
+
+
+@query("c10_clipped_rings", "WITH r AS (SELECT c_custkey, c_custkey * 37 % 1000 AS x, c_nationkey * 29 AS y, 20 + c_custkey % 200 AS s FROM customer) SELECT c_custkey, CAST(greatest(0, least(x + s, 700) - greatest(x, 100)) * greatest(0, least(y + s, 500) - greatest(y, 40)) AS DOUBLE) AS area FROM r WHERE least(x + s, 700) > greatest(x, 100) AND least(y + s, 500) > greatest(y, 40)")
+def clipped_rings(spark, d):
+    """Areas of squares after their rings are clipped."""
+    k = F.col("c_custkey")
+    x, y, s = (c.cast("double") for c in (k * 37 % 1000, F.col("c_nationkey") * 29, 20 + k % 200))
+    ring = F.array(*[F.struct((x + i * s).alias("x"), (y + j * s).alias("y")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    return T.table(spark, d, "customer").select(k, F.round(G.ring_area(G.clip_ring(ring, _BOX)), 6).alias("area")).where("area > 0")
 
 
 @query("c13_constant_blocks", f"WITH {T.PIXEL_SQL} SELECT px >> 2 AS tx, py >> 2 AS ty, count(z) = 0 AS empty, coalesce(min(z) = max(z) AND count(z) = count(*), false) AS constant FROM pixel GROUP BY 1, 2")
@@ -82,13 +119,16 @@ def masked(spark, d):
     return T.pixels(spark, d).groupBy("px", "py").agg(F.max(F.when(F.col("mask") > 0, F.col("z"))).alias("z"))
 
 
-@query("d15_block_split", "SELECT r.k AS k, d.node, greatest(r.x0, d.xa) AS x0, least(r.x1, d.xb) AS x1 FROM (SELECT c_custkey AS k, CAST(c_custkey % 100 AS INT) AS x0, CAST(c_custkey % 100 + c_nationkey AS INT) AS x1 FROM customer) r JOIN (SELECT n_nationkey AS node, n_nationkey * 6 AS xa, n_nationkey * 6 + 5 AS xb FROM nation) d ON r.x0 <= d.xb AND r.x1 >= d.xa")
+@query("d15_block_split", """
+WITH r AS (SELECT c_custkey AS k, CAST(c_custkey % 28 AS INT) AS x0, CAST(c_custkey % 28 + c_nationkey % 9 AS INT) AS x1, CAST(c_custkey % 23 AS INT) AS y0, CAST(c_custkey % 23 + c_nationkey % 7 AS INT) AS y1 FROM customer),
+d AS (SELECT n_nationkey AS node, CAST(n_nationkey % 5 * 6 AS INT) AS xa, CAST(n_nationkey % 5 * 6 + 5 AS INT) AS xb, CAST(n_nationkey // 5 * 5 AS INT) AS ya, CAST(n_nationkey // 5 * 5 + 4 AS INT) AS yb FROM nation)
+SELECT r.k, d.node, greatest(r.x0, d.xa) AS x0, greatest(r.y0, d.ya) AS y0, least(r.x1, d.xb) AS x1, least(r.y1, d.yb) AS y1, CAST(row_number() OVER (PARTITION BY r.k ORDER BY abs(d.xa // 6 - r.x0 // 6) + abs(d.ya // 5 - r.y0 // 5), d.ya, d.xa) - 1 AS INT) AS place FROM r JOIN d ON r.x0 <= d.xb AND r.x1 >= d.xa AND r.y0 <= d.yb AND r.y1 >= d.ya""")
 def block_split(spark, d):
-    c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 100).cast("int").alias("x0"), (F.col("c_custkey") % 100 + F.col("c_nationkey")).cast("int").alias("x1"))
-    n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), (F.col("n_nationkey") * 6).alias("xa"), (F.col("n_nationkey") * 6 + 5).alias("xb"))
-    cells = c.withColumn("cell", F.explode(F.expr("sequence(x0 div 6, x1 div 6)")))
-    j = cells.join(n, F.col("cell") == F.expr("xa div 6"))
-    return j.select("k", "node", F.greatest("x0", "xa").alias("x0"), F.least("x1", "xb").alias("x1"))
+    """Ranges of tiles cut at the nodes that they meet, numbered as a flood from the first corner reaches them."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    c = T.table(spark, d, "customer").select(k.alias("k"), *[v.cast("int").alias(a) for a, v in (("x0", k % 28), ("x1", k % 28 + F.col("c_nationkey") % 9), ("y0", k % 23), ("y1", k % 23 + F.col("c_nationkey") % 7))])
+    nodes = T.table(spark, d, "nation").select(n.alias("node"), *[v.cast("int").alias(a) for a, v in (("xa", n % 5 * 6), ("xb", n % 5 * 6 + 5), ("ya", F.expr("n_nationkey div 5 * 5")), ("yb", F.expr("n_nationkey div 5 * 5 + 4")))])
+    return P.split_blocks(c, nodes, 6, 5)
 
 
 @query("d16_atlas_flags", f"WITH {INDEX} SELECT lod, x, y, CASE WHEN flags & 1 <> 0 THEN flags | 4 ELSE flags END AS flags FROM idx")
@@ -103,11 +143,27 @@ def dependencies(spark, d):
     return p.select("p_partkey", F.concat_ws("/", F.lit("earth"), "p_brand", F.col("i").cast("string")).alias("needs"))
 
 
-@query("e5_node_aggregates", f"WITH {GRID} SELECT px >> 3 AS nx, py >> 3 AS ny, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1, min(z) AS z0, max(z) AS z1, round(CAST(avg(CAST(z AS DECIMAL(20,4))) AS DOUBLE), 3) AS surrogate, count(*) AS n FROM v GROUP BY 1, 2")
+_TRI = lambda a, b: f"coalesce(0.5 * sqrt({a} ** 2 + {b} ** 2 + 1), 0)"
+
+
+@query("e5_node_aggregates", f"""
+WITH {INDEX}, cell AS (SELECT px >> 3 AS px, py >> 3 AS py, max(z) AS z FROM pixel GROUP BY 1, 2), v AS (SELECT px, py, z FROM cell WHERE z IS NOT NULL),
+i AS (SELECT x, y, flags | CASE WHEN (x + y) % 2 = 0 THEN 8 ELSE 0 END AS flags FROM idx WHERE lod = 4),
+s AS (SELECT i.x, i.y, px, py, z FROM i JOIN v ON px BETWEEN i.x * 8 AND i.x * 8 + 8 AND py BETWEEN i.y * 8 AND i.y * 8 + 8),
+h AS (SELECT x, y, min(z) AS z0, max(z) AS z1, round(CAST(sum(CAST(z AS DECIMAL(20,4))) AS DOUBLE) / count(*) + 1e-7, 3) AS surrogate FROM s GROUP BY 1, 2),
+p AS (SELECT i.x, i.y, i.x * 8 + a AS px, i.y * 8 + b AS py FROM i, (SELECT unnest(range(0, 8)) AS a), (SELECT unnest(range(0, 8)) AS b)),
+q AS (SELECT p.x, p.y, c0.z AS c0, c1.z AS c1, c2.z AS c2, c3.z AS c3, (c0.z IS NOT NULL)::INT + (c1.z IS NOT NULL)::INT + (c2.z IS NOT NULL)::INT + (c3.z IS NOT NULL)::INT AS n
+  FROM p LEFT JOIN v c0 ON c0.px = p.px AND c0.py = p.py LEFT JOIN v c1 ON c1.px = p.px + 1 AND c1.py = p.py LEFT JOIN v c2 ON c2.px = p.px AND c2.py = p.py + 1 LEFT JOIN v c3 ON c3.px = p.px + 1 AND c3.py = p.py + 1),
+t AS (SELECT x, y, greatest(n - 2, 0) AS t, CASE WHEN n < 3 THEN 0 ELSE round(CASE WHEN c0 IS NOT NULL AND c3 IS NOT NULL THEN {_TRI("(c1 - c0)", "(c3 - c1)")} + {_TRI("(c3 - c2)", "(c2 - c0)")} ELSE {_TRI("(c1 - c0)", "(c2 - c0)")} + {_TRI("(c2 - c3)", "(c3 - c1)")} END, 3) END AS area FROM q),
+g AS (SELECT x, y, sum(t) AS triangles, CAST(sum(CAST(area AS DECIMAL(20,3))) AS DOUBLE) AS area FROM t GROUP BY 1, 2),
+r AS (SELECT i.x, i.y, i.flags, h.*EXCLUDE (x, y), g.triangles, g.area, coalesce(g.triangles, 0) > 0 AND i.flags & 1 <> 0 AS has FROM i LEFT JOIN h USING (x, y) LEFT JOIN g USING (x, y))
+SELECT x, y, CASE WHEN has THEN 1 + CASE WHEN flags & 8 <> 0 THEN 2 ELSE 0 END ELSE 0 END + CASE WHEN flags & 2 <> 0 THEN 16 ELSE 0 END AS meta_flags, CASE WHEN has THEN z0 END AS z0, CASE WHEN has THEN z1 END AS z1, CASE WHEN has THEN area END AS area,
+  CASE WHEN has THEN CAST(triangles AS BIGINT) END AS triangles, CASE WHEN has THEN surrogate END AS surrogate, CASE WHEN has THEN round(sqrt(area / (triangles * 512)), 6) END AS texel,
+  CASE WHEN has AND flags & 8 <> 0 THEN CAST(floor(z0) AS BIGINT) END AS nav0, CASE WHEN has AND flags & 8 <> 0 THEN CAST(ceil(z1) AS BIGINT) END AS nav1 FROM r""")
 def node_aggregates(spark, d):
-    g = blocks(spark, d).where("z IS NOT NULL").groupBy(F.shiftright("px", 3).alias("nx"), F.shiftright("py", 3).alias("ny"))
-    ends = [f(c).alias(n) for c, a in (("px", "x"), ("py", "y"), ("z", "z")) for f, n in ((F.min, f"{a}0"), (F.max, f"{a}1"))]
-    return g.agg(*ends, F.round(F.avg(F.col("z").cast("decimal(20,4)")).cast("double"), 3).alias("surrogate"), F.count(F.lit(1)).alias("n"))
+    even = F.when((F.col("x") + F.col("y")) % 2 == 0, P.NAVTILE).otherwise(0)
+    i = index(spark, d).where("lod = 4").withColumn("flags", F.col("flags").bitwiseOR(even))
+    return M.node_aggregates(blocks(spark, d), i, 3)
 
 
 @query("e9_mesh_area", f"""
@@ -124,12 +180,31 @@ def mesh_coverage(spark, d):
     return M.covered(tri)
 
 
-@query("e17_lattice_range", f"WITH {GRID}, b AS (SELECT DISTINCT px >> 2 AS nx, py >> 2 AS ny FROM v) SELECT b.nx, b.ny, min(v.z) AS lo, max(v.z) AS hi FROM b JOIN v ON v.px BETWEEN b.nx * 4 AND b.nx * 4 + 4 AND v.py BETWEEN b.ny * 4 AND b.ny * 4 + 4 GROUP BY 1, 2")
+#: A lattice of 4 x 4 cells from nations, some of its nodes without a value, and its value at points by four corners.
+LATTICE = "l AS (SELECT CAST(n_nationkey % 5 AS INT) AS i, CAST(n_nationkey // 5 AS INT) AS j, CASE WHEN n_nationkey % 11 <> 3 THEN n_regionkey * CAST(1.5 AS DOUBLE) - n_nationkey END AS v FROM nation)"
+AT_POINTS = """h AS (SELECT *, least(greatest(fx, 0), 4) AS gx, least(greatest(fy, 0), 4) AS gy FROM p),
+k AS (SELECT *, CAST(least(floor(gx), 3) AS INT) AS ci, CAST(least(floor(gy), 3) AS INT) AS cj FROM h),
+f AS (SELECT k.*, a.v * (1 - (gx - ci)) * (1 - (gy - cj)) + b.v * (gx - ci) * (1 - (gy - cj)) + c.v * (1 - (gx - ci)) * (gy - cj) + e.v * (gx - ci) * (gy - cj) AS inner_
+  FROM k LEFT JOIN l a ON a.i = ci AND a.j = cj LEFT JOIN l b ON b.i = ci + 1 AND b.j = cj LEFT JOIN l c ON c.i = ci AND c.j = cj + 1 LEFT JOIN l e ON e.i = ci + 1 AND e.j = cj + 1),
+n AS (SELECT k, corner, arg_min(l.v, ((l.i - gx) ** 2 + (l.j - gy) ** 2, l.j, l.i)) AS near FROM f, l WHERE l.v IS NOT NULL AND inner_ IS NULL GROUP BY 1, 2),
+at_ AS (SELECT f.k, f.corner, coalesce(inner_, near) AS v FROM f LEFT JOIN n ON n.k = f.k AND n.corner = f.corner)"""
+
+
+def lattice_nodes(spark, d):
+    n = F.col("n_nationkey")
+    return T.table(spark, d, "nation").select((n % 5).alias("i"), F.expr("CAST(n_nationkey div 5 AS INT)").alias("j"), F.when(n % 11 != 3, F.col("n_regionkey") * 1.5 - n).alias("v"))
+
+
+@query("e17_lattice_range", f"""
+WITH {LATTICE}, c AS (SELECT c_custkey AS k, (c_custkey % 37) / CAST(10 AS DOUBLE) AS x0, (c_custkey % 23) / CAST(8 AS DOUBLE) AS y0, (c_custkey % 37) / CAST(10 AS DOUBLE) + (c_custkey % 5) / CAST(4 AS DOUBLE) AS x1, (c_custkey % 23) / CAST(8 AS DOUBLE) + (c_custkey % 7) / CAST(4 AS DOUBLE) AS y1 FROM customer),
+p AS (SELECT k, 0 AS corner, x0 AS fx, y0 AS fy FROM c UNION ALL SELECT k, 1, x1, y0 FROM c UNION ALL SELECT k, 2, x0, y1 FROM c UNION ALL SELECT k, 3, x1, y1 FROM c),
+{AT_POINTS}, u AS (SELECT k, v FROM at_ UNION ALL SELECT c.k, l.v FROM c JOIN l ON l.i BETWEEN c.x0 AND c.x1 AND l.j BETWEEN c.y0 AND c.y1)
+SELECT k, round(min(v), 6) + 0.0 AS lo, round(max(v), 6) + 0.0 AS hi FROM u GROUP BY k""")
 def lattice_range(spark, d):
-    v = blocks(spark, d).where("z IS NOT NULL")
-    own = v.select(F.shiftright("px", 2).alias("nx"), F.shiftright("py", 2).alias("ny")).distinct()
-    spread = v.withColumn("nx", F.explode(F.expr("IF(px % 4 = 0, sequence(px div 4 - 1, px div 4), sequence(px div 4, px div 4))"))).withColumn("ny", F.explode(F.expr("IF(py % 4 = 0, sequence(py div 4 - 1, py div 4), sequence(py div 4, py div 4))")))
-    return spread.join(own, ["nx", "ny"], "left_semi").groupBy(F.col("nx").cast("int").alias("nx"), F.col("ny").cast("int").alias("ny")).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    k = F.col("c_custkey")
+    x0, y0 = (k % 37) / 10.0, (k % 23) / 8.0
+    boxes = T.table(spark, d, "customer").select(k.alias("k"), x0.alias("x0"), y0.alias("y0"), (x0 + (k % 5) / 4.0).alias("x1"), (y0 + (k % 7) / 4.0).alias("y1"))
+    return R.lattice_range(boxes, lattice_nodes(spark, d), (4, 4)).select("k", *[(F.round(c, 6) + 0.0).alias(c) for c in ("lo", "hi")])
 
 
 @query("e19_availability_class", f"WITH {T.PIXEL_SQL}, a AS (SELECT px >> 2 AS tx, py >> 2 AS ty, CAST(floor(avg(mask)) AS INT) AS m FROM pixel GROUP BY 1, 2) SELECT tx, ty, CASE WHEN m = 0 THEN 0 WHEN m >= 255 THEN 192 ELSE 128 END AS value FROM a")
@@ -144,20 +219,33 @@ def by_material(spark, d):
     return M.split(faces).groupBy("material").agg(F.count_distinct("fid").alias("faces"), F.max("local").cast("long").alias("vertices"))
 
 
-@query("f5_grey_normals", f"WITH {_BLOCK}, g AS (SELECT px, py, mask FROM cell), w AS (SELECT a.px + 1 AS px, a.py, (b.mask - a.mask) / 255.0 AS gx FROM g a JOIN g b ON b.px = a.px + 2 AND b.py = a.py), u AS (SELECT a.px, a.py + 1 AS py, (b.mask - a.mask) / 255.0 AS gy FROM g a JOIN g b ON b.px = a.px AND b.py = a.py + 2) SELECT px, py, round(-gx * 0.427 / sqrt((gx * 0.427) ** 2 + (gy * 0.427) ** 2 + 1), 6) + 0.0 AS nx, round(-gy * 0.427 / sqrt((gx * 0.427) ** 2 + (gy * 0.427) ** 2 + 1), 6) + 0.0 AS ny FROM w JOIN u USING (px, py)")
+_LON, _LAT = "(px * CAST(2.8125 AS DOUBLE) - 180)", "(80 - py * CAST(1.25 AS DOUBLE))"
+_CLON, _CLAT = "(((px >> 4) * 16 + 8) * CAST(2.8125 AS DOUBLE) - 180)", "(80 - ((py >> 4) * 16 + 8) * CAST(1.25 AS DOUBLE))"
+
+
+@query("f5_grey_normals", f"""
+WITH {_BLOCK}, g AS (SELECT px, py, mask FROM cell),
+w AS (SELECT a.px + 1 AS px, a.py, (b.mask - a.mask) AS gx FROM g a JOIN g b ON b.px = a.px + 2 AND b.py = a.py), u AS (SELECT a.px, a.py + 1 AS py, (b.mask - a.mask) AS gy FROM g a JOIN g b ON b.px = a.px AND b.py = a.py + 2),
+s AS (SELECT px, py, gx * (CAST(-0.427 AS DOUBLE) / 255) AS gx, gy * (CAST(-0.427 AS DOUBLE) / 255) AS gy FROM w JOIN u USING (px, py)),
+n AS (SELECT px, py, round(-gx / sqrt(gx * gx + gy * gy + 1), 6) AS nx, round(-gy / sqrt(gx * gx + gy * gy + 1), 6) AS ny, round(1 / sqrt(gx * gx + gy * gy + 1), 6) AS nz, radians({_LON}) AS lo, radians({_LAT}) AS la, radians({_CLON}) AS clo, radians({_CLAT}) AS cla FROM s),
+x AS (SELECT *, -sin(lo) * nx - sin(la) * cos(lo) * ny + cos(la) * cos(lo) * nz AS gx, cos(lo) * nx - sin(la) * sin(lo) * ny + cos(la) * sin(lo) * nz AS gy, cos(la) * ny + sin(la) * nz AS gz FROM n),
+t AS (SELECT px, py, round(-sin(clo) * gx + cos(clo) * gy, 5) + 0.0 AS nx, round(-sin(cla) * cos(clo) * gx - sin(cla) * sin(clo) * gy + cos(cla) * gz, 5) + 0.0 AS ny, round(cos(cla) * cos(clo) * gx + cos(cla) * sin(clo) * gy + sin(cla) * gz, 5) + 0.0 AS nz FROM x),
+o AS (SELECT *, nx / (abs(nx) + abs(ny) + abs(nz)) AS ox, ny / (abs(nx) + abs(ny) + abs(nz)) AS oy FROM t)
+SELECT px, py, nx, ny, nz, CAST(floor((CASE WHEN nz >= 0 THEN ox ELSE (1 - abs(oy)) * CASE WHEN ox >= 0 THEN 1 ELSE -1 END END * 0.5 + 0.5) * 255 + 0.5) AS INT) AS u, CAST(floor((CASE WHEN nz >= 0 THEN oy ELSE (1 - abs(ox)) * CASE WHEN oy >= 0 THEN 1 ELSE -1 END END * 0.5 + 0.5) * 255 + 0.5) AS INT) AS v FROM o""")
 def grey_normals(spark, d):
-    ring = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-    w = R.around(blocks(spark, d), "mask", ring).groupBy(*R.PIX).agg(*[R.at("mask", *o).alias(c) for o, c in zip(ring, "lrud", strict=True)], F.count(F.lit(1)).alias("n")).where("n = 4")
-    gx, gy = (F.col("r") - F.col("l")) / 255.0 * 0.427, (F.col("d") - F.col("u")) / 255.0 * 0.427
-    length = F.sqrt(gx * gx + gy * gy + 1)
-    return w.select(*R.PIX, (F.round(-gx / length, 6) + 0.0).alias("nx"), (F.round(-gy / length, 6) + 0.0).alias("ny"))
+    n = R.gradients(blocks(spark, d), scale=0.5, z_factor=-0.427 / 255, value="mask")
+    lon, lat = (lambda c: c * 2.8125 - 180), (lambda c: 80 - c * 1.25)
+    mid = lambda c: F.shiftright(c, 4) * 16 + 8
+    flat = V.on_plane([F.col(c) for c in ("nx", "ny", "nz")], lon(F.col("px")), lat(F.col("py")), lon(mid("px")), lat(mid("py")))
+    flat = n.select(*R.PIX, *[(F.round(c, 5) + 0.0).alias(a) for c, a in zip(flat, ("nx", "ny", "nz"), strict=True)])
+    u, v = R.octahedral([F.col(c) for c in ("nx", "ny", "nz")])
+    return flat.withColumn("u", u).withColumn("v", v)
 
 
-@query("f8_lattice_interpolation", "WITH l AS (SELECT n_nationkey % 5 AS i, n_nationkey // 5 AS j, n_regionkey * 1.5 AS v FROM nation), p AS (SELECT c_custkey, (c_custkey % 37) / 37.0 * 3.9 AS fx, (c_custkey % 23) / 23.0 * 3.9 AS fy FROM customer) SELECT c_custkey, round(CAST(a.v * (1 - (fx - floor(fx))) * (1 - (fy - floor(fy))) + b.v * (fx - floor(fx)) * (1 - (fy - floor(fy))) + c.v * (1 - (fx - floor(fx))) * (fy - floor(fy)) + e.v * (fx - floor(fx)) * (fy - floor(fy)) AS DOUBLE), 6) AS v FROM p JOIN l a ON a.i = floor(fx) AND a.j = floor(fy) JOIN l b ON b.i = floor(fx) + 1 AND b.j = floor(fy) JOIN l c ON c.i = floor(fx) AND c.j = floor(fy) + 1 JOIN l e ON e.i = floor(fx) + 1 AND e.j = floor(fy) + 1")
+@query("f8_lattice_interpolation", f"WITH {LATTICE}, p AS (SELECT c_custkey AS k, 0 AS corner, (c_custkey % 37) / CAST(37 AS DOUBLE) * CAST(4.5 AS DOUBLE) - 0.2 AS fx, (c_custkey % 23) / CAST(23 AS DOUBLE) * CAST(3.9 AS DOUBLE) AS fy FROM customer), {AT_POINTS} SELECT k AS c_custkey, round(v, 6) + 0.0 AS v FROM at_")
 def lattice(spark, d):
-    nodes = T.table(spark, d, "nation").select((F.col("n_nationkey") % 5).alias("i"), F.expr("CAST(n_nationkey div 5 AS INT)").alias("j"), (F.col("n_regionkey") * 1.5).alias("v"))
-    points = T.table(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") % 37) / 37.0 * 3.9).alias("fx"), ((F.col("c_custkey") % 23) / 23.0 * 3.9).alias("fy"))
-    return R.bilinear(points, nodes).select("c_custkey", F.round("v", 6).alias("v"))
+    points = T.table(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") % 37) / 37.0 * 4.5 - 0.2).alias("fx"), ((F.col("c_custkey") % 23) / 23.0 * 3.9).alias("fy"))
+    return R.bilinear(points, lattice_nodes(spark, d), (4, 4)).select("c_custkey", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("f11_margins", f"WITH {LEAF} SELECT x, y, x * 8 - 0.5 AS xa, (x + 1) * 8 + 0.5 AS xb, y * 8 - 1.0 AS ya, (y + 1) * 8 + 1.0 AS yb FROM leaf".replace("- 0.5 AS", "- CAST(0.5 AS DOUBLE) AS").replace("+ 0.5 AS", "+ CAST(0.5 AS DOUBLE) AS").replace("- 1.0 AS", "- CAST(1 AS DOUBLE) AS").replace("+ 1.0 AS", "+ CAST(1 AS DOUBLE) AS"))
@@ -200,10 +288,10 @@ def rooted(spark, d):
     return tiles(spark, d).select(*P.TILE, k.alias("tl"), tx.alias("tx"), ty.alias("ty"))
 
 
-@query("i8_survey_scalars", "SELECT o_orderkey, CASE WHEN CAST(round(o_totalprice / 100 - 360 / 0.25) AS INT) > 0 THEN CAST(round(o_totalprice / 100 - 360 / 0.25) AS INT) END AS overlap, CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE sqrt(CAST(o_custkey % 4 AS DOUBLE)) END AS scale, CASE WHEN sqrt(CAST(o_custkey % 4 AS DOUBLE)) < 1 AND o_custkey % 4 > 0 THEN true ELSE false END AS navtile FROM orders")
+@query("i8_survey_scalars", "SELECT o_orderkey, CASE WHEN CAST(round(o_totalprice / 100 - 360 / 0.25) AS INT) > 0 THEN CAST(round(o_totalprice / 100 - 360 / 0.25) AS INT) END AS overlap, CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE sqrt((o_custkey % 4) / CAST(2 AS DOUBLE)) END AS scale, o_custkey % 4 = 1 AS navtile FROM orders")
 def survey_scalars(spark, d):
     k = (F.col("o_custkey") % 4).cast("double")
-    scale = S.true_scale(k, F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    scale = S.true_scale(k / 2, F.lit(0.0), F.lit(0.0), F.lit(1.0))
     return T.table(spark, d, "orders").select("o_orderkey", S.x_overlap(F.col("o_totalprice") / 100, 360.0, 0.25).alias("overlap"), scale.alias("scale"), (scale < 1).alias("navtile"))
 
 
@@ -219,9 +307,20 @@ def geocentric(spark, d):
     return T.table(spark, d, "customer").select("c_custkey", *[(F.round(c, 3) + 0.0).alias(n) for c, n in zip(g, ["gx", "gy", "gz"], strict=True)])
 
 
-@query("i31_acronyms", r"SELECT p_partkey, regexp_replace('U. S. ' || p_name || ' (x ' || p_size || ')', '\b([A-Za-z])[. ]+([A-Za-z])\b', '\1\2', 'g') AS name FROM part")
+@query("i22_geoid", f"WITH {LATTICE}, p AS (SELECT c_custkey AS k, 0 AS corner, (c_nationkey * 10 + 5) / CAST(62.5 AS DOUBLE) AS fx, (c_custkey % 160 + 10) / CAST(45 AS DOUBLE) AS fy FROM customer), {AT_POINTS}, c AS (SELECT c_custkey, v AS u, radians(CAST(c_nationkey * 10 - 120 AS DOUBLE)) AS lo, radians(CAST(c_custkey % 160 - 80 AS DOUBLE)) AS la, CAST(c_acctbal AS DOUBLE) AS h, (1 / 298.257223563) * (2 - 1 / 298.257223563) AS e FROM customer JOIN at_ ON k = c_custkey), q AS (SELECT *, 6378137.0 / sqrt(1 - e * sin(la) * sin(la)) AS n FROM c) SELECT c_custkey, round((n + h + u) * cos(la) * cos(lo), 3) + 0.0 AS gx, round((n + h + u) * cos(la) * sin(lo), 3) + 0.0 AS gy, round((n * (1 - e) + h + u) * sin(la), 3) + 0.0 AS gz, round(h - u, 6) + 0.0 AS nav FROM q")
+def geoid(spark, d):
+    """Heights above the geoid in geocentric axes, and heights above the ellipsoid as navigation heights."""
+    c = T.table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") * 10 - 120).cast("double").alias("lon"), (F.col("c_custkey") % 160 - 80).cast("double").alias("lat"), F.col("c_acctbal").cast("double").alias("h"), ((F.col("c_nationkey") * 10 + 5) / 62.5).alias("fx"), ((F.col("c_custkey") % 160 + 10) / 45.0).alias("fy"))
+    at = R.bilinear(c, lattice_nodes(spark, d), (4, 4))
+    g = S.geocentric(F.col("lon"), F.col("lat"), F.col("h") + F.col("v"))
+    return at.select("c_custkey", *[(F.round(c, 3) + 0.0).alias(n) for c, n in zip(g, ["gx", "gy", "gz"], strict=True)], (F.round(F.col("h") - F.col("v"), 6) + 0.0).alias("nav"))
+
+
+@query("i31_acronyms", r"""
+WITH t AS (SELECT p_partkey, regexp_extract_all('The U.S.A. of ' || p_name || ' by J. R. and A B C, s.r.o', '(?:[A-Za-z] ?[. ])+|[A-Za-z0-9]+|[^A-Za-z0-9]+') AS parts FROM part)
+SELECT p_partkey, array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_full_match(x, '(?:[A-Za-z] ?[. ])+') THEN translate(x, '. ', '') || ' ' ELSE x END), '') AS name FROM t""")
 def acronyms(spark, d):
-    text = F.concat(F.lit("U. S. "), F.col("p_name"), F.lit(" (x "), F.col("p_size").cast("string"), F.lit(")"))
+    text = F.concat(F.lit("The U.S.A. of "), F.col("p_name"), F.lit(" by J. R. and A B C, s.r.o"))
     return T.table(spark, d, "part").select("p_partkey", S.contract_acronyms(text).alias("name"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import catalogue as C
+from tessera.operators import mesh as M
 from tessera.operators import pyramid as P
 from tessera.operators import raster as R
 from tessera.plans.registry import query
@@ -100,11 +101,19 @@ def bound_layer(spark, d):
     return T.table(spark, d, "part").select("p_partkey", C.bound_layer(F.lit("rf"), F.lit("g"), F.col("p_brand"), F.lit("jpg"), 2, F.col("p_size")).alias("json"))
 
 
-@query("b17_level_bounds", f"WITH {PYRAMID} SELECT l.lod, count(p.lod) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT CAST(unnest(range(0, 10)) AS INT) AS lod) l LEFT JOIN pyramid p USING (lod) GROUP BY l.lod")
+_LONLAT = "radians({0} * (360 / pow(2, lod)) - 180) * 6378137.0", "ln(tan(pi() / 4 + radians(least(greatest(90 - {0} * (180 / pow(2, lod)), -85), 85)) / 2)) * 6378137.0"
+
+
+@query("b17_level_bounds", f"""
+WITH {PYRAMID}, r AS (SELECT lod, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pyramid WHERE lod >= 3 GROUP BY lod),
+a AS (SELECT * FROM r UNION ALL SELECT 0, 1, 0, 0, 0, 0)
+SELECT l.lod, coalesce(a.n, 0) AS n, x0, x1, y0, y1, round({_LONLAT[0].format("x0")}, 3) + 0.0 AS xmin, round({_LONLAT[0].format("(x1 + 1)")}, 3) + 0.0 AS xmax, round({_LONLAT[1].format("(y1 + 1)")}, 3) + 0.0 AS ymin, round({_LONLAT[1].format("y0")}, 3) + 0.0 AS ymax
+FROM (SELECT CAST(unnest(range(0, 9)) AS INT) AS lod) l LEFT JOIN a USING (lod)""")
 def level_bounds(spark, d):
-    levels = spark.range(10).select(F.col("id").cast("int").alias("lod"))
-    b = tiles(spark, d).groupBy("lod").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return levels.join(b, "lod", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    from tessera.operators.survey import level_bounds as bounds
+
+    r = tiles(spark, d).where("lod >= 3").groupBy("lod").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    return bounds(r, 0, 8)
 
 
 @query("b19_listings", "SELECT DISTINCT p_brand AS rf, p_type AS type FROM part")
@@ -150,10 +159,10 @@ def layers(spark, d):
     return T.table(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
 
 
-@query("c11_feature_filter", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, 'TI|EL')")
+@query("c11_feature_filter", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^PRO|RG')")
 def feature_filter(spark, d):
     p = T.table(spark, d, "part").withColumn("props", F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand")))
-    return p.where(C.feature_filter("props", "type", "TI|EL")).select("p_partkey")
+    return p.where(C.feature_filter("props", "type", "^PRO|RG")).select("p_partkey")
 
 
 @query("c14_skip_partial", f"WITH {PYRAMID} SELECT DISTINCT p.lod, p.x, p.y, p.watertight AS served FROM pyramid p JOIN pyramid q ON q.watertight AND q.lod >= p.lod AND q.x >> (q.lod - p.lod) = p.x AND q.y >> (q.lod - p.lod) = p.y")
@@ -210,14 +219,17 @@ def serve(spark, d):
     return P.serve(index(spark, d).where("lod >= 3"), tiles(spark, d).select(*P.TILE, "min_z", "max_z"))
 
 
-@query("d4_pair_check", f"""
-WITH {PYRAMID}, bad AS (SELECT lod, x, y, CASE WHEN lod = 5 AND x % 16 = 3 THEN min_z + 1e6 ELSE min_z END AS min_z, max_z + CASE WHEN lod = 5 AND x % 16 = 3 THEN 1e6 ELSE 0 END AS max_z FROM pyramid WHERE NOT (lod = 6 AND x % 8 = 1)),
-i AS (SELECT lod, x, y, CASE WHEN watertight THEN 3 ELSE 1 END AS flags FROM pyramid WHERE NOT (lod = 7 AND y % 16 = 5))
-SELECT 'unreachable payload' AS kind, lod, x, y FROM bad b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lod >= b.lod AND i.x >> (i.lod - b.lod) = b.x AND i.y >> (i.lod - b.lod) = b.y)
+_WRONG = """SELECT 'unreachable payload' AS kind, lod, x, y FROM bad b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lod >= b.lod AND i.x >> (i.lod - b.lod) = b.x AND i.y >> (i.lod - b.lod) = b.y)
 UNION ALL SELECT 'payload without parent', lod, x, y FROM bad b WHERE lod > 0 AND NOT EXISTS (SELECT 1 FROM bad p WHERE p.lod = b.lod - 1 AND p.x = b.x >> 1 AND p.y = b.y >> 1)
 UNION ALL SELECT 'parent does not contain child', b.lod, b.x, b.y FROM bad b JOIN bad p ON p.lod = b.lod - 1 AND p.x = b.x >> 1 AND p.y = b.y >> 1 WHERE b.min_z < p.min_z OR b.max_z > p.max_z
 UNION ALL SELECT 'tile without payload', lod, x, y FROM i WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.lod = i.lod AND b.x = i.x AND b.y = i.y)
-UNION ALL SELECT 'watertight with some children', i.lod, i.x, i.y FROM i JOIN (SELECT lod - 1 AS lod, x >> 1 AS x, y >> 1 AS y, count(*) AS n FROM i WHERE lod > 0 GROUP BY 1, 2, 3) k USING (lod, x, y) WHERE i.flags & 2 <> 0 AND k.n BETWEEN 1 AND 3""")
+UNION ALL SELECT 'watertight with some children', i.lod, i.x, i.y FROM i JOIN (SELECT lod - 1 AS lod, x >> 1 AS x, y >> 1 AS y, count(*) AS n FROM i WHERE lod > 0 GROUP BY 1, 2, 3) k USING (lod, x, y) WHERE i.flags & 2 <> 0 AND k.n BETWEEN 1 AND 3"""
+
+
+@query("d4_pair_check", f"""
+WITH {PYRAMID}, bad AS (SELECT lod, x, y, CASE WHEN lod = 5 AND x % 16 = 3 THEN min_z + 1e6 ELSE min_z END AS min_z, max_z + CASE WHEN lod = 5 AND x % 16 = 3 THEN 1e6 ELSE 0 END AS max_z FROM pyramid WHERE NOT (lod = 6 AND x % 8 = 1)),
+i AS (SELECT lod, x, y, CASE WHEN watertight THEN 3 ELSE 1 END AS flags FROM pyramid WHERE NOT (lod = 7 AND y % 16 = 5))
+{_WRONG}""")
 def pair_check(spark, d):
     t = tiles(spark, d)
     off = F.when(F.expr("lod = 5 AND x % 16 = 3"), 1e6).otherwise(0.0)
@@ -225,9 +237,20 @@ def pair_check(spark, d):
     return P.check_pair(index(spark, d).where("NOT (lod = 7 AND y % 16 = 5)"), bad)
 
 
-@query("d4_pair_sound", f"WITH {PYRAMID} SELECT 'none' AS kind, lod, x, y FROM pyramid WHERE min_z > max_z")
+_KINDS = ", ".join(f"('{k}')" for k in P.VIOLATIONS)
+
+
+@query("d4_pair_sound", f"""
+WITH {PYRAMID}, bad AS (SELECT lod, x, y, min_z, max_z FROM pyramid), i AS (SELECT lod, x, y, CASE WHEN watertight THEN 3 ELSE 1 END AS flags FROM pyramid),
+w AS ({_WRONG})
+SELECT k.kind, count(w.kind) AS violations, (SELECT count(*) FROM i) AS tiles FROM (VALUES {_KINDS}) k(kind) LEFT JOIN w ON w.kind = k.kind GROUP BY k.kind""")
 def pair_sound(spark, d):
-    return P.check_pair(index(spark, d), tiles(spark, d).select(*P.TILE, "min_z", "max_z"))
+    """How often each rule is broken by a pair as it is made, of how many tiles."""
+    t, i = tiles(spark, d), index(spark, d)
+    found = P.check_pair(i, t.select(*P.TILE, "min_z", "max_z")).groupBy("kind").agg(F.count(F.lit(1)).alias("violations"))
+    kinds = spark.createDataFrame([(k,) for k in P.VIOLATIONS], "kind string").join(found, "kind", "left")
+    n = i.agg(F.count(F.lit(1)).alias("tiles"))
+    return kinds.select("kind", F.coalesce("violations", F.lit(0)).alias("violations")).join(F.broadcast(n), F.lit(True))
 
 
 @query("d6_index_diff", f"WITH {INDEX}, {OTHER} SELECT lod, x, y, coalesce(i.flags, 0) AS from_flags, coalesce(o.flags, 0) AS to_flags FROM idx i FULL JOIN other o USING (lod, x, y) WHERE coalesce(i.flags, 0) <> coalesce(o.flags, 0)")
@@ -265,12 +288,20 @@ def views(spark, d):
     return C.view_datasets(e, n, "base").withColumn("datasets", F.array_join("datasets", ","))
 
 
-@query("d9_height_coding", f"WITH {CELL} SELECT c_custkey, coalesce(a.z, b.z, 0) AS z FROM customer LEFT JOIN cell a ON a.px = c_custkey % 1024 AND a.py = c_nationkey * 7 LEFT JOIN cell b ON b.px = c_custkey % 512 * 2 AND b.py = c_nationkey")
+_STACK = "(SELECT px, py, z FROM cell WHERE px % 3 <> 0) a", "(SELECT px >> 2 AS px, py >> 2 AS py, max(z) AS z FROM cell GROUP BY 1, 2) b", "(SELECT px >> 4 AS px, py >> 4 AS py, max(z) AS z FROM cell GROUP BY 1, 2) e"
+
+
+@query("d9_height_coding", f"""
+WITH {CELL}, p AS (SELECT c_custkey, c_custkey % 3 AS mode, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_acctbal AS DOUBLE) END AS z, (c_custkey * 7) % 1100 AS x, c_nationkey * 41 + 5 AS y FROM customer)
+SELECT c_custkey, CASE mode WHEN 0 THEN 'always' WHEN 1 THEN 'auto' ELSE 'never' END AS mode, CASE WHEN mode = 2 OR mode = 1 AND p.z IS NOT NULL THEN p.z ELSE coalesce(a.z, b.z, e.z, p.z) END AS z
+FROM p LEFT JOIN {_STACK[0]} ON a.px = p.x AND a.py = p.y AND a.z IS NOT NULL LEFT JOIN {_STACK[1]} ON b.px = p.x >> 2 AND b.py = p.y >> 2 LEFT JOIN {_STACK[2]} ON e.px = p.x >> 4 AND e.py = p.y >> 4""")
 def height_coding(spark, d):
     g = cells(spark, d).select("px", "py", "z")
-    c = T.table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 1024).cast("int").alias("ax"), (F.col("c_nationkey") * 7).alias("ay"), (F.col("c_custkey") % 512 * 2).cast("int").alias("bx"), F.col("c_nationkey").alias("by"))
-    a, b = g.select(F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("z").alias("az")), g.select(F.col("px").alias("bx"), F.col("py").alias("by"), F.col("z").alias("bz"))
-    return c.join(a, ["ax", "ay"], "left").join(b, ["bx", "by"], "left").select("c_custkey", F.coalesce("az", "bz", F.lit(0.0)).alias("z"))
+    coarse = lambda s: g.groupBy(F.shiftright("px", s).alias("px"), F.shiftright("py", s).alias("py")).agg(F.max("z").alias("z"))
+    k = F.col("c_custkey")
+    p = T.table(spark, d, "customer").select(k, F.when(k % 3 == 0, "always").when(k % 3 == 1, "auto").otherwise("never").alias("mode"), F.when(k % 2 == 0, F.col("c_acctbal").cast("double")).alias("z"), (k * 7 % 1100).cast("double").alias("x"), (F.col("c_nationkey") * 41 + 5).cast("double").alias("y"))
+    stack = [C.Raster(g.where("px % 3 <> 0"), 0.0, 0.0, 1.0), C.Raster(coarse(2), 0.0, 0.0, 4.0), C.Raster(coarse(4), 0.0, 0.0, 16.0)]
+    return C.height_code(p, stack, F.col("mode")).select("c_custkey", "mode", "z")
 
 
 @query("d10_landcover", f"WITH {T.PIXEL_SQL} SELECT p_size AS class, count(*) AS n, max(p_retailprice) AS top FROM pixel JOIN part ON p_partkey = l_suppkey GROUP BY 1")
@@ -281,14 +312,14 @@ def landcover(spark, d):
 
 @query("d11_value_ranges", f"WITH {T.PIXEL_SQL}, r AS (SELECT px, py, min(z) AS lo, max(z) AS hi FROM pixel WHERE z IS NOT NULL GROUP BY 1, 2), v AS (SELECT o_custkey % 1024 AS px, o_orderkey % 1024 AS py, max(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT px, py, greatest(lo, least(hi, coalesce(v, (lo + hi) / 2))) AS v, lo, hi FROM r LEFT JOIN v USING (px, py)")
 def value_ranges(spark, d):
-    r = T.pixels(spark, d).where("z IS NOT NULL").groupBy(*R.PIX)
+    r = T.pixels(spark, d).where("z IS NOT NULL").groupBy(*R.PIX).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     v = T.table(spark, d, "orders").groupBy((F.col("o_custkey") % 1024).cast("int").alias("px"), (F.col("o_orderkey") % 1024).cast("int").alias("py")).agg(F.max("o_totalprice").alias("v"))
-    return R.zip_ranges(v, r.agg(F.min("z").alias("lo")), r.agg(F.max("z").alias("hi")))
+    return R.zip_ranges(r, v)
 
 
 @query("d12_compose", "SELECT n_nationkey AS k, greatest(n_regionkey, r_regionkey) AS revision, CASE WHEN n_name < r_name THEN n_name || ',' || r_name WHEN n_name > r_name THEN r_name || ',' || n_name ELSE n_name END AS credits FROM nation JOIN region ON r_regionkey = n_nationkey")
 def compose(spark, d):
-    n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("revision"), F.array("n_name").alias("credits"))
+    n = T.table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("revision"), F.array("n_name").alias("credits"))
     r = T.table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_regionkey").alias("revision"), F.array("r_name").alias("credits"))
     return C.compose(n, r, ["k"]).withColumn("credits", F.array_join("credits", ","))
 
@@ -323,12 +354,30 @@ def mip_pyramid(spark, d):
 
 @query("e4_mip_steps", f"WITH {PYRAMID} SELECT * FROM pyramid WHERE lod >= 4")
 def mip_steps(spark, d):
-    level = leaf(spark, d).withColumn("n_leaves", F.lit(1).cast("long")).select(*P.TILE, "watertight", "n_leaves", "min_z", "max_z")
-    out = level
-    for _ in range(3):
-        level = P.mip_step(level)
-        out = out.unionByName(level)
-    return out
+    return P.mip_steps(leaf(spark, d), LOD, lod_min=4, root=2)
+
+
+#: An area of leaves that a resource is constrained to; missing leaves beyond it don't keep a tile from being watertight.
+AREA = (5, 3, 99, 117)
+CONSTRAINED = f"""{LEAF},
+inside AS (SELECT * REPLACE ((x * 3 + y) % 31 <> 0 AS watertight) FROM leaf WHERE x BETWEEN {AREA[0]} AND {AREA[2]} AND y BETWEEN {AREA[1]} AND {AREA[3]}),
+up AS (SELECT s, CAST(7 - s AS INT) AS lod, CAST(x >> s AS INT) AS x, CAST(y >> s AS INT) AS y, bool_and(watertight) AS w, count(*) AS n_leaves, min(min_z) AS min_z, max(max_z) AS max_z FROM inside, (SELECT CAST(unnest(range(0, 8)) AS INT) AS s) GROUP BY 1, 2, 3, 4),
+valid AS (SELECT s, a.x >> s AS x, b.y >> s AS y, count(*) AS n FROM (SELECT CAST(unnest(range({AREA[0]}, {AREA[2] + 1})) AS INT) AS x) a, (SELECT CAST(unnest(range({AREA[1]}, {AREA[3] + 1})) AS INT) AS y) b, (SELECT CAST(unnest(range(0, 8)) AS INT) AS s) GROUP BY 1, 2, 3)"""
+
+
+def _constrained(spark, d) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    return leaf(spark, d).where(x.between(AREA[0], AREA[2]) & y.between(AREA[1], AREA[3])).withColumn("watertight", (x * 3 + y) % 31 != 0)
+
+
+@query("e4_constrained_pyramid", f"WITH {CONSTRAINED} SELECT lod, u.x, u.y, w AND n_leaves = v.n AS watertight, n_leaves, min_z, max_z FROM up u JOIN valid v ON v.s = u.s AND v.x = u.x AND v.y = u.y")
+def constrained_pyramid(spark, d):
+    return P.pyramid(_constrained(spark, d), LOD, area=AREA)
+
+
+@query("e4_constrained_steps", f"WITH {CONSTRAINED} SELECT lod, u.x, u.y, w AND n_leaves = v.n AS watertight, n_leaves, min_z, max_z FROM up u JOIN valid v ON v.s = u.s AND v.x = u.x AND v.y = u.y WHERE lod >= 3")
+def constrained_steps(spark, d):
+    return P.mip_steps(_constrained(spark, d), LOD, lod_min=3, area=AREA)
 
 
 @query("e6_detail_mask", f"WITH {T.PIXEL_SQL}, a AS (SELECT px >> 3 AS x, py >> 3 AS y, avg(mask) AS m FROM pixel GROUP BY 1, 2) SELECT x, y, CAST(CASE WHEN m = 0 THEN 0 WHEN m >= 255 THEN 192 ELSE 128 END AS INT) AS value FROM a")
@@ -382,9 +431,13 @@ def hole_fill(spark, d):
     return R.fill_holes(cells(spark, d))
 
 
-@query("f2_range_fill", f"WITH {CELL}, n AS (SELECT px - dx AS px, py - dy AS py, min(z) AS lo, max(z) AS hi FROM cell, {_RING} WHERE z IS NOT NULL AND NOT (dx = 0 AND dy = 0) GROUP BY 1, 2) SELECT c.px, c.py, n.lo, n.hi FROM cell c LEFT JOIN n USING (px, py) WHERE c.z IS NULL AND c.mask > 0")
+RANGES = f"{T.PIXEL_SQL}, cell AS (SELECT px, py, (min(z) + max(z)) / 2 AS v, min(z) AS lo, max(z) AS hi, max(mask) AS mask FROM pixel GROUP BY 1, 2)"
+
+
+@query("f2_range_fill", f"WITH {RANGES}, n AS (SELECT px - dx AS px, py - dy AS py, round(CAST(avg(CAST(v AS DECIMAL(20,4))) AS DOUBLE), 3) AS v, min(lo) AS lo, max(hi) AS hi FROM cell, {_RING} WHERE v IS NOT NULL AND NOT (dx = 0 AND dy = 0) GROUP BY 1, 2) SELECT c.px, c.py, n.v, n.lo, n.hi FROM cell c LEFT JOIN n USING (px, py) WHERE c.v IS NULL AND c.mask > 0")
 def range_fill(spark, d):
-    return R.fill_ranges(cells(spark, d))
+    low, high = F.min("z"), F.max("z")
+    return R.fill_ranges(T.pixels(spark, d).groupBy(*R.PIX).agg(((low + high) / 2).alias("v"), low.alias("lo"), high.alias("hi"), F.max("mask").alias("mask")))
 
 
 _BLOCK = f"{T.PIXEL_SQL}, cell AS (SELECT px >> 3 AS px, py >> 3 AS py, max(z) AS z, max(mask) AS mask FROM pixel GROUP BY 1, 2)"
@@ -400,17 +453,33 @@ WITH {_BLOCK}, w AS (
   SELECT c.px, c.py, {", ".join(f"max(n.z) FILTER (n.px - c.px = {i % 3 - 1} AND n.py - c.py = {i // 3 - 1}) AS v{i}" for i in range(9))}, count(*) AS n, min(n.z) AS lo, max(n.z) AS hi
   FROM cell c, {_RING} r JOIN cell n ON n.px = c.px + r.dx AND n.py = c.py + r.dy WHERE n.z IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 9),
 g AS (SELECT *, ((v2 + 2 * v5 + v8) - (v0 + 2 * v3 + v6)) / 8 AS gx, ((v6 + 2 * v7 + v8) - (v0 + 2 * v1 + v2)) / 8 AS gy FROM w)
-SELECT px, py, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope, round(degrees(atan2(gy, -gx)), 6) AS aspect, round(hi - lo, 6) AS roughness, round(v4 - (v0 + v1 + v2 + v3 + v5 + v6 + v7 + v8) / 8, 6) AS tpi,
+SELECT px, py, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope, round(degrees(atan2(gy, -gx)), 6) AS aspect,
+  round(CASE WHEN sin(radians(45)) - cos(radians(45)) * sqrt(gx * gx + gy * gy) * sin(atan2(gy, -gx) - radians(315)) <= 0 THEN 1 ELSE 1 + 254 * (sin(radians(45)) - cos(radians(45)) * sqrt(gx * gx + gy * gy) * sin(atan2(gy, -gx) - radians(315))) / sqrt(1 + gx * gx + gy * gy) END, 4) AS hillshade, round(hi - lo, 6) AS roughness, round(v4 - (v0 + v1 + v2 + v3 + v5 + v6 + v7 + v8) / 8, 6) AS tpi,
   round((abs(v0 - v4) + abs(v1 - v4) + abs(v2 - v4) + abs(v3 - v4) + abs(v5 - v4) + abs(v6 - v4) + abs(v7 - v4) + abs(v8 - v4)) / 8, 6) AS tri FROM g""")
 def relief(spark, d):
     return R.relief(blocks(spark, d))
 
 
+RAMP = [(1000.0, (0, 64, 128)), (20000.0, (40, 160, 60)), (60000.0, (200, 180, 120)), (90000.0, (255, 255, 255))]
+
+
+def _ramp_sql(c: int) -> str:
+    """A channel of RAMP by its two neighbours of an elevation."""
+    steps = " ".join(f"WHEN z < {b} THEN {low[c]} + (z - {a}) / ({b} - {a}) * ({high[c]} - {low[c]})" for (a, low), (b, high) in zip(RAMP[:-1], RAMP[1:], strict=True))
+    return f"CAST(floor(CASE WHEN z < {RAMP[0][0]} THEN {RAMP[0][1][c]} {steps} ELSE {RAMP[-1][1][c]} END + 0.5) AS INT)"
+
+
+@query("f3_color_relief", f"WITH {_BLOCK} SELECT px, py, {_ramp_sql(0)} AS r, {_ramp_sql(1)} AS g, {_ramp_sql(2)} AS b FROM (SELECT px, py, CAST(z AS DOUBLE) AS z FROM cell WHERE z IS NOT NULL)")
+def color_relief(spark, d):
+    return blocks(spark, d).where("z IS NOT NULL").select(*R.PIX, *[c.alias(n) for c, n in zip(R.color_relief(F.col("z"), RAMP), "rgb", strict=True)])
+
+
 @query("f4_normals", f"""
-WITH {_BLOCK}, w AS (SELECT c.px, c.py, (r.z - l.z) / 2 AS gx, (b.z - t.z) / 2 AS gy FROM (SELECT DISTINCT px + dx AS px, py + dy AS py FROM cell, {_RING}) c JOIN cell l ON l.px = c.px - 1 AND l.py = c.py JOIN cell r ON r.px = c.px + 1 AND r.py = c.py JOIN cell t ON t.px = c.px AND t.py = c.py - 1 JOIN cell b ON b.px = c.px AND b.py = c.py + 1 WHERE l.z IS NOT NULL AND r.z IS NOT NULL AND t.z IS NOT NULL AND b.z IS NOT NULL)
-SELECT px, py, round(-gx / sqrt(gx * gx + gy * gy + 1), 6) AS nx, round(-gy / sqrt(gx * gx + gy * gy + 1), 6) AS ny, round(1 / sqrt(gx * gx + gy * gy + 1), 6) AS nz FROM w""")
+WITH {_BLOCK}, w AS (SELECT c.px, c.py, f.px IS NOT NULL AS flat, (r.z - l.z) / 2 AS gx, (b.z - t.z) / 2 AS gy FROM (SELECT DISTINCT px + dx AS px, py + dy AS py FROM cell, {_RING}) c JOIN cell l ON l.px = c.px - 1 AND l.py = c.py JOIN cell r ON r.px = c.px + 1 AND r.py = c.py JOIN cell t ON t.px = c.px AND t.py = c.py - 1 JOIN cell b ON b.px = c.px AND b.py = c.py + 1
+  LEFT JOIN cell f ON f.px = c.px AND f.py = c.py AND f.z IS NOT NULL AND (f.px // 4 + f.py // 4) % 5 = 0 WHERE l.z IS NOT NULL AND r.z IS NOT NULL AND t.z IS NOT NULL AND b.z IS NOT NULL)
+SELECT px, py, CASE WHEN flat THEN 0 ELSE round(-gx / sqrt(gx * gx + gy * gy + 1), 6) + 0.0 END AS nx, CASE WHEN flat THEN 0 ELSE round(-gy / sqrt(gx * gx + gy * gy + 1), 6) + 0.0 END AS ny, CASE WHEN flat THEN 1 ELSE round(1 / sqrt(gx * gx + gy * gy + 1), 6) END AS nz FROM w""")
 def normals(spark, d):
-    return R.gradients(blocks(spark, d))
+    return R.gradients(blocks(spark, d).withColumn("flat", F.expr("(px div 4 + py div 4) % 5 = 0")), flat="flat")
 
 
 @query("f6_erode", f"WITH {_BLOCK}, n AS (SELECT px - dx AS px, py - dy AS py, min(mask) AS low FROM cell, {_RING} GROUP BY 1, 2) SELECT c.px, c.py, n.low AS mask FROM cell c JOIN n USING (px, py) WHERE c.mask > 0")
@@ -477,10 +546,11 @@ def superelevation(spark, d):
     return T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.round(S.superelevation(F.col("l_extendedprice"), 2000.0, 50000.0, 1.5, 3.0), 4).alias("h"))
 
 
-@query("i15_tile_metrics", f"WITH {PYRAMID} SELECT lod, x, y, round(sqrt(1e6 / pow(4, lod) / 65536) * sqrt(1 + 0.5 * least((max_z - min_z) / 1e4, 2) ** 2), 9) AS texel, CAST(round(1000 * least(greatest((pow(2.0 / 3, lod) - 1) / (2.0 / 3 - 1), 0), 3)) AS INT) AS faces, CAST(greatest(2, least(64, round(3.0 * (x + y)))) AS INT) AS samples, 1 + CASE WHEN watertight THEN 16 ELSE 0 END AS meta_flags FROM pyramid")
+@query("i15_tile_metrics", f"WITH {PYRAMID} SELECT lod, x, y, round(sqrt(1e6 / pow(4, lod) / 65536) * sqrt(1 + 0.5 * least((max_z - min_z) / 1e4, 2) ** 2), 9) AS texel, CAST(round(1000 * least(greatest((pow(2.0 / 3, lod) - 1) / (2.0 / 3 - 1), 0), 3)) AS INT) AS faces, CAST(greatest(2, least(64, round(3.0 * (x + y)))) AS INT) AS samples, 1 + CASE WHEN watertight THEN 16 ELSE 0 END + CASE WHEN (x + y) % 2 = 0 THEN 2 ELSE 0 END AS meta_flags FROM pyramid")
 def tile_metrics(spark, d):
     t = tiles(spark, d)
-    f = F.when(F.col("watertight"), 3).otherwise(1)
+    f = P.flags(t, (F.col("x") + F.col("y")) % 2 == 0).select(*P.TILE, "flags")
+    t, f = t.join(f, P.TILE), F.col("flags")
     return t.select(
         *P.TILE, F.round(S.texel_size(1e6 / F.pow(F.lit(4.0), F.col("lod")), F.col("max_z") - F.col("min_z"), F.lit(1e4)), 9).alias("texel"), S.face_budget(F.col("lod")).alias("faces"),
         S.sample_count((F.col("x") + F.col("y")).cast("double"), 64).alias("samples"), S.meta_flags(f).alias("meta_flags"),
@@ -489,9 +559,7 @@ def tile_metrics(spark, d):
 
 @query("i16_quad_area", f"WITH {_BLOCK} SELECT c.px, c.py, round(0.5 * (sqrt((b.z - c.z) ** 2 + (e.z - b.z) ** 2 + 1) + sqrt((e.z - a.z) ** 2 + (a.z - c.z) ** 2 + 1)), 6) AS area FROM cell c JOIN cell b ON b.px = c.px + 1 AND b.py = c.py JOIN cell a ON a.px = c.px AND a.py = c.py + 1 JOIN cell e ON e.px = c.px + 1 AND e.py = c.py + 1 WHERE c.z IS NOT NULL AND b.z IS NOT NULL AND a.z IS NOT NULL AND e.z IS NOT NULL")
 def quad_area(spark, d):
-    ring = [(0, 0), (1, 0), (0, 1), (1, 1)]
-    w = R.around(blocks(spark, d).where("z IS NOT NULL"), ring=ring).groupBy(*R.PIX).agg(*[R.at("z", *o).alias(f"c{i}") for i, o in enumerate(ring)], F.count(F.lit(1)).alias("n")).where("n = 4")
-    return w.select(*R.PIX, F.round(S.quad_area([F.col(f"c{i}") for i in range(4)]), 6).alias("area"))
+    return M.triangulate(blocks(spark, d)).select(*R.PIX, F.round(S.quad_area([F.col(f"c{i}") for i in range(4)]), 6).alias("area"))
 
 
 @query("i22_projections", "SELECT c_custkey, round(radians(c_nationkey * 10 - 120) * 6378137.0, 3) AS mx, round(ln(tan(pi() / 4 + radians(c_custkey % 160 - 80) / 2)) * 6378137.0, 3) + 0.0 AS my FROM customer")
@@ -513,12 +581,13 @@ def forecast(spark, d):
     return T.table(spark, d, "events").select("event_id", p.alias("period"), S.utc_path(p).alias("path"))
 
 
-@query("j2_forecast_rollover", "WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(CAST(value AS DECIMAL(20,4))), 2) AS total FROM events GROUP BY 1) SELECT CAST(epoch(start) AS BIGINT) AS start, n, CAST(total AS DOUBLE) AS total, CAST(epoch(start) + 21600 - epoch(max(start) OVER ()) AS BIGINT) AS remaining FROM w")
+@query("j2_forecast_rollover", "WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(20,4))), 2) AS DOUBLE) AS total FROM events GROUP BY 1), m AS (SELECT epoch(max(start)) AS at FROM w) SELECT CAST(epoch(w.start) AS BIGINT) AS start, w.n, w.total, p.n AS previous_n, p.total AS previous_total, CAST(greatest(epoch(w.start) + 21600 - m.at, 0) AS BIGINT) AS remaining FROM m, w LEFT JOIN w p ON p.start + INTERVAL '6 hours' = w.start")
 def rollover(spark, d):
-    e = T.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = e.groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("decimal(20,4)")), 2).cast("double").alias("total"))
-    last = w.agg(F.max("w.start").cast("long").alias("last"))
-    return w.join(F.broadcast(last), F.col("last") >= F.col("w.start").cast("long"), "left").select(F.col("w.start").cast("long").alias("start"), "n", "total", (F.col("w.end").cast("long") - F.col("last")).alias("remaining"))
+    from tessera.streaming.refresh import rolled_over
+
+    e = T.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    periods = e.groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("decimal(20,4)")), 2).cast("double").alias("total"))
+    return rolled_over(periods.select(F.col("w.start").cast("long").alias("start"), "n", "total"), 21600)
 
 
 @query("i28_query_string", r"SELECT page_id, coalesce(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages")
@@ -535,10 +604,18 @@ def relative_root(spark, d):
     return j.select("n_nationkey", S.relative_root([F.col("n_regionkey"), F.col("n_name")], [F.col("br"), F.col("bn")]).alias("root"), S.path_prefix([F.lit("rf"), F.col("n_regionkey").cast("string"), F.col("n_name")], 2).alias("prefix"))
 
 
-@query("i32_credit_ids", r"SELECT doc_id, 'auto-' || regexp_replace(regexp_replace(translate(lower(left(text, 60)), 'áàâäãåéèêëíìîïóòôöõúùûüñçýß', 'aaaaaaeeeeiiiiooooouuuuncys'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS credit, trim(regexp_replace(left(text, 60), '\s*[(\[][^)\]]*[)\]]', '', 'g')) AS plain FROM documents")
+_RUN = r"(?:[A-Za-z] ?[. ])+"
+_DROPPED = r"regexp_replace(text, '\{[^}]*(?:\}|\z)|\[[^ \t-\r\]]*([ \t-\r][^\]]*)?(?:\]|\z)', '\1', 'g')"
+_LATIN = "translate(lower(plain), 'áàâäãåéèêëíìîïóòôöõúùûüñçýß', 'aaaaaaeeeeiiiiooooouuuuncys')"
+
+
+@query("i32_credit_ids", rf"""
+WITH p AS (SELECT doc_id, {_DROPPED} AS plain FROM documents),
+t AS (SELECT doc_id, plain, regexp_extract_all({_LATIN}, '{_RUN}|[A-Za-z0-9]+|[^A-Za-z0-9]+') AS parts FROM p),
+c AS (SELECT doc_id, plain, array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_full_match(x, '{_RUN}') THEN translate(x, '. ', '') || ' ' ELSE x END), '') AS said FROM t)
+SELECT doc_id, 'auto-' || regexp_replace(regexp_replace(said, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS credit, plain FROM c""")
 def credit_ids(spark, d):
-    head = F.substring("text", 1, 60)
-    return T.table(spark, d, "documents").select("doc_id", S.credit_id(head).alias("credit"), S.drop_expansion(head).alias("plain"))
+    return T.table(spark, d, "documents").select("doc_id", S.credit_id(F.col("text")).alias("credit"), S.drop_expansion(F.col("text")).alias("plain"))
 
 
 @query("i33_resource_ids", r"SELECT page_id, regexp_extract(p, '([^/]+)/[^/]+$', 1) AS grp, regexp_extract(p, '([^/]+?)(\.[^./]*)?$', 1) AS id FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages)")
@@ -547,10 +624,15 @@ def resource_ids(spark, d):
     return T.table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("p")).select("page_id", grp.alias("grp"), ident.alias("id"))
 
 
-@query("e21_counters", "SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY 1, 2")
+@query("e21_counters", "WITH e AS (SELECT *, epoch(time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01')) - 600 * k AS start FROM events, (SELECT unnest(range(0, 6)) AS k)) SELECT CAST(start AS BIGINT) AS start, event_type, count(*) AS n, round(CAST(avg(CAST(value AS DECIMAL(20,4))) AS DOUBLE) + 1e-7, 3) AS mean, max(value) AS most FROM e GROUP BY 1, 2")
 def counters(spark, d):
+    """Over a history of an hour that slides by ten minutes. Means that end halfway between two roundings are kept from it
+    by a small shift."""
+    from tessera.streaming.refresh import period_counters
+
     e = T.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most")).select(F.col("w.start").cast("long").alias("start"), "event_type", "n", "most")
+    c = period_counters(e, "1 hour", "10 minutes")
+    return c.select(F.col("window.start").cast("long").alias("start"), "event_type", "n", F.round(F.col("mean") + 1e-7, 3).alias("mean"), "most")
 
 
 @query("j3_updated_since", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15'")
@@ -558,10 +640,19 @@ def updated_since(spark, d):
     return T.table(spark, d, "events").where(F.col("ts").cast("timestamp") > F.lit("2024-01-15").cast("timestamp")).select("event_id")
 
 
-@query("i11_half_range", None)
+_ULP = "pow(2, greatest(floor(log2(greatest(abs({0}), 1e-300))), -14) - 10)"
+_HELD = "least(greatest({0}, -65504), 65504)"
+
+
+@query("i11_half_range", f"""
+WITH {PYRAMID}, r AS (SELECT lod, x, y, min_z, max_z FROM pyramid UNION ALL SELECT lod, x, y, -max_z / 70000, min_z / 7e8 FROM pyramid),
+h AS (SELECT *, {_HELD.format("min_z")} AS a, {_HELD.format("max_z")} AS b FROM r)
+SELECT lod, x, y, min_z, max_z, floor(a / {_ULP.format("a")}) * {_ULP.format("a")} AS half_min, ceil(b / {_ULP.format("b")}) * {_ULP.format("b")} + 0.0 AS half_max FROM h""")
 def half_range(spark, d):
-    r = tiles(spark, d).withColumn("h", S.half_range("min_z", "max_z"))
-    return r.select(*P.TILE, "min_z", "max_z", F.col("h.lo").alias("half_min"), F.col("h.hi").alias("half_max"))
+    t = tiles(spark, d).select(*P.TILE, "min_z", "max_z")
+    t = t.unionByName(t.select(*P.TILE, (-F.col("max_z") / 70000).alias("min_z"), (F.col("min_z") / 7e8).alias("max_z")))
+    low, high = S.half_range(F.col("min_z"), F.col("max_z"))
+    return t.select("*", low.alias("half_min"), (high + 0.0).alias("half_max"))
 
 
 @query("e15_table_digest", None)
@@ -569,9 +660,14 @@ def table_digest(spark, d):
     return C.digest(tiles(spark, d), [*P.TILE, "watertight", "min_z", "max_z"])
 
 
-@query("l3_survey", f"WITH {PYRAMID} SELECT lod, count(*) AS n, count(*) FILTER (watertight) AS n_watertight, min(min_z) AS min_z, max(max_z) AS max_z FROM pyramid GROUP BY lod")
+@query("l3_survey", f"""
+WITH {PYRAMID}, r AS (SELECT lod, count(*) AS n, count(*) FILTER (watertight) AS n_watertight, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, min(min_z) AS min_z, max(max_z) AS max_z FROM pyramid GROUP BY lod)
+SELECT r.*, round(360 / pow(2, lod) / 256 * 111319.49079327358, 6) AS gsd, 25.0::DOUBLE AS target_gsd, round(-180 + (x0 + x1 + 1) * (360 / pow(2, lod)) / 2, 9) AS lon, round(90 - (y0 + y1 + 1) * (180 / pow(2, lod)) / 2, 9) + 0.0 AS lat, 'on (floor GSD 25 m)' AS prune, lod > 3 AS skip_partial, false AS force_watertight FROM r""")
 def survey(spark, d):
-    return tiles(spark, d).groupBy("lod").agg(F.count(F.lit(1)).alias("n"), F.count_if("watertight").alias("n_watertight"), F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"))
+    from tessera.operators.survey import report
+
+    r = tiles(spark, d).groupBy("lod").agg(F.count(F.lit(1)).alias("n"), F.count_if("watertight").alias("n_watertight"), *[f(c).alias(f"{c}{i}") for i, f in ((0, F.min), (1, F.max)) for c in "xy"], F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"))
+    return report(r, (-180.0, -90.0, 180.0, 90.0), 25.0, dem=F.lit(True), skip_partial=F.col("lod") > 3)
 
 
 @query("g4_violation_report", f"WITH {PYRAMID}, v AS (SELECT lod, x, y FROM pyramid WHERE watertight), r AS (SELECT *, row_number() OVER (ORDER BY lod, y, x) AS k, count(*) OVER () AS total FROM v) SELECT lod, x, y, total FROM r WHERE k <= 20")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import http.server
+import json
+import threading
+import time
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -12,6 +19,7 @@ from tessera.operators import raster as R
 from tessera.operators import survey as V
 from tessera.plans.queries import _BLOCK, INDEX, LEAF, OTHER, PYRAMID, blocks, index, leaf, other, tiles
 from tessera.plans.registry import query
+from tessera.sources import remote
 from tessera.sources import tables as T
 
 FRAMES = "FROM (SELECT p_partkey AS n, CAST(p_size AS INT) AS size, p_brand AS brand, p_type AS type FROM part)"
@@ -49,12 +57,55 @@ def obj_faces(spark, d):
     return T.obj_mesh(lines, block=64)[1]
 
 
-@query("a15_url_templates", f"WITH {PYRAMID} SELECT lod, x, y, 'https://t' || ((x + y) % 4) || '.tiles.example/' || array_to_string(list_transform(range(1, lod + 1), lambda i: ((x >> CAST(lod - i AS INT)) & 1) + 2 * ((y >> CAST(lod - i AS INT)) & 1)), '') || '.jpeg' AS url FROM pyramid")
+class _Metadata(http.server.BaseHTTPRequestHandler):
+    """A service's metadata; other paths don't answer, or answer something else."""
+
+    REPLY = {"resourceSets": [{"resources": [{"imageUrl": "https://{subdomain}.tiles.example/{quadkey}.jpeg", "imageUrlSubdomains": ["t0", "t1", "t2", "t3"]}]}]}
+
+    def do_GET(self):
+        if self.path == "/slow":
+            time.sleep(1.0)
+        body = json.dumps(self.REPLY if self.path == "/good" else {}).encode()
+        self.send_response(500 if self.path == "/broken" else 200)
+        self.end_headers()
+        with contextlib.suppress(OSError):
+            self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+@contextlib.contextmanager
+def _service():
+    """A server on this host for as long as a query asks it."""
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Metadata)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://127.0.0.1:{server.server_address[1]}"
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@query("a15_url_templates", f"WITH {PYRAMID} SELECT lod, x, y, '//t' || ((x + y) % 4) || '.tiles.example/' || array_to_string(list_transform(range(1, lod + 1), lambda i: ((x >> CAST(lod - i AS INT)) & 1) + 2 * ((y >> CAST(lod - i AS INT)) & 1)), '') || '.jpeg' AS url FROM pyramid")
 def url_templates(spark, d):
-    said = F.lit('{"imageUrl":"https://{subdomain}.tiles.example/{quadkey}.jpeg","subdomains":["t0","t1","t2","t3"]}')
-    t = tiles(spark, d).select(*P.TILE, F.from_json(said, "imageUrl string, subdomains array<string>").alias("m"))
-    url = F.replace(F.col("m.imageUrl"), F.lit("{subdomain}"), F.get(F.col("m.subdomains"), (F.col("x") + F.col("y")) % 4))
-    return t.select(*P.TILE, F.replace(url, F.lit("{quadkey}"), S.quadkey(F.col("lod"), F.col("x"), F.col("y"))).alias("url"))
+    with _service() as at:
+        template, names = remote.tile_template(f"{at}/good")
+    url = F.replace(F.lit(template), F.lit("{subdomain}"), F.get(F.array(*[F.lit(n) for n in names]), (F.col("x") + F.col("y")) % len(names)))
+    return tiles(spark, d).select(*P.TILE, F.replace(url, F.lit("{quadkey}"), S.quadkey(F.col("lod"), F.col("x"), F.col("y"))).alias("url"))
+
+
+@query("a15_fetch_errors", "SELECT * FROM (VALUES ('good', true), ('broken', false), ('empty', false), ('slow', false)) t(reply, answered)")
+def fetch_errors(spark, d):
+    """Which replies give a template: not those that fail, say something else or come too late."""
+    out = []
+    with _service() as at:
+        for name in ("good", "broken", "empty", "slow"):
+            try:
+                out.append((name, bool(remote.tile_template(f"{at}/{name}", timeout=0.3))))
+            except remote.FetchError:
+                out.append((name, False))
+    return spark.createDataFrame(out, "reply string, answered boolean")
 
 
 @query("a16_forecast_config", "SELECT p_partkey, CAST(1705000000 + p_size AS BIGINT) AS base, CAST(p_size * 60 AS INT) AS period, 'https://f.example/{time}/' || p_brand AS url, p_size % 2 = 0 AS transparent FROM part")
@@ -114,10 +165,40 @@ def map_configs(spark, d):
     return C.map_config(n, n, "over").select("id", F.explode("layers").alias("key", "url"))
 
 
-@query("b15_tile_matrix_xml", f"WITH {PYRAMID} SELECT DISTINCT lod, '<TileMatrix><Identifier>' || lod || '</Identifier><ScaleDenominator>' || printf('%.6f', 40075016.68557849 / pow(2, lod) / 256 / 0.00028) || '</ScaleDenominator><MatrixWidth>' || CAST(pow(2, lod) AS BIGINT) || '</MatrixWidth></TileMatrix>' AS xml FROM pyramid")
+def _tag(name: str, *inner: str) -> str:
+    return f"'<{name}>' || " + " || ".join(inner) + f" || '</{name}>'"
+
+
+_MATRIX_SQL = _tag("TileMatrix", _tag("ows:Identifier", "lod"), _tag("ScaleDenominator", "printf('%.6f', 40075016.68557849 / pow(2, lod) / 256 / 0.00028)"), "'<TopLeftCorner>-20037508.342789 20037508.342789</TopLeftCorner><TileWidth>256</TileWidth><TileHeight>256</TileHeight>'", _tag("MatrixWidth", "CAST(pow(2, lod) AS BIGINT)"), _tag("MatrixHeight", "CAST(pow(2, lod) AS BIGINT)"))
+
+
+def _matrices(spark, d):
+    n, half = F.pow(F.lit(2.0), F.col("lod")), 20037508.342789244
+    cells = n.cast("long")
+    return tiles(spark, d).select("lod").distinct().select("lod", (40075016.68557849 / n / 256 / 0.00028).alias("denominator"), F.lit(-half).alias("left"), F.lit(half).alias("top"), cells.alias("width"), cells.alias("height"))
+
+
+@query("b15_tile_matrix_xml", f"WITH {PYRAMID} SELECT DISTINCT lod, {_MATRIX_SQL} AS xml FROM pyramid")
 def matrix_xml(spark, d):
+    return _matrices(spark, d).select("lod", C.tile_matrix_xml(*[F.col(c) for c in ("lod", "denominator", "left", "top", "width", "height")]).alias("xml"))
+
+
+_LIMITS_SQL = _tag("TileMatrixLimits", *[_tag(n, c) for n, c in (("TileMatrix", "lod"), ("MinTileRow", "y0"), ("MaxTileRow", "y1"), ("MinTileCol", "x0"), ("MaxTileCol", "x1"))])
+
+
+@query("b15_capabilities", f"""
+WITH {PYRAMID}, r AS (SELECT 'layer & ' || (x + y) % 3 AS layer, lod, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pyramid GROUP BY 1, 2),
+l AS (SELECT layer, string_agg({_LIMITS_SQL}, '' ORDER BY lod) AS limits, min(x0 / pow(2, lod)) AS xmin, min(y0 / pow(2, lod)) AS ymin, max((x1 + 1) / pow(2, lod)) AS xmax, max((y1 + 1) / pow(2, lod)) AS ymax FROM r GROUP BY 1),
+x AS (SELECT string_agg({_tag("Layer", _tag("ows:Identifier", "replace(layer, '&', '&amp;')"), _tag("ows:BoundingBox", _tag("ows:LowerCorner", "printf('%.6f %.6f', xmin, ymin)"), _tag("ows:UpperCorner", "printf('%.6f %.6f', xmax, ymax)")), _tag("TileMatrixSetLink", "'<TileMatrixSet>world</TileMatrixSet>'", _tag("TileMatrixSetLimits", "limits")))}, '' ORDER BY layer) AS layers FROM l),
+m AS (SELECT string_agg({_MATRIX_SQL}, '' ORDER BY lod) AS matrices FROM (SELECT DISTINCT lod FROM pyramid))
+SELECT '<?xml version="1.0" encoding="UTF-8"?><Capabilities version="1.0.0" xmlns="http://www.opengis.net/wmts/1.0" xmlns:ows="http://www.opengis.net/ows/1.1">' || {_tag("Contents", "layers", _tag("TileMatrixSet", "'<ows:Identifier>world</ows:Identifier><ows:SupportedCRS>EPSG:3857</ows:SupportedCRS>'", "matrices"))} || '</Capabilities>' AS xml FROM x, m""")
+def capabilities(spark, d):
     n = F.pow(F.lit(2.0), F.col("lod"))
-    return tiles(spark, d).select("lod").distinct().select("lod", C.tile_matrix_xml(F.col("lod"), 40075016.68557849 / n / 256 / 0.00028, n.cast("long")).alias("xml"))
+    layer = F.concat(F.lit("layer & "), ((F.col("x") + F.col("y")) % 3).cast("string"))
+    r = tiles(spark, d).groupBy(layer.alias("layer"), "lod").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    ends = [(F.col("x0") / n).alias("xmin"), (F.col("y0") / n).alias("ymin"), ((F.col("x1") + 1) / n).alias("xmax"), ((F.col("y1") + 1) / n).alias("ymax")]
+    sets = _matrices(spark, d).select(F.lit("world").alias("set"), F.lit("EPSG:3857").alias("crs"), "*")
+    return C.capabilities(sets, r.select("*", F.lit("world").alias("set"), *ends))
 
 
 @query("b18_styles", f"""SELECT n, '{{"version":2,"sources":{{"main":{{"type":"surface","url":"' || brand || '"}}}},"terrain":{{"sources":["main"]}},"layers":["' || type || '"],"illumination":{{"light":["tracking","' || size || '","45"]}}}}' AS json {FRAMES}""")
@@ -184,6 +265,19 @@ def projected(spark, d):
     return V.projected_extents(boxes(spark, d), 4).select("k", *[(F.round(c, 3) + 0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+@query("e12_refined_extents", f"""
+WITH {BOXES}, p AS (
+  SELECT k, radians(CAST(CASE i // 4096 % 4 WHEN 0 THEN xmin + i % 4096 / 4096 * 10 WHEN 1 THEN xmax WHEN 2 THEN xmax - i % 4096 / 4096 * 10 ELSE xmin END AS DOUBLE)) AS lo,
+    radians(CAST(CASE i // 4096 % 4 WHEN 0 THEN ymax WHEN 1 THEN ymax - i % 4096 / 4096 * 10 WHEN 2 THEN ymin ELSE ymin + i % 4096 / 4096 * 10 END AS DOUBLE)) AS la
+  FROM boxes, (SELECT unnest(range(0, 16384)) AS i)),
+g AS (SELECT k, 6378137.0 / sqrt(1 - (1 / 298.257223563) * (2 - 1 / 298.257223563) * sin(la) ** 2) * cos(la) AS r, lo FROM p)
+SELECT k, round(min(r * cos(lo)), -2) + 0.0 AS x0, round(min(r * sin(lo)), -2) + 0.0 AS y0, round(max(r * cos(lo)), -2) + 0.0 AS x1, round(max(r * sin(lo)), -2) + 0.0 AS y1 FROM g GROUP BY k""")
+def refined(spark, d):
+    """Extents in geocentric axes, in which borders bend: four samples to a side, refined around the extremes."""
+    flat = lambda lon, lat: S.geocentric(lon, lat, F.lit(0.0))[:2]
+    return V.projected_extents(boxes(spark, d), 4, 4, flat).select("k", *[(F.round(c, -2) + 0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 @query("e13_camera_extents", f"""
 WITH {BORDER}, c AS (SELECT *, (1 / 298.257223563) * (2 - 1 / 298.257223563) AS e FROM border JOIN (SELECT k, radians(CAST((xmin + xmax) / 2 AS DOUBLE)) AS clo, radians(CAST((ymin + ymax) / 2 AS DOUBLE)) AS cla FROM boxes) USING (k)),
 n AS (SELECT *, 6378137.0 / sqrt(1 - e * sin(la) * sin(la)) AS n, 6378137.0 / sqrt(1 - e * sin(cla) * sin(cla)) AS m FROM c),
@@ -206,7 +300,7 @@ def geoid_lattice(spark, d):
     held = lambda c: F.least(F.greatest(c - 0.5, F.lit(0.0)), F.lit(3.999))
     points = T.table(spark, d, "customer").select("c_custkey", cells.alias("cells"), held((k % 53) / 10.0).alias("fx"), held((k % 31) / 6.0).alias("fy"))
     nodes = T.table(spark, d, "nation").select((F.col("n_nationkey") % 5).alias("i"), F.expr("CAST(n_nationkey div 5 AS INT)").alias("j"), (F.col("n_regionkey") * 2.0 - F.col("n_nationkey")).alias("v"))
-    return R.bilinear(points, nodes).select("c_custkey", "cells", (F.round("v", 6) + 0.0).alias("v"))
+    return R.bilinear(points, nodes, (4, 4)).select("c_custkey", "cells", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("g1_job_order", f"WITH {INDEX} SELECT lod, x & ~31 AS bx, y & ~31 AS by, count(*) AS cells FROM idx GROUP BY 1, 2, 3")
@@ -247,22 +341,36 @@ def tangent_planes(spark, d):
     return boxes(spark, d).select("k", *[(F.round(c, 9) + 0.0).alias(n) for c, n in named])
 
 
-@query("i35_definition_defaults", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'hillshade' END AS processing, CASE WHEN p_size % 3 = 0 THEN 'png' ELSE 'jpg' END AS format, CAST(CASE WHEN p_size % 5 = 0 THEN p_size END AS INT) AS erode FROM part")
+@query("i35_definition_defaults", """
+SELECT p_partkey, p_name AS dataset, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'hillshade' END AS processing, CASE WHEN p_size % 4 = 0 THEN '-z,' || p_size ELSE '' END AS options, CASE WHEN p_size % 3 = 0 THEN 'png' ELSE 'jpg' END AS format, CASE WHEN p_size % 5 = 0 THEN 'dem' ELSE 'cubic' END AS resampling, p_size % 7 = 0 AS erode,
+  '{"dataset":"' || p_name || '","processing":"' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'hillshade' END || '"' || CASE WHEN p_size % 4 = 0 THEN ',"processingOptions":["-z","' || p_size || '"]' ELSE '' END || ',"format":"' || CASE WHEN p_size % 3 = 0 THEN 'png' ELSE 'jpg' END || '","resampling":"' || CASE WHEN p_size % 5 = 0 THEN 'dem' ELSE 'cubic' END || '","erodeMask":' || CASE WHEN p_size % 7 = 0 THEN 'true' ELSE 'false' END || '}' AS built FROM part""")
 def definition_defaults(spark, d):
     s = F.col("p_size")
-    text = F.to_json(F.struct(F.when(s % 2 == 0, F.col("p_brand")).alias("processing"), F.when(s % 3 == 0, "png").alias("format"), F.when(s % 5 == 0, s).alias("erode")))
-    p = T.table(spark, d, "part").select("p_partkey", F.from_json(text, "processing string, format string, erode int").alias("d"))
-    return p.select("p_partkey", F.coalesce("d.processing", F.lit("hillshade")).alias("processing"), F.coalesce("d.format", F.lit("jpg")).alias("format"), F.col("d.erode").alias("erode"))
+    options = F.when(s % 4 == 0, F.array(F.lit("-z"), s.cast("string")))
+    text = F.to_json(F.struct(F.col("p_name").alias("dataset"), F.when(s % 2 == 0, F.col("p_brand")).otherwise("hillshade").alias("processing"), options.alias("processingOptions"), F.when(s % 3 == 0, "png").alias("format"), F.when(s % 5 == 0, "dem").alias("resampling"), F.when(s % 7 == 0, True).alias("erodeMask")))
+    p = T.table(spark, d, "part").select("p_partkey", C.parse_definition(text, "tms-gdaldem").alias("d"))
+    return p.select("p_partkey", "d.dataset", "d.processing", F.array_join("d.processingOptions", ",").alias("options"), "d.format", "d.resampling", F.col("d.erodeMask").alias("erode"), C.build_definition(F.col("d")).alias("built"))
+
+
+@query("i35_vector_definitions", "SELECT p_partkey, p_brand AS dem, CASE WHEN p_size % 2 = 0 THEN 'a,b' ELSE '' END AS layers, CASE WHEN p_size % 3 = 0 THEN 'always' ELSE 'auto' END AS mode, CAST(CASE WHEN p_size % 5 = 0 THEN p_size ELSE 256 END AS INT) AS display FROM part")
+def vector_definitions(spark, d):
+    s = F.col("p_size")
+    text = F.to_json(F.struct(F.col("p_name").alias("dataset"), F.col("p_brand").alias("demDataset"), F.when(s % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("layers"), F.when(s % 3 == 0, "always").alias("mode"), F.when(s % 5 == 0, s).alias("displaySize")))
+    p = T.table(spark, d, "part").select("p_partkey", C.parse_definition(text, "geodata-vector").alias("d"))
+    return p.select("p_partkey", F.col("d.demDataset").alias("dem"), F.array_join("d.layers", ",").alias("layers"), "d.mode", F.col("d.displaySize").alias("display"))
 
 
 @query("l6_polygon_mask", """
-WITH p AS (SELECT DISTINCT CAST(k * 3 + i AS INT) AS x, CAST(k * 2 + j AS INT) AS y FROM (SELECT n_nationkey AS k, 3 + n_nationkey % 6 AS s FROM nation), (SELECT unnest(range(0, 9)) AS i) a, (SELECT unnest(range(0, 9)) AS j) b WHERE i + j <= s),
+WITH t AS (SELECT DISTINCT CAST(k * 3 + i AS INT) AS x, CAST(k * 2 + j AS INT) AS y FROM (SELECT n_nationkey AS k, 3 + n_nationkey % 6 AS s FROM nation), (SELECT unnest(range(0, 9)) AS i) a, (SELECT unnest(range(0, 9)) AS j) b WHERE i + j <= s),
+p AS (SELECT DISTINCT CAST(x + dx AS INT) AS x, CAST(y + dy AS INT) AS y FROM t, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE x + dx BETWEEN 1 AND 70 AND y + dy BETWEEN 0 AND 47),
 w AS (SELECT s, x >> s AS x, y >> s AS y, count(*) AS n FROM p, (SELECT CAST(unnest(range(0, 5)) AS INT) AS s) GROUP BY s, 2, 3 HAVING count(*) = CAST(pow(4, s) AS BIGINT))
 SELECT s, x, y, 1 AS flags FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.s = a.s + 1 AND b.x = a.x >> 1 AND b.y = a.y >> 1)""")
 def polygon_mask(spark, d):
+    """Polygons to pixels, spread by two, cut to the frame, as a quadtree of uniform squares."""
     n = T.table(spark, d, "nation").select((F.col("n_nationkey") * 3).alias("x"), (F.col("n_nationkey") * 2).alias("y"), (3 + F.col("n_nationkey") % 6).alias("s"))
     tri = n.select(F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("s")).alias("bx"), F.col("y").alias("by"), F.col("x").alias("cx"), (F.col("y") + F.col("s")).alias("cy"))
-    return P.uniform_quads(M.covered(tri).select(F.col("px").alias("x"), F.col("py").alias("y"), F.lit(1).alias("flags")), 4)
+    wide = R.dilate(M.covered(tri).withColumn("mask", F.lit(1)), 2)
+    return P.uniform_quads(T.bbox(wide, 1, 0, 70, 47, "px", "py").select(F.col("px").alias("x"), F.col("py").alias("y"), F.lit(1).alias("flags")), 4)
 
 
 @query("l10_index_generator", f"WITH {OTHER} SELECT lod, x, y, flags | 2 AS flags FROM other WHERE lod = 5 AND x BETWEEN 3 AND 20 AND y BETWEEN 2 AND 25")
@@ -273,3 +381,65 @@ def index_generator(spark, d):
 @query("l11_catalogue", "SELECT p_brand AS grp, count(*) AS n, count(*) FILTER (p_size > 25) AS ready, max(p_partkey) AS newest FROM part GROUP BY 1")
 def catalogue(spark, d):
     return T.table(spark, d, "part").groupBy(F.col("p_brand").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_size") > 25).alias("ready"), F.max("p_partkey").alias("newest"))
+
+
+_WHAT = "['list-resources', 'update-resources', 'updated-since', 'updated-since', 'supports-reference-frame', 'has-resource', 'is-resource-ready', 'resource-url', 'has-resource', 'no-such', 'updated-since'][1 + k % 11]"
+_NAMED = "k % 13 <> 5 AND k % 11 <> 8"
+
+
+@query("l11_commands", f"""
+WITH r AS (SELECT CASE p_size % 2 WHEN 0 THEN 'earth' ELSE 'mars' END AS rf, p_brand AS grp, 'r' || p_partkey AS resource, p_size > 25 AS ready, p_size * 1000 AS updated, p_partkey AS k FROM part),
+c AS (SELECT *, {_WHAT} AS command, CASE WHEN {_NAMED} THEN resource ELSE 'lost' END AS wanted, k % 11 AS w FROM r),
+a AS (SELECT string_agg(rf || '/tms/' || grp || '/' || resource, chr(10) ORDER BY rf || '/tms/' || grp || '/' || resource) AS everything, max(updated) AS newest FROM r)
+SELECT k AS id, CASE w WHEN 0 THEN everything WHEN 1 THEN 'resource updater notified' || chr(10) || 42 WHEN 2 THEN CASE WHEN newest > 20000 THEN 'true' ELSE 'false' END
+  WHEN 3 THEN CASE WHEN {_NAMED} AND updated > 20000 THEN 'true' ELSE 'false' END WHEN 4 THEN CASE WHEN EXISTS (SELECT 1 FROM r q WHERE q.rf = c.rf) AND k % 2 = 0 THEN 'true' ELSE 'false' END
+  WHEN 5 THEN CASE WHEN {_NAMED} THEN 'true' ELSE 'false' END WHEN 6 THEN CASE WHEN {_NAMED} AND ready THEN 'true' ELSE 'false' END
+  WHEN 7 THEN CASE WHEN {_NAMED} THEN '/' || rf || '/tms/' || grp || '/' || resource || '/' ELSE 'error: no such resource' END
+  WHEN 8 THEN 'error: has-resource expects 3 arguments' WHEN 9 THEN 'error: unknown command no-such' ELSE 'error: argument is not a number' END AS answer FROM c, a""")
+def commands(spark, d):
+    k = F.col("p_partkey")
+    r = T.table(spark, d, "part").select(F.when(F.col("p_size") % 2 == 0, "earth").otherwise("mars").alias("rf"), F.col("p_brand").alias("grp"), F.concat(F.lit("r"), k.cast("string")).alias("resource"), F.lit("tms").alias("type"), (F.col("p_size") > 25).alias("ready"), (F.col("p_size") * 1000).cast("long").alias("updated"), k.alias("id"))
+    w, i = F.col("id") % 11, F.col("id")
+    name = F.array("rf", "grp", F.when((i % 13 != 5) & (w != 8), F.col("resource")).otherwise("lost"))
+    none, since = F.array().cast("array<string>"), F.array(F.lit("20000"))
+    args = F.when(w < 2, none).when(w == 2, since).when(w == 3, F.concat(since, name)).when(w == 4, F.array(F.when(i % 2 == 0, F.col("rf")).otherwise("venus"))).when(w == 8, since).when(w == 10, F.array(F.lit("soon"))).otherwise(name)
+    what = F.element_at(F.array(*[F.lit(c) for c in ("list-resources", "update-resources", "updated-since", "updated-since", "supports-reference-frame", "has-resource", "is-resource-ready", "resource-url", "has-resource", "no-such", "updated-since")]), (w + 1).cast("int"))
+    return C.answer(r.select("id", what.alias("command"), args.alias("args")), r.drop("id"), 42)
+
+
+@query("i38_matrix_roots", "SELECT CAST(1 AS INT) AS lod, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, CAST(min(x) * 20 AS DOUBLE) AS xmin, CAST(min(y) * 10 AS DOUBLE) AS ymin, CAST(max(x) * 20 + 20 AS DOUBLE) AS xmax, CAST(max(y) * 10 + 10 AS DOUBLE) AS ymax FROM (SELECT CAST(n_nationkey % 5 AS INT) AS x, CAST(n_nationkey // 5 AS INT) AS y FROM nation WHERE n_regionkey = 2)")
+def matrix_roots(spark, d):
+    k = F.col("n_nationkey")
+    n = T.table(spark, d, "nation").select(F.when(F.col("n_regionkey") == 2, 1).otherwise(2).alias("lod"), (k % 5).cast("int").alias("x"), F.expr("CAST(n_nationkey div 5 AS INT)").alias("y"), F.concat(F.lit("srs"), F.col("n_regionkey").cast("string")).alias("srs"))
+    return C.matrix_roots(n.select("*", *[e.cast("double").alias(c) for c, e in (("xmin", F.col("x") * 20), ("ymin", F.col("y") * 10), ("xmax", F.col("x") * 20 + 20), ("ymax", F.col("y") * 10 + 10))]), "srs2")
+
+
+def _kernel(name: str, t: str) -> str:
+    return {
+        "bilinear": f"greatest(0, 1 - abs({t}))",
+        "cubic": f"CASE WHEN abs({t}) < 1 THEN 1.5 * abs({t}) ** 3 - 2.5 * {t} ** 2 + 1 WHEN abs({t}) < 2 THEN -0.5 * abs({t}) ** 3 + 2.5 * {t} ** 2 - 4 * abs({t}) + 2 ELSE 0 END",
+        "cubicspline": f"CASE WHEN abs({t}) < 1 THEN CAST(2 AS DOUBLE) / 3 - {t} ** 2 + abs({t}) ** 3 / 2 WHEN abs({t}) < 2 THEN (2 - abs({t})) ** 3 / 6 ELSE 0 END",
+        "lanczos": f"CASE WHEN abs({t}) < 1e-9 THEN 1 WHEN abs({t}) < 3 THEN 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t}) ** 2 ELSE 0 END",
+    }[name]
+
+
+def _resampled(method: str, kernel: str, scale: float) -> str:
+    """Targets by kernel: cells meet the targets around their own, weights are kernels of both distances."""
+    wide, n = max(scale, 1.0), 4 if scale >= 1 else 7
+    return f"""SELECT '{method}' AS method, tx AS px, ty AS py, sum(w * z) / sum(w) AS z FROM (
+  SELECT tx, ty, z, ({_kernel(kernel, "u")}) * ({_kernel(kernel, "v")}) AS w, floor((tx + CAST(0.5 AS DOUBLE)) * {scale}) = px AND floor((ty + CAST(0.5 AS DOUBLE)) * {scale}) = py AS own FROM (
+    SELECT *, ((tx + CAST(0.5 AS DOUBLE)) * {scale} - (px + CAST(0.5 AS DOUBLE))) / {wide} AS u, ((ty + CAST(0.5 AS DOUBLE)) * {scale} - (py + CAST(0.5 AS DOUBLE))) / {wide} AS v FROM (
+      SELECT px, py, CAST(z AS DOUBLE) AS z, CAST(floor((px + CAST(0.5 AS DOUBLE)) / {scale}) + i AS INT) AS tx, CAST(floor((py + CAST(0.5 AS DOUBLE)) / {scale}) + j AS INT) AS ty FROM few, (SELECT unnest(range(-{n}, {n + 1})) AS i), (SELECT unnest(range(-{n}, {n + 1})) AS j)))) GROUP BY 1, 2, 3 HAVING bool_or(own) AND abs(sum(w)) > 1e-9"""
+
+
+@query("e7_interpolation", f"""
+WITH {_BLOCK}, few AS (SELECT px, py, z FROM cell WHERE z IS NOT NULL AND px < 48 AND py < 48), u AS (
+{" UNION ALL ".join(_resampled(m, m, 2.0) for m in ("bilinear", "cubic", "cubicspline", "lanczos"))} UNION ALL {_resampled("dem", "cubicspline", 0.5)}
+UNION ALL SELECT 'texture', CAST(floor((px + CAST(0.5 AS DOUBLE)) / 2) AS INT), CAST(floor((py + CAST(0.5 AS DOUBLE)) / 2) AS INT), avg(CAST(z AS DOUBLE)) FROM few GROUP BY 2, 3)
+SELECT method, px, py, round(z + 1e-7, 3) AS z FROM u""")
+def interpolation(spark, d):
+    """The interpolating methods at half size, and elevations at twice the size. Sums of prices by sixteenths end halfway
+    between two roundings, from which a small shift keeps them."""
+    g = blocks(spark, d).where("px < 48 AND py < 48").select(*R.PIX, F.col("z").cast("double").alias("z"))
+    made = [R.interpolate(g, 0.5 if m == "dem" else 2.0, m).select(F.lit(m).alias("method"), *R.PIX, F.round(F.col("z") + 1e-7, 3).alias("z")) for m in ("bilinear", "cubic", "cubicspline", "lanczos", "texture", "dem")]
+    return reduce(lambda a, b: a.unionByName(b), made)

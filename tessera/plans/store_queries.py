@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from tessera.operators import catalogue as C
 from tessera.operators import pyramid as P
 from tessera.plans import builds as B
 from tessera.plans import plugins, service_queries  # noqa: F401  (its SQL is used here)
-from tessera.plans.queries import INDEX, LOD, PYRAMID, SHIFT, cells, index, tiles
+from tessera.plans.queries import CELL, INDEX, LOD, PYRAMID, SHIFT, cells, index, tiles
 from tessera.plans.registry import ORACLES, query
 from tessera.sources import definitions as D
 from tessera.sources import store
@@ -82,6 +84,19 @@ def png_tiles(spark, d):
     return png.image_pixels(images).withColumn("pixels", F.array_join(F.col("pixels").cast("array<string>"), ","))
 
 
+@query("b4_colour_tiles", """
+WITH c AS (SELECT l_partkey % 1024 >> 3 AS px, l_orderkey % 1024 >> 3 AS py, max(l_suppkey) % 256 AS r, max(l_linenumber) * 30 AS g, max(l_quantity)::INT % 256 AS b FROM lineitem GROUP BY 1, 2),
+t AS (SELECT DISTINCT px >> 3 AS x, py >> 3 AS y FROM c),
+g AS (SELECT t.x, t.y, i, coalesce(c.r, 0) AS r, coalesce(c.g, 0) AS g, coalesce(c.b, 0) AS b, CASE WHEN c.r IS NULL THEN 0 ELSE 255 END AS a FROM t, (SELECT unnest(range(0, 64)) AS i) LEFT JOIN c ON c.px = t.x * 8 + i % 8 AND c.py = t.y * 8 + i // 8)
+SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, 8 AS width, 8 AS height, string_agg(r || ',' || g || ',' || b || ',' || a, ',' ORDER BY i) AS pixels FROM g GROUP BY 1, 2""")
+def colour_tiles(spark, d):
+    """Tiles of red, green, blue and how opaque a pixel is; absent pixels are transparent."""
+    li = T.table(spark, d, "lineitem")
+    spot = [F.shiftright((F.col(c) % 1024).cast("int"), 3).alias(a) for c, a in (("l_partkey", "px"), ("l_orderkey", "py"))]
+    c = li.groupBy(*spot).agg((F.max("l_suppkey") % 256).cast("int").alias("r"), (F.max("l_linenumber") * 30).cast("int").alias("g"), (F.max("l_quantity").cast("int") % 256).alias("b")).withColumn("a", F.lit(255))
+    return png.image_pixels(png.tile_images(c, 3, ["r", "g", "b", "a"])).withColumn("pixels", F.array_join(F.col("pixels").cast("array<string>"), ","))
+
+
 @query("b5_store_writer", f"WITH {PYRAMID} SELECT lod, x, y, min_z, max_z FROM pyramid")
 def store_writer(spark, d):
     store.write_tiles(tiles(spark, d).select(*P.TILE, "min_z", "max_z"), path := store.scratch(spark, "store"))
@@ -149,6 +164,27 @@ def refreshed(spark, d):
     return serving.read().select("id", "revision", "body")
 
 
+@query("j4_abort", "SELECT * FROM (VALUES ('tagged', 'aborted'), ('other', '10')) t(job, outcome)")
+def aborted(spark, d):
+    """A job that is aborted by its tag from another thread fails with that; one without the tag goes on."""
+    outcome: list[str] = []
+
+    def slow() -> None:
+        try:
+            jobs.abortable(spark, tag, lambda: spark.range(10**14).selectExpr("sum(sqrt(id))").collect())
+            outcome.append("finished")
+        except Exception as e:
+            outcome.append("aborted" if "cancel" in str(e).lower() else str(e))
+
+    tag = f"abort-{uuid.uuid4().hex}"
+    run = threading.Thread(target=slow)
+    run.start()
+    while run.is_alive():
+        jobs.abort(spark, tag)
+        run.join(0.2)
+    return spark.createDataFrame([("tagged", outcome[0]), ("other", str(spark.range(10).count()))], "job string, outcome string")
+
+
 @query("j5_swap", "SELECT 'u' || user_id AS id, CAST(max(event_id) AS INT) AS revision FROM events WHERE event_id % 2 = 0 GROUP BY 1")
 def swap(spark, d):
     """A replacement that fails while it is prepared leaves the old generation serving."""
@@ -250,10 +286,18 @@ _HEIGHTS = {"function": "superelevation", "heightRange": [0, 50], "scaleRange":
 _COORDINATES = "round(CASE WHEN z <= 0 THEN z WHEN z >= 50 THEN z * 3 ELSE z * (1 + z / 50 * 2) END, 6)"
 
 
-@query("k6_postprocess", "SELECT p_partkey, CAST(p_size AS INT) + 1 AS z FROM part")
+@query("k6_postprocess", f"""
+WITH {CELL}, f AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
+SELECT c_custkey, CAST(cell.z AS DOUBLE) + 1 AS z, f.s_name, CASE WHEN f.s_suppkey IS NULL THEN 1 ELSE 3 END AS n_props FROM customer LEFT JOIN cell ON px = c_custkey % 1024 AND py = c_nationkey * 7 LEFT JOIN f ON f.s_nationkey = c_nationkey AND f.r = 1""")
 def postprocess(spark, d):
-    features = T.table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("z"))
-    return plugins.postprocessed(features, lambda f: f.withColumn("z", F.col("z") + 1))
+    """What runs on features once their heights are coded: attributes of a table, then heights raised by one."""
+    k = F.col("c_custkey")
+    c = T.table(spark, d, "customer").select(k, "c_nationkey", (k % 1024).cast("double").alias("x"), (F.col("c_nationkey") * 7).cast("double").alias("y"), F.lit(None).cast("double").alias("z"), F.create_map(F.lit("name"), F.col("c_name")).alias("props"))
+    g = cells(spark, d).select("px", "py", "z")
+    s = T.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name", F.col("s_suppkey").alias("_order"))
+    coded = C.height_code(c, [C.Raster(g, 0.0, 0.0, 1.0)], F.lit("auto"))
+    out = plugins.postprocessed(coded, lambda f: C.enhance(f, s, "c_nationkey", "s_nationkey"), lambda f: f.withColumn("z", F.col("z") + 1))
+    return out.select("c_custkey", "z", F.try_element_at("props", F.lit("s_name")).alias("s_name"), F.size("props").alias("n_props"))
 
 
 @query("k7_height_functions", f"WITH f AS (SELECT p_partkey, least(greatest(p_size, 0), 50) * 1.0 AS z FROM part) SELECT p_partkey, 'scaled' AS kind, CAST({_COORDINATES} AS DOUBLE) AS h FROM f UNION ALL SELECT p_partkey, 'none', CAST(z AS DOUBLE) FROM f")
@@ -274,9 +318,11 @@ def build_tiling(spark, d):
 WITH {PYRAMID}, o0 AS (SELECT px, py, max(z) AS z FROM pixel GROUP BY 1, 2),
 o AS (SELECT s, px >> s AS x, py >> s AS y FROM o0, (SELECT CAST(unnest([1, 2, 3]) AS INT) AS s) WHERE z IS NOT NULL GROUP BY 1, 2, 3)
 SELECT min(px) AS xmin, max(px) AS xmax, min(py) AS ymin, max(py) AS ymax, count(*) AS n, (SELECT count(*) FROM o) AS n_overview, (SELECT min(lod) FROM pyramid) AS lod_min, (SELECT max(lod) FROM pyramid) AS lod_max, (SELECT count(*) FROM pyramid) AS n_tiles,
-  'auto-open-terrain' AS credit, '{{"group":"g","id":"dem","type":"surface","driver":"surface-dem","revision":0}}' AS definition FROM pixel""")
+  'auto-open-terrain' AS credit, '{{"group":"g","id":"dem","type":"surface","driver":"surface-dem","revision":0}}' AS definition, 'g/dem' AS notified FROM pixel""")
 def setup_resource(spark, d):
-    return B.setup_resource(spark, T.pixels(spark, d), "g", "dem", "© Open Terrain", store.scratch(spark, "resource"))
+    told: list[str] = []
+    made = B.setup_resource(spark, T.pixels(spark, d), "g", "dem", "© Open Terrain", store.scratch(spark, "resource"), told.append)
+    return made.withColumn("notified", F.lit(",".join(told)))
 
 
 @query("l5_overview_generator", ORACLES["b23_overview_levels"])

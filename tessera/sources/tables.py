@@ -94,34 +94,41 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def numbered(df: DataFrame, n: str, name: str, block: int = 1 << 16) -> DataFrame:
-    """df with its rows numbered from 1 in the order of the whole numbers in n. Rows are numbered in blocks of n, which
+def numbered(df: DataFrame, n: str, name: str, block: int = 1 << 16, *then: str) -> DataFrame:
+    """df with its rows numbered from 1 in the order of the whole numbers in n (and then of others). Rows are numbered in blocks of n, which
     start at the count of the rows before: no task sees more than a block, the counts of blocks are few."""
     from pyspark.sql import Window
 
     keyed = df.withColumn("_block", F.floor(F.col(n) / block))
     counts = keyed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(n))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(n, *then))
     return keyed.withColumn("_rank", rank).join(before, "_block").withColumn(name, (F.col("_rank") + F.col("_before")).cast("int")).drop("_block", "_rank", "_before")
 
 
 def obj_mesh(lines: DataFrame, column: str = "line", block: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """(vertices (vid, x, y, z), faces (fid, a, b, c, material)) of OBJ text with a line number column n. A face's
     material is the one named last before it ("mesh" before any), found in its block of lines or else in the blocks
-    before."""
+    before. Polygons are fans of triangles around their first corner; negative corners count back from the last vertex
+    before the face; numbers may have exponents, and what is no number is null."""
     from pyspark.sql import Window
 
-    number = r"(-?[0-9.]+)"
+    parts = F.split(F.trim(F.col(column)), "[ \\t]+")
     v = numbered(lines.where(F.col(column).startswith("v ")), "n", "vid", block)
-    v = v.select("vid", *[F.regexp_extract(column, rf"^v +{number} +{number} +{number}", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
-    keyed = lines.withColumn("_b", F.floor(F.col("n") / block)).withColumn("_m", F.when(F.col(column).startswith("usemtl "), F.substring(column, 8, 1000)))
-    own = F.last("_m", ignorenulls=True).over(Window.partitionBy("_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    ends = keyed.groupBy("_b").agg(F.max_by("_m", F.when(F.col("_m").isNotNull(), F.col("n"))).alias("_e"))
-    carried = ends.select("_b", F.last("_e", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    f = keyed.withColumn("_own", own).where(F.col(column).startswith("f ")).join(carried, "_b").withColumn("material", F.coalesce("_own", "_carried", F.lit("mesh")))
-    face = r"^f +(\d+)[^ ]* +(\d+)[^ ]* +(\d+)"
-    f = numbered(f, "n", "fid", block).select("fid", *[F.regexp_extract(column, face, i + 1).cast("int").alias(c) for i, c in enumerate("abc")], "material")
+    v = v.withColumn("_p", parts).select("vid", *[F.get("_p", F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    is_point = F.col(column).startswith("v ")
+    keyed = lines.withColumn("_b", F.floor(F.col("n") / block)).withColumn("_m", F.when(F.col(column).startswith("usemtl "), F.trim(F.expr(f"substring({column}, 8)"))))
+    before = Window.partitionBy("_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ends = keyed.groupBy("_b").agg(F.max_by("_m", F.when(F.col("_m").isNotNull(), F.col("n"))).alias("_e"), F.count_if(is_point).alias("_k"))
+    past = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_b", F.last("_e", ignorenulls=True).over(past).alias("_carried"), F.coalesce(F.sum("_k").over(past), F.lit(0)).alias("_points"))
+    f = keyed.withColumn("_own", F.last("_m", ignorenulls=True).over(before)).withColumn("_seen", F.count_if(is_point).over(before))
+    f = f.where(F.col(column).startswith("f ")).join(carried, "_b").withColumn("material", F.coalesce("_own", "_carried", F.lit("mesh"))).withColumn("_seen", F.col("_seen") + F.col("_points"))
+    corner = lambda t: F.split(t, "/")[0].try_cast("int")
+    corners = F.transform(F.slice(parts, 2, 1 << 30), lambda t: F.when(corner(t) < 0, F.col("_seen") + 1 + corner(t)).otherwise(corner(t)).cast("int"))
+    f = f.withColumn("_c", corners).where("size(_c) >= 3")
+    fans = f.select("n", "material", "_c", F.posexplode(F.sequence(F.lit(1), F.size("_c") - 2)).alias("_i", "_t"))
+    f = numbered(fans, "n", "fid", block, "_i").select("fid", F.col("_c")[0].alias("a"), F.get("_c", F.col("_t")).alias("b"), F.get("_c", F.col("_t") + 1).alias("c"), "material")
     return v, f
 
 

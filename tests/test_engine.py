@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import png
 from tessera.functions import scalars as S
-from tessera.operators import catalogue, pyramid, raster
+from tessera.operators import catalogue, geometry, pyramid, raster
 from tessera.plans import more_queries, plugins, queries, registry, service_queries, store_queries  # noqa: F401
 from tessera.sources import definitions, store, tables
 from tessera.streaming import jobs, refresh
@@ -69,7 +69,17 @@ def test_store_round_trip(spark, tmp_path, absent):
         store.read_pair(spark, root, rf="mars")
     assert store.is_current(spark, root, {"pairing": store.manifest(spark, root)["pairing"]})
     store.publish(index.where("lod < 5"), None, root, {"rf": "earth"})
-    assert store.read_pair(spark, root)[1] is None
+    assert store.read_pair(spark, root, whole=True)[1] is None
+
+
+def test_a_pair_whose_files_changed_is_rejected(spark, tmp_path):
+    index = queries.index(spark, SF).where("lod < 4")
+    root = f"file://{tmp_path}/s"
+    generation = store.publish(index, None, root, {})
+    assert store.read_pair(spark, root)[0].count() == index.count()
+    index.where("lod = 3").select("x", "y", "flags").write.mode("append").parquet(f"{root}/{generation}/index/lod=3")
+    with pytest.raises(ValueError, match="different generations"):
+        store.read_pair(spark, root)
 
 
 def test_missing_payload_fails(spark):
@@ -89,17 +99,80 @@ def test_refresh_stream(spark, tmp_path):
     assert {r.id: r.revision for r in serving.read().collect()} == {"a": 2, "c": 1}
 
 
+def test_served_generations_outlive_a_restart(spark, tmp_path):
+    root = f"file://{tmp_path}/serving"
+    one = spark.createDataFrame([("a", 1, "x", False)], "id string, revision int, body string, system boolean")
+    first = refresh.Serving(spark, root)
+    assert first.generation() is None and first.read().count() == 0
+    first.replace(one)
+    held = first.read()
+    again = refresh.Serving(spark, root)
+    assert [r.id for r in again.read().collect()] == ["a"]
+    again.replace(one.withColumn("id", F.lit("b")))
+    assert [r.id for r in refresh.Serving(spark, root).read().collect()] == ["b"]
+    # readers of the old generation still have it
+    assert [r.id for r in held.collect()] == ["a"]
+
+
+def test_updater_retries_wakes_and_says_when_it_is_ready():
+    fails, done = [2], []
+
+    def update():
+        if fails[0]:
+            fails[0] -= 1
+            raise OSError("not there")
+        done.append(time.time())
+
+    u = refresh.Updater(update, period=60.0, retry=0.05)
+    assert not u.ready(0)
+    u.start()
+    assert u.ready(10) and u.runs == 3 and u.error is None and len(done) == 1
+    asked = u.wake()
+    for _ in range(100):
+        if u.updated_since(asked):
+            break
+        time.sleep(0.05)
+    assert u.updated_since(asked) and len(done) == 2
+    u.stop()
+    assert not u.updated_since(time.time() + 1)
+
+
+def test_forecast_rolls_over(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    serving = refresh.Serving(spark, f"file://{tmp_path}/serving")
+    for n, hours in enumerate(([0, 1, 2], [5, 7, 8], [13, 19])):
+        (src / f"{n}.json").write_text("\n".join(json.dumps({"ts": f"2024-01-01T{h:02}:30:00Z", "value": 1.0}) for h in hours))
+        stream = spark.readStream.schema("ts timestamp, value double").json(f"file://{src}")
+        refresh.forecast_stream(stream, serving, f"file://{tmp_path}/cp", "6 hours").awaitTermination()
+    kept = sorted((r.id, r.revision) for r in serving.read().collect())
+    assert [i[11:13] for i, _ in kept] == ["06", "12"] and [n for _, n in kept] == [2, 1]
+
+
 def test_half_range_holds_the_range(spark):
     rows = spark.createDataFrame([(0.1, 0.1), (-70000.0, 70000.0), (1e-9, 1e-9), (1234.567, 1234.568), (0.0, 0.0)], "a double, b double")
-    for r in rows.select("a", "b", S.half_range("a", "b").alias("h")).collect():
-        assert r.h.lo <= max(r.a, -65504) and r.h.hi >= min(r.b, 65504)
-        assert np.float64(np.float16(r.h.lo)) == r.h.lo and np.float64(np.float16(r.h.hi)) == r.h.hi
+    values = [*np.random.default_rng(1).normal(size=300).tolist(), *(np.random.default_rng(2).normal(size=300) * 1e4).tolist(), *[2.0**e * (1 + d) for e in range(-30, 17) for d in (-2e-16, 0.0, 3e-16, 1e-4)]]
+    rows = rows.unionByName(spark.createDataFrame([(v * s, v * s) for v in values for s in (1.0, -1.0)], "a double, b double"))
+    low, high = S.half_range(F.col("a"), F.col("b"))
+    for r in rows.select("a", "b", low.alias("lo"), high.alias("hi")).collect():
+        a, b = max(min(r.a, 65504), -65504), max(min(r.b, 65504), -65504)
+        assert r.lo <= a and r.hi >= b
+        assert np.float64(np.float16(r.lo)) == r.lo and np.float64(np.float16(r.hi)) == r.hi
+        # no half-precision number is nearer
+        assert float(np.nextafter(np.float16(r.lo), np.float16(np.inf))) > a or r.lo == 65504
+        assert float(np.nextafter(np.float16(r.hi), np.float16(-np.inf))) < b or r.hi == -65504
 
 
 def test_obj_and_missing_vectors(spark):
     lines = [(i, s) for i, s in enumerate(["v 0 0 0", "v 1 0 0", "v 0 1 0", "usemtl m", "f 1/1 2/2 3/3", "f 3 2 1"])]
     v, f = tables.obj_mesh(spark.createDataFrame(lines, "n int, line string"))
     assert v.count() == 3 and {r.material for r in f.collect()} == {"m"}
+    name = "long " * 400
+    text = ["v 1e-5 -2.5E2 .5", "v 1 2 x", "v 0 0 1 1", "v 0 1 1", f"usemtl {name}", "f 1 2/1 3//2 4", "v 5 5 5", "f -1 -2 -3", "f 1 2", "v 9 9 9", "f 1 -1 2 3 4"]
+    for block in (1 << 16, 3):
+        v, f = tables.obj_mesh(spark.createDataFrame(list(enumerate(text)), "n int, line string"), block=block)
+        assert sorted(tuple(r) for r in v.collect())[:2] == [(1, 1e-5, -250.0, 0.5), (2, 1.0, 2.0, None)]
+        assert sorted(tuple(r) for r in f.collect()) == [(i + 1, *c, name.strip()) for i, c in enumerate([(1, 2, 3), (1, 3, 4), (5, 4, 3), (1, 6, 2), (1, 2, 3), (1, 3, 4)])]
     assert tables.vector_or_empty(spark, "/nowhere/at/all.parquet", "fid long").count() == 0
     with pytest.raises(ValueError):
         tables.check_unique(spark.createDataFrame([(1,), (1,)], "id int"), ["id"])
@@ -215,3 +288,97 @@ def test_interpolating_resampling(spark, method, scale):
                 w = {c: kernels[name](abs((x + 0.5) * scale - c[0] - 0.5) / wide) * kernels[name](abs((y + 0.5) * scale - c[1] - 0.5) / wide) for c in cells}
                 want[x, y] = sum(w[c] * cells[c] for c in cells) / sum(w.values())
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_windows_across_blocks_against_plain_ones(spark):
+    r = np.random.default_rng(3)
+    cells = {(int(x) - 8, int(y) - 8): (float(r.integers(100)) if r.random() < 0.8 else None, int(r.integers(2) * 255)) for x in range(20) for y in range(20) if r.random() < 0.85}
+    df = spark.createDataFrame([(x, y, z, m) for (x, y), (z, m) in cells.items()], "px int, py int, z double, mask int")
+    ring = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    near = lambda p: {o: cells[p[0] + o[0], p[1] + o[1]] for o in ring if (p[0] + o[0], p[1] + o[1]) in cells}
+    for shift in (1, 2, 6):
+        w = raster.around(df, ["z"], shift=shift).agg(F.count(F.lit(1)).alias("n"), raster.at("z", 1, -1).alias("v"))
+        got = {(x.px, x.py): (x.n, x.v) for x in w.collect()}
+        spots = {(x - dx, y - dy) for x, y in cells for dx, dy in ring}
+        assert got == {p: (len(near(p)), near(p).get((1, -1), (None,))[0]) for p in spots}
+    filled = {(x.px, x.py): x.z for x in raster.fill_holes(df).collect()}
+    want = {}
+    for p, (z, m) in cells.items():
+        if z is None and m:
+            v = [c[0] for o, c in near(p).items() if o != (0, 0) and c[0] is not None]
+            want[p] = round(sum(v) / len(v), 3) if v else None
+    assert filled.keys() == want.keys() and all(filled[p] == pytest.approx(want[p], abs=1e-3) for p in want)
+    assert {(x.px, x.py): x["mask"] for x in raster.erode(df).collect()} == {p: min(c[1] for c in near(p).values()) for p, (_, m) in cells.items() if m}
+    assert {(x.px, x.py) for x in raster.dilate(df, 2).collect()} == {(x + dx, y + dy) for (x, y), (_, m) in cells.items() if m for dx in range(-2, 3) for dy in range(-2, 3)}
+    assert raster.fill_holes(df.limit(0)).count() == 0
+
+
+def test_a_neighbourhood_shuffles_little_more_than_its_table(spark):
+    df = spark.range(256 * 256).select((F.col("id") % 256).cast("int").alias("px"), F.expr("CAST(id DIV 256 AS INT)").alias("py"), F.col("id").cast("double").alias("z"), F.lit(255).alias("mask"))
+    plan = raster.erode(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan
+    copies = df.withColumn("b", F.explode(F.sequence(F.shiftright(F.col("px") - 1, 6), F.shiftright(F.col("px") + 1, 6)))).count()
+    assert copies < 1.04 * 256 * 256
+
+
+def test_pair_checks_name_each_violation(spark):
+    index = spark.createDataFrame([(0, 0, 0, 3), (1, 0, 0, 3), (1, 1, 0, 1), (2, 0, 0, 1)], "lod int, x int, y int, flags int")
+    rows = [(0, 0, 0, 0.0, 9.0), (1, 0, 0, -1.0, 5.0), (2, 0, 0, 1.0, 2.0), (1, 1, 1, 1.0, 2.0), (3, 7, 7, 1.0, 2.0)]
+    got = {(r.kind, r.lod, r.x, r.y) for r in pyramid.check_pair(index, spark.createDataFrame(rows, "lod int, x int, y int, min_z double, max_z double")).collect()}
+    assert got == {
+        ("unreachable payload", 1, 1, 1), ("unreachable payload", 3, 7, 7), ("payload without parent", 3, 7, 7), ("parent does not contain child", 1, 0, 0),
+        ("tile without payload", 1, 1, 0), ("watertight with some children", 0, 0, 0), ("watertight with some children", 1, 0, 0),
+    }
+
+
+def test_heights_are_coded_by_mode_and_priority(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "px int, py int, z double")
+    stack = [catalogue.Raster(cells([(0, 0, 1.0), (1, 0, None)]), 10.0, 10.0, 1.0), catalogue.Raster(cells([(0, 0, 2.0)]), 0.0, 0.0, 20.0)]
+    points = [(f"{m}{k}", m, x, y, z) for m in ("always", "auto", "never") for k, (x, y, z) in enumerate([(10.5, 10.5, None), (11.5, 10.5, 7.0), (99.0, 0.0, 8.0), (99.0, 0.0, None), (None, 1.0, 3.0)])]
+    df = spark.createDataFrame(points, "k string, mode string, x double, y double, z double")
+    got = {r.k: r.z for r in catalogue.height_code(df, stack, F.col("mode")).collect()}
+    assert got == {
+        "always0": 1.0, "always1": 2.0, "always2": 8.0, "always3": None, "always4": 3.0, "auto0": 1.0, "auto1": 7.0, "auto2": 8.0, "auto3": None, "auto4": 3.0,
+        "never0": None, "never1": 7.0, "never2": 8.0, "never3": None, "never4": 3.0,
+    }
+
+
+def test_what_is_malformed_fails(spark):
+    a = spark.createDataFrame([(1, 1, ["x"]), (2, 1, ["y"])], "k int, revision int, credits array<string>")
+    with pytest.raises(Exception, match="no imagery for 2"):
+        catalogue.compose(a, a.where("k = 1"), ["k"]).collect()
+    nodes = spark.createDataFrame([(1, 0, 0, "a", 0.0, 0.0, 1.0, 1.0), (2, 0, 0, "a", 0.0, 0.0, 1.0, 1.0), (1, 1, 0, "b", 1.0, 0.0, 2.0, 1.0)], "lod int, x int, y int, srs string, xmin double, ymin double, xmax double, ymax double")
+    for content, said in (("a", "one level"), ("c", "no root node"), (None, "single-rooted")):
+        with pytest.raises(Exception, match=said):
+            catalogue.matrix_roots(nodes, content).collect()
+    assert catalogue.matrix_roots(nodes.where("lod = 2"), None).first().lod == 2
+    with pytest.raises(Exception, match="no processing"):
+        spark.range(1).select(catalogue.parse_definition(F.lit('{"dataset":"d"}'), "tms-gdaldem").alias("d")).collect()
+
+
+def test_rings_and_segments_are_clipped(spark):
+    box = (0.0, 0.0, 10.0, 10.0)
+    rings = {"inside": [(1, 1), (3, 1), (3, 3)], "outside": [(20, 20), (30, 20), (30, 30)], "around": [(-5, -5), (15, -5), (15, 15), (-5, 15)], "corner": [(-5, 5), (5, -5), (15, 5), (5, 15)], "half": [(5, -5), (15, 5), (5, 5)]}
+    df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in v]) for k, v in rings.items()], "k string, ring array<struct<x:double,y:double>>")
+    got = {r.k: r.a for r in df.select("k", geometry.ring_area(geometry.clip_ring(F.col("ring"), box)).alias("a")).collect()}
+    step = 0.05
+    at = np.arange(step / 2, 10, step)
+    for k, ring in rings.items():
+        n = 0
+        for x in at:
+            cross = []
+            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+                if (ax > x) != (bx > x):
+                    cross.append(ay + (x - ax) / (bx - ax) * (by - ay))
+            cross = np.clip(sorted(cross), 0, 10)
+            n += sum(b - a for a, b in zip(cross[::2], cross[1::2], strict=True)) * step
+        assert got.get(k, 0) == pytest.approx(n, abs=0.05)
+    lines = spark.createDataFrame([(0, -5.0, 5.0, 15.0, 5.0), (1, 2.0, 2.0, 3.0, 3.0), (2, 11.0, 0.0, 11.0, 9.0), (3, 5.0, 5.0, 5.0, 50.0), (4, 4.0, 4.0, 4.0, 4.0), (5, -1.0, 9.0, 2.0, 12.0)], "k int, a double, b double, c double, d double")
+    cut = {r.k: r.l and tuple(r.l) for r in lines.select("k", geometry.clip_segment(*[F.col(c) for c in "abcd"], box).alias("l")).collect()}
+    assert cut == {0: (0.0, 5.0, 10.0, 5.0), 1: (2.0, 2.0, 3.0, 3.0), 2: None, 3: (5.0, 5.0, 5.0, 10.0), 4: (4.0, 4.0, 4.0, 4.0), 5: (0.0, 10.0, 0.0, 10.0)}
+
+
+def test_colour_png_round_trip():
+    for channels in (3, 4):
+        image = (np.arange(4 * 6 * channels).reshape(4, 6, channels) * 41 % 256).astype(np.uint8)
+        assert (png.decode(png.encode(image)) == image).all()
