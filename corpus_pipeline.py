@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, near-duplicates, decontamination, packing."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, packing.
+
+Every stage takes any documents (doc_id, text and other columns, whatever their names, which come through): null and empty
+texts, repeated rows, null ids, texts of any length (read whole) and empty tables, which stay empty. What each of these
+gives is said by the stage's operator.
+"""
 
 from __future__ import annotations
 
