@@ -296,7 +296,7 @@ def _fitted(held):
 
         def merged(parts: list) -> list[np.ndarray]:
             rows, back = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            return [rows, *(np.bincount(back, weights=np.concatenate([x[i] for x in parts])) for i in (1, 2, 3))]
+            return [rows, *(np.bincount(back, weights=np.concatenate([x[i] for x in parts])).astype(np.float64) for i in (1, 2, 3))]
 
         def out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(x[0]), 50_000):
@@ -339,7 +339,8 @@ def _weighed(held):
         for b in batches:
             n = np.diff(b.column(1).offsets.to_numpy())
             x = held.value[b.column(1).flatten().to_numpy() % TAILS, b.column(2).flatten().to_numpy()]
-            more = np.bincount(np.repeat(np.arange(len(n)), n), weights=x, minlength=len(n))
+            # without any word, bincount gives whole numbers
+            more = np.bincount(np.repeat(np.arange(len(n)), n), weights=x, minlength=len(n)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(more)], ["row", "more"])
 
     return run
