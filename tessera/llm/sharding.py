@@ -6,6 +6,7 @@ weighs more than a set part of a shard, and, while it looks for cuts, histograms
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, insort
 from math import ceil, log2
 
@@ -25,7 +26,12 @@ Part = tuple[bytes, int, int, int]
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
+    """A small table of rows, as a literal of the plan: no Python on the executors. Binary values are bytes."""
+    fields = [f.split() for f in schema.split(", ")]
+    text = json.dumps([{n: v.hex() if isinstance(v, bytes) else v for (n, _), v in zip(fields, r, strict=True)} for r in rows])
+    kinds = ", ".join(f"{n}: {'string' if k == 'binary' else k}" for n, k in fields)
+    df = spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{kinds}>>")).alias("r"))
+    df = df.select(*[(F.unhex(f"r.{n}") if k == "binary" else F.col(f"r.{n}")).alias(n) for n, k in fields])
     return F.broadcast(df) if len(rows) <= _SMALL else df
 
 
