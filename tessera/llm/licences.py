@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import product
 from pathlib import Path
 
@@ -110,19 +111,22 @@ _COMMENT = r"[ \t*#/;-]*"
 _SIGN = r"(?:\(c\)|©)"
 _YEAR = r"[\[<{]?(?:[0-9]{4}|y{4}|year)"
 _STATED = rf"(?m)^{_COMMENT}(?:copyright[ \t:]*(?:{_SIGN}|{_YEAR}|[\[<{{]|by\b)|{_SIGN}[ \t]*(?:{_YEAR}|copyright\b)|©)[^\r\n]*$"
-_HOLDER = rf"(\A|\n{_COMMENT}\r?\n)(?:{_COMMENT}copyright[ \t]+(?!notice|holder|owner|law|licen[cs]e|statement|and\b|or\b|in\b|is\b)[^\r\n]*(?:\r?\n|\z))+"
+_PROSE = r"notice|holder|owner|law|licen[cs]e|statement|and\b|or\b|in\b|is\b"
+_HOLDER = rf"(?:\A|(?<=\A|\n){_COMMENT}\r?\n)(?:{_COMMENT}copyright[ \t]+(?!{_PROSE})[^\r\n]*(?:\r?\n|\z))+"
 
 
 def canonical(text: Column) -> Column:
-    """A-Z lower-cased; lines that state a copyright dropped, but not those where a line of prose begins so; everything but letters, digits and what lies beyond
-    ASCII to single spaces; equivalent spellings unified."""
+    """A-Z lower-cased; lines that state a copyright dropped, but not those where a line of prose begins so; everything but
+    letters, digits and what lies beyond ASCII to single spaces; equivalent spellings unified, word by word."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     out = F.regexp_replace(F.regexp_replace(out, _STATED, ""), _HOLDER, "\n\n")
     out = F.regexp_replace(out, r"https?://(www\.)?", " ")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—]+", " ")), F.lit(" "))
+    # each word has blanks of its own, so that neighbours are both replaced
+    out = F.replace(out, F.lit(" "), F.lit("  "))
     for other, kept in SPELLINGS:
-        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {kept} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {other} ".replace(" ", "  ")[1:-1]), F.lit(f" {kept} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.regexp_replace(out, " +", " "))
 
 
 def digest(text: Column) -> Column:
@@ -132,7 +136,9 @@ def digest(text: Column) -> Column:
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """(digest, licence) of known texts, each digest once (the smaller name where two share it). Empty texts are
     none."""
-    table = spark.createDataFrame(known, "licence string, text string").select(digest(F.col("text")).alias("digest"), "licence", canonical(F.col("text")).alias("c"))
+    rows = F.from_json(F.lit(json.dumps([{"licence": n, "text": t} for n, t in known])), "array<struct<licence: string, text: string>>")
+    # a literal of the plan: no Python on the executors
+    table = spark.range(1).select(F.inline(rows)).select(digest(F.col("text")).alias("digest"), "licence", canonical(F.col("text")).alias("c"))
     return table.where("c <> ''").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
@@ -141,8 +147,9 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", broadcast_rows:
     no known digest is equal).
 
     The known digests are broadcast where they are at most broadcast_rows, and else joined by a shuffle. Null and
-    wordless texts have the digest of the empty text and no licence. Repeated rows match each. Input columns with
-    these names are replaced.
+    wordless texts have the digest of the empty text and no licence. Repeated rows match each. Very long texts are read
+    whole. An empty table, of documents or of digests, gives no rows or no licences. Input columns with these names are
+    replaced.
     """
     docs = docs.drop("digest", "n_canonical", "licence")
     small = known.limit(broadcast_rows + 1).count() <= broadcast_rows
@@ -157,18 +164,29 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same rows by another way: lines and words are tables, where a line or a word is kept or changed by itself."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
-    out = rf"regexp_replace({out}, '(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\r\n]*$', ' ', 'g')"
-    out = rf"regexp_replace({out}, 'https?://(www\.)?', ' ', 'g')"
-    out = rf"' ' || trim(regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—]+', ' ', 'g')) || ' '"
+    known = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in KNOWN)
+    singles = {o: k for o, k in SPELLINGS if " " not in o and " " not in k}
+    spelt = "MAP {" + ", ".join(f"{quote(o)}: {quote(k)}" for o, k in singles.items()) + "}"
+    said = f"array_to_string(list_transform(w, lambda x: coalesce({spelt}[x], x)), ' ')"
     for other, kept in SPELLINGS:
-        out = f"replace({out}, ' {other} ', ' {kept} ')"
-    rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in KNOWN)
-    return f"""
-WITH known AS (SELECT c, min(licence) AS licence FROM (SELECT licence, trim({out}) AS c FROM (VALUES {rows}) AS k(licence, text)) WHERE c <> '' GROUP BY c),
-d AS (SELECT doc_id, trim({out}) AS c FROM documents)
-SELECT d.doc_id, sha256(d.c) AS digest, CAST(length(d.c) AS BIGINT) AS n_canonical, k.licence FROM d LEFT JOIN known k ON k.c = d.c
+        if other not in singles:
+            said = f"regexp_replace({said}, '\\b{other}\\b', '{kept}', 'g')"
+    stated = _STATED.removeprefix("(?m)")
+    return rf"""
+WITH t AS (SELECT 'd' AS side, doc_id AS k, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents
+  UNION ALL SELECT licence, row_number() OVER (), translate(text, '{_UPPER}', '{_LOWER}') FROM (VALUES {known}) AS v(licence, text)),
+l AS (SELECT side, k, i, string_split(t, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM t)),
+f AS (SELECT *, regexp_matches(line, '{stated}') OR regexp_matches(line, '^{_COMMENT}\r?$') AS bare,
+  regexp_matches(line, '^{_COMMENT}copyright[ \t]+') AND NOT regexp_matches(line, '^{_COMMENT}copyright[ \t]+({_PROSE})') AS holds, regexp_matches(line, '{stated}') AS stated FROM l),
+p AS (SELECT *, count(*) FILTER (bare) OVER (PARTITION BY side, k ORDER BY i) AS para FROM f),
+r AS (SELECT *, count(*) FILTER (NOT holds AND NOT bare) OVER (PARTITION BY side, k, para ORDER BY i) AS prose FROM p),
+j AS (SELECT side, k, string_agg(line, ' ' ORDER BY i) FILTER (NOT stated AND NOT (holds AND prose = 0)) AS t FROM r GROUP BY 1, 2),
+w AS (SELECT side, k, regexp_extract_all(regexp_replace(coalesce(t, ''), 'https?://(www\.)?', ' ', 'g'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—]+') AS w FROM j),
+c AS (SELECT side, k, {said} AS c FROM w),
+known AS (SELECT c, min(side) AS licence FROM c WHERE side <> 'd' AND c <> '' GROUP BY 1)
+SELECT k AS doc_id, sha256(c.c) AS digest, CAST(length(c.c) AS BIGINT) AS n_canonical, known.licence FROM c LEFT JOIN known USING (c) WHERE side = 'd'
 """
 
 
