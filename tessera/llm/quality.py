@@ -129,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     """Fits on at most about max_labelled labelled rows, chosen by a hash of their doc_id (the documented bound of
     the sample; all rows where there are fewer). Rows whose crc32(doc_id) mod 4 is 2 are held out. Null labels and
     labels other than 0 and 1 are skipped. A doc_id labelled twice alike counts once, one that repeats in docs
-    as often, within twice max_labelled rows in all: beyond that, those of the smallest hashes of doc_id and text."""
+    as often, within twice max_labelled rows in all: beyond that, those of the smallest hashes of doc_id and text. Null
+    texts count as empty, very long ones are read whole; other columns play no part, whatever their names; an empty table
+    of either kind gives a ranker that finds all alike."""
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col(doc).alias("_doc"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND _doc IS NOT NULL").distinct()
     if held_out:
@@ -147,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
 
 
 def score(docs: DataFrame, model: Ranker, text: str = "text", cut: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 where score >= cut). Null text counts as empty and is scored too;
-    input columns named score or predicted are replaced; repeated rows have equal scores."""
+    """docs with score (0 to 1) and predicted (1 where score >= cut). Null text counts as empty and is scored too; very
+    long texts are read whole; input columns named score or predicted are replaced; repeated rows have equal scores; an
+    empty table gives no rows."""
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from math import log10
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -578,6 +579,36 @@ def test_licences_in_any_wrapping(spark):
     assert not [(r.name, r.text[:80]) for r in got]
 
 
+def test_licences_equal_their_sql(spark, tmp_path):
+    texts = [t for _, t in licences.KNOWN]
+    heads = ["", "Copyright (c) 2020 A\n", "MIT License\n\nCopyright The A Authors\n\nCopyright B Inc.\n\n", "# Copyright by C\n#\n", "\n\ncopyright notice\n\n"]
+    rows = [h + form(t) for t in texts for h in heads for form in (str, str.upper, lambda t: textwrap.fill(t, 71), lambda t: t.replace("license", "licence").replace("\n", "\r\n"))]
+    rows += ["licence licence  licence", "per cent per cent copyright holder copyright holder", "", None, " \n", "© me\nlicence", "x copyright y", "é http://www.b.c Licence"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = licences.scan(df, licences.known_digests(spark)).select("doc_id", "digest", "n_canonical", "licence").collect()
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(f"SELECT doc_id, digest, n_canonical, licence FROM ({licences.OP3_SQL})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {w[3] for w in want} == {n for n, _ in licences.KNOWN} | {None} and sum(w[3] is not None for w in want) > 100
+
+
+def test_very_long_texts(spark):
+    text = prose(12, 450_000)
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "short text")], "doc_id long, text string")
+    assert len(text) > 3_000_000
+    bench = spark.createDataFrame([(1, " ".join(text.split()[300_000:300_015]))], "item_id long, text string")
+    hits = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(df, bench).collect()}
+    assert hits[1] == hits[2] >= 15 and hits[3] == 0
+    assert {r.doc_id: r.component_id for r in neardup.classify(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.n_canonical for r in licences.scan(df, licences.known_digests(spark)).collect()} == {len(text), len(text) + 5, 10}
+    assert Counter(r.doc_id for r in quality.score(df, quality.train(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"), held_out=False)).collect()) == {1: 1, 2: 1, 3: 1}
+    assert {r.doc_id: r["size"] for r in sharding.shard(df, shards=2).collect()} == {1: len(text) + 16, 2: len(text) + 21, 3: 26}
+    tokens = {r.doc_id: (r.n_tokens, r.n_known) for r in lm.score(df, F.col("doc_id") == 2, steps=5).collect()}
+    assert tokens[1] == (450_001, 450_001) and tokens[2] == (450_002, 450_001)
+
+
 def test_licence_query_knows_whole_licences(spark, tmp_path):
     files = sorted((Path(licences.__file__).parent / "licence_texts").glob("*.txt"))
     texts = [(f.stem, f.read_text(encoding="utf-8")) for f in files]
