@@ -10,7 +10,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import png
+from tessera.functions import metatile, png
 from tessera.functions import scalars as S
 from tessera.operators import catalogue as C
 from tessera.operators import pyramid as P
@@ -121,10 +121,11 @@ def coverage_publication(spark, d):
 
 @query("b10_metatile_files", ORACLES["e20_metatiles"])
 def metatile_files(spark, d):
-    P.metatiles(index(spark, d)).write.partitionBy("lod").parquet(path := store.scratch(spark, "metatiles"))
-    read = spark.read.schema("bx int, by int, n long, nodes array<struct<y: int, x: int, flags: int>>, lod int").parquet(path)
-    text = F.array_join(F.transform("nodes", lambda e: F.concat_ws(":", e["y"].cast("string"), e["x"].cast("string"), e["flags"].cast("string"))), " ")
-    return read.select("lod", "bx", "by", "n", text.alias("nodes"))
+    """Metatiles written in their binary form, read again and taken apart."""
+    metatile.metatile_files(P.metatiles(index(spark, d))).write.parquet(path := store.scratch(spark, "metatiles"))
+    nodes = metatile.metatile_nodes(spark.read.parquet(path))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "flags"))), lambda e: F.concat_ws(":", e["y"].cast("string"), e["x"].cast("string"), e["flags"].cast("string")))
+    return nodes.groupBy("lod", "bx", "by").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, " ").alias("nodes"))
 
 
 @query("e15_file_digests", "SELECT n_nationkey AS id, md5(n_name || '|' || n_regionkey) AS digest FROM nation")

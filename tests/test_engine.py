@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import png
+from tessera.functions import metatile, png
 from tessera.functions import scalars as S
 from tessera.operators import catalogue, geometry, pyramid, raster
 from tessera.plans import more_queries, plugins, queries, registry, service_queries, store_queries  # noqa: F401
@@ -382,3 +382,18 @@ def test_colour_png_round_trip():
     for channels in (3, 4):
         image = (np.arange(4 * 6 * channels).reshape(4, 6, channels) * 41 % 256).astype(np.uint8)
         assert (png.decode(png.encode(image)) == image).all()
+
+
+def test_metatile_round_trip():
+    r = np.random.default_rng(7)
+    for order, n in ((5, 300), (0, 1), (2, 0), (3, 64)):
+        side = 1 << order
+        place = r.permutation(side * side)[:n]
+        x, y, flags = 64 + place % side, 96 + place // side, r.integers(0, 256, n)
+        data = metatile.encode(9, order, 64, 96, x, y, flags)
+        lod, bx, by, gx, gy, got = metatile.decode(data)
+        assert (lod, bx, by) == (9, 64, 96) and sorted(zip(y.tolist(), x.tolist(), flags.tolist(), strict=True)) == list(zip(gy.tolist(), gx.tolist(), got.tolist(), strict=True))
+    with pytest.raises(ValueError, match="twice"):
+        metatile.encode(1, 1, 0, 0, np.array([0, 0]), np.array([1, 1]), np.array([1, 1]))
+    with pytest.raises(ValueError, match="no metatile"):
+        metatile.decode(b"PNG")
