@@ -3,7 +3,7 @@
 Counts of all training tokens give the add-one unigram base. The frequent words are classes of their own; the others
 fall into classes by how they end, so that unseen words have a class too. Counts of neighbouring classes over all
 training texts are what the model of classes is trained on. Then every training word of OWN occurrences or more gets a
-context vector and an output vector of its own, where the counts of its neighbours meet: the class after is predicted by the
+context vector and an output vector of its own, where its occurrences (or counts of them) meet: the class after is predicted by the
 word's vector, the word within its class by its output vector and the class before. Both factors are normalised over
 all classes and over all words of the class. Rarer words keep their class's vector and their add-one share.
 """
@@ -25,7 +25,9 @@ HEAD, TAILS = 767, 256
 K = 1 + HEAD + TAILS
 #: Training occurrences from which a word has vectors of its own.
 OWN = 3
-#: An occurrence of a word of the tail classes: row * 2 + 1 (count not broadcast), class before, class after.
+#: What is added, times TAILS, to the tail class of an occurrence: its word's count is not broadcast; its word is frequent.
+RARE, HOT = 1, 2
+#: An occurrence of a word of the tail classes: row * 4 + 2 (count not broadcast) + 1 (learnt), class before, class after.
 PLACE = np.dtype([("row", "<i8"), ("before", "<i2"), ("after", "<i2")])
 #: How often a class stands after a word, or, K higher, before it.
 SEEN = np.dtype([("cls", "<i2"), ("n", "<i4")])
@@ -234,12 +236,6 @@ def output_vectors(seen: np.ndarray, around: np.ndarray, h: np.ndarray, spread=N
     return _output_fit(seen, around, h, spread)[1]
 
 
-def _lists(b: pa.RecordBatch, first: int) -> tuple[np.ndarray, ...]:
-    """The values of the four list columns of occurrences from column `first` on: key, tail class, before, after."""
-    own = b.column(first + 1).flatten().to_numpy()
-    return b.column(first).flatten().to_numpy(), own % TAILS, b.column(first + 2).flatten().to_numpy(), b.column(first + 3).flatten().to_numpy()
-
-
 def _gathered(batches: Iterator[pa.RecordBatch], read, size: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
     """The arrays that read(batch) gives, of about `size` occurrences together."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -269,10 +265,16 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, own, before, after) lists of training rows to (own, key, counts): how often each class stands after and, K
-    higher, before each word of the tail classes."""
-    for key, own, before, after in _gathered(batches, lambda b: _lists(b, 0)):
+    higher, before each frequent word of the tail classes."""
+
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        own = b.column(1).flatten().to_numpy()
+        mine = np.flatnonzero(own // TAILS == HOT)
+        return (b.column(0).flatten().to_numpy()[mine], own[mine] % TAILS, *(b.column(i).flatten().to_numpy()[mine] for i in (2, 3)))
+
+    for key, own, before, after in _gathered(batches, read):
         key, own = np.concatenate([key, key]), np.concatenate([own, own])
         cls = np.concatenate([after.astype(np.int16), before.astype(np.int16) + np.int16(K)])
         order = np.lexsort((cls, key, own))
@@ -286,11 +288,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own[at].astype(np.int32)), pa.array(key[at]), blob], ["own", "key", "counts"])
 
 
-def _word_vectors(held):
-    """(own, key, counts) sorted by them to (key, n, vec, w): each word's training occurrences and, from OWN of them on, its
-    context vector, its norm, its output vector and bias; then rows with n = -1 - (tail class * K + class before): what the
-    words' vectors add to the weight of their class there. A word's counts are summed as they come, so that a task holds
-    no more of a frequent word than of a rare one."""
+def _hot_vectors(held):
+    """(own, key, counts) sorted by them to (key, row, vec, w): each word's context vector, its norm, its output vector and
+    bias; then rows with row = -1 - (tail class * K + class before): what the words' vectors add to the weight of their class
+    there. A word's counts are summed as they come, so that a task holds no more of a frequent word than of a rare one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, h, r, around = held.value
@@ -301,17 +302,12 @@ def _word_vectors(held):
             if t not in spreads:
                 spreads.clear()
                 spreads[t] = _spread(r, np.exp(table[1 + HEAD + t]), True), _spread(_biased(h), around[t] / max(around[t].sum(), 1), False)
-            n = seen[:, :K].sum(1)
-            vec: list[bytes | None] = [None] * len(key)
-            who = np.flatnonzero(n >= OWN)
-            if len(who):
-                d, x = _context_fit(seen[who, :K].astype(np.float32), table[1 + HEAD + t], r, spreads[t][0])
-                e, y = _output_fit(seen[who, K:].astype(np.float32), around[t], h, spreads[t][1])
-                norm = (d @ r.T - x).mean(1, keepdims=True)
-                for i, v in zip(who, np.concatenate([d, norm, e], 1).astype(np.float32), strict=True):
-                    vec[i] = v.tobytes()
-                weight[t] = weight.get(t, 0) + (n[who] + 1) @ np.expm1(y.astype(np.float64))
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), pa.array(vec, pa.binary()), pa.nulls(len(key), pa.float64())], ["key", "n", "vec", "w"])
+            d, x = _context_fit(seen[:, :K].astype(np.float32), table[1 + HEAD + t], r, spreads[t][0])
+            e, y = _output_fit(seen[:, K:].astype(np.float32), around[t], h, spreads[t][1])
+            norm = (d @ r.T - x).mean(1, keepdims=True)
+            vec = [v.tobytes() for v in np.concatenate([d, norm, e], 1).astype(np.float32)]
+            weight[t] = weight.get(t, 0) + (seen[:, :K].sum(1) + 1) @ np.expm1(y.astype(np.float64))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), dtype=np.int64)), pa.array(vec, pa.binary()), pa.nulls(len(key), pa.float64())], ["key", "row", "vec", "w"])
 
         last: tuple[int, int, np.ndarray] | None = None
         for b in batches:
@@ -340,32 +336,118 @@ def _word_vectors(held):
         if last is not None:
             yield fitted(last[0], np.array([last[1]]), last[2][None])
         for t, w in weight.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(K, dtype=np.int64)), pa.array(-1 - (t * K + np.arange(K))), pa.nulls(K, pa.binary()), pa.array(w)], ["key", "n", "vec", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(K, dtype=np.int64)), pa.array(-1 - (t * K + np.arange(K))), pa.nulls(K, pa.binary()), pa.array(w)], ["key", "row", "vec", "w"])
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, held_out, key, own, before, after) to (key, places): the occurrences of words of the tail classes, those of one
-    word together, as many as are gathered at once."""
+def _occurrences(hot: bool):
+    """(row, held_out, key, own, before, after) to (own, key, places): the occurrences of words of the tail classes, of frequent
+    ones or of the others, those of one word together, as many as are gathered at once."""
 
-    def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         own = b.column(3).flatten().to_numpy()
         place = np.empty(len(own), dtype=PLACE)
-        place["row"] = np.repeat(b.column(0).to_numpy() * 2, np.diff(b.column(2).offsets.to_numpy())) + (own >= TAILS)
+        row = b.column(0).to_numpy() * 4 + ~b.column(1).to_numpy(zero_copy_only=False)
+        place["row"] = np.repeat(row, np.diff(b.column(2).offsets.to_numpy())) + 2 * (own // TAILS == RARE)
         place["before"], place["after"] = b.column(4).flatten().to_numpy(), b.column(5).flatten().to_numpy()
-        return b.column(2).flatten().to_numpy(), place
+        mine = np.flatnonzero((own // TAILS == HOT) == hot)
+        return b.column(2).flatten().to_numpy()[mine], own[mine] % TAILS, place[mine]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, own, place in _gathered(batches, read):
+            order = np.lexsort((key, own))
+            key, own, place = key[order], own[order], place[order]
+            first = _starts(own, key)
+            for i, blob in _blobs(place, first):
+                yield pa.RecordBatch.from_arrays([pa.array(own[first[i]].astype(np.int32)), pa.array(key[first[i]]), blob], ["own", "key", "places"])
+
+    return run
+
+
+def _last_run(key: np.ndarray) -> int:
+    """Where the last run of equal keys starts; 0 for none."""
+    other = np.flatnonzero(key != key[-1]) if len(key) else key
+    return int(other[-1]) + 1 if len(other) else 0
+
+
+def _fitted(held):
+    """(own, key, places), all of a word together and sorted, to (row, k, base, score): what the words' counts and own
+    vectors add to rows; and under -1 - (tail class * K + class before), what they add to the weight of their class."""
 
-    for key, place in _gathered(batches, read):
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        first = _starts(key)
-        for i, blob in _blobs(place, first):
-            yield pa.RecordBatch.from_arrays([pa.array(key[first[i]]), blob], ["key", "places"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, h, r, around = held.value
+        weight: dict[int, np.ndarray] = {}
+        spreads: dict[int, tuple] = {}
+
+        def fit(b: pa.RecordBatch) -> list[np.ndarray]:
+            own, key, blobs = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            place = np.frombuffer(b"".join(blobs), dtype=PLACE)
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            word = np.repeat(np.cumsum(new) - 1, [len(x) // PLACE.itemsize for x in blobs])
+            own = own[new]
+            learnt, rare = (place["row"] & 1).astype(np.float32), (place["row"] & 2) > 0
+            n = np.bincount(word, weights=learnt, minlength=len(own))
+            base = np.where(rare, np.log10(n + 1)[word], 0.0)
+            score = base.copy()
+            ends = np.searchsorted(word, np.arange(len(own) + 1))
+            for t in np.unique(own):
+                if t not in spreads:
+                    spreads.clear()
+                    spreads[t] = _spread(r, np.exp(table[1 + HEAD + t]), True), _spread(_biased(h), around[t] / max(around[t].sum(), 1), False)
+                who = np.flatnonzero((own == t) & (n >= OWN))
+                for i in range(0, len(who), 512):
+                    some = who[i : i + 512]
+                    size = ends[some + 1] - ends[some]
+                    at = np.repeat(ends[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    line, before, after = np.repeat(np.arange(len(some)), size), place["before"][at].astype(np.int64), place["after"][at].astype(np.int64)
+                    count = lambda c: np.bincount(line * K + c, weights=learnt[at], minlength=len(some) * K).reshape(-1, K).astype(np.float32)  # noqa: E731, B023
+                    x = context_vectors(count(after), table[1 + HEAD + t], r, spreads[t][0])
+                    y = output_vectors(count(before), around[t], h, spreads[t][1])
+                    score[at] += (x[line, after] + y[line, before]) / np.log(10)
+                    weight[t] = weight.get(t, 0) + (n[some] + 1) @ np.expm1(y.astype(np.float64))
+            return [place["row"] >> 2, rare & (n[word] > 0), base, score]
+
+        def merged(parts: list) -> list[np.ndarray]:
+            rows, back = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            return [rows, *(np.bincount(back, weights=np.concatenate([x[i] for x in parts])).astype(np.float64) for i in (1, 2, 3))]
+
+        def out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(x[0]), 50_000):
+                row, k, base, score = (y[i : i + 50_000] for y in x)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(k.astype(np.int64)), pa.array(base), pa.array(score)], ["row", "k", "base", "score"])
+
+        waiting, size, enough = [], 0, 2 << 20
+        sums: list[list[np.ndarray]] = []
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                waiting.append(b)
+                size += b.nbytes
+            if waiting and (b is None or size >= enough):
+                whole = pa.concat_batches(waiting)
+                key = whole.column(1).to_numpy()
+                # the last word may go on in the next batch
+                cut = len(key) if b is None else _last_run(key)
+                if cut:
+                    sums.append(merged([fit(whole.slice(0, cut))]))
+                waiting = [whole.slice(cut)] if cut < len(key) else []
+                size = sum(x.nbytes for x in waiting)
+                enough = max(2 << 20, 2 * size)
+            if sum(len(x[0]) for x in sums) > 500_000:
+                sums = [merged(sums)]
+                if len(sums[0][0]) > 250_000:
+                    yield from out(sums.pop())
+        if sums:
+            yield from out(merged(sums))
+        for t, w in weight.items():
+            zero = np.zeros(K)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - (int(t) * K + np.arange(K))), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(w)], ["row", "k", "base", "score"])
+
+    return run
 
 
-def _word_scores(held):
-    """(places, n, vec) to (row, k, base, score): what the words' counts and own vectors add to rows."""
+def _hot_scores(held):
+    """(places, vec) of frequent words to (row, k, base, score): what the words' own vectors add to rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, r = held.value
@@ -373,28 +455,20 @@ def _word_scores(held):
         for b in batches:
             if not b.num_rows:
                 continue
-            blobs, vec = b.column(0).to_pylist(), b.column(2).to_pylist()
-            n = b.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            blobs = b.column(0).to_pylist()
             place = np.frombuffer(b"".join(blobs), dtype=PLACE)
             word = np.repeat(np.arange(len(blobs)), [len(x) // PLACE.itemsize for x in blobs])
-            rare = (place["row"] & 1) > 0
-            base = np.where(rare, np.log10(n + 1.0)[word], 0.0)
-            score = base.copy()
-            known = np.array([i for i, v in enumerate(vec) if v is not None], dtype=np.int64)
-            if len(known):
-                own = np.frombuffer(b"".join(vec[i] for i in known), dtype=np.float32).reshape(len(known), -1)
-                line = np.full(len(blobs), -1)
-                line[known] = np.arange(len(known))
-                at = np.flatnonzero(line[word] >= 0)
-                for i in range(0, len(at), 20_000):
-                    some = at[i : i + 20_000]
-                    v, before, after = own[line[word[some]]], place["before"][some], place["after"][some]
-                    x = np.einsum("ij,ij->i", v[:, :dims], r[after]) - v[:, dims]
-                    y = np.einsum("ij,ij->i", v[:, dims + 1 :], h[before])
-                    score[some] += (x + y).astype(np.float64) / np.log(10)
-            rows, back = np.unique(place["row"] >> 1, return_inverse=True)
-            sums = [np.bincount(back, weights=v).astype(np.float64) for v in (rare & (n[word] > 0), base, score)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["row", "k", "base", "score"])
+            own = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float32).reshape(len(blobs), -1)
+            score = np.zeros(len(place))
+            for i in range(0, len(place), 20_000):
+                some = slice(i, i + 20_000)
+                v, before, after = own[word[some]], place["before"][some], place["after"][some]
+                x = np.einsum("ij,ij->i", v[:, :dims], r[after]) - v[:, dims]
+                y = np.einsum("ij,ij->i", v[:, dims + 1 :], h[before])
+                score[some] = (x + y).astype(np.float64) / np.log(10)
+            rows, back = np.unique(place["row"] >> 2, return_inverse=True)
+            zero = np.zeros(len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(np.bincount(back, weights=score).astype(np.float64))], ["row", "k", "base", "score"])
 
     return run
 
@@ -415,11 +489,11 @@ def _weighed(held):
 
 def _scored(held):
     """(row, text) to (row, n_tokens, n_known, base, score, key, own, before, after): sums over what the broadcast
-    tables decide; the words of the tail classes go on to where their occurrences meet. own: the tail class, and TAILS
-    more where the word's count is not broadcast."""
+    tables decide; the words of the tail classes go on to where their vectors are. own: the tail class, and RARE or
+    HOT times TAILS more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, common, table, shares, base_total = held.value
+        heads, common, table, shares, base_total, hot = held.value
         for b in batches:
             out = [[] for _ in range(8)]
             n = []
@@ -442,7 +516,7 @@ def _scored(held):
                 out[3].append(np.add.reduceat(table[before, full] + inner, starts))
                 at = np.flatnonzero(full > HEAD)
                 out[4].append(_with_ends(w, _keys(w), END)[0][at])
-                out[5].append((full[at] - 1 - HEAD + np.where(known[at] < 0, TAILS, 0)).astype(np.int16))
+                out[5].append((full[at] - 1 - HEAD + TAILS * np.where(known[at] < 0, RARE, np.where(known[at] > hot, HOT, 0))).astype(np.int16))
                 out[6].append(before[at].astype(np.int16))
                 out[7].append(full[at + 1].astype(np.int16))
                 n.append(np.diff(np.searchsorted(at, np.append(starts, len(full)))))
@@ -453,7 +527,7 @@ def _scored(held):
     return run
 
 
-def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "doc_id", text: str = "text", steps: int = 300) -> DataFrame:
+def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "doc_id", text: str = "text", steps: int = 300, hot: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     held_out: a condition; the other rows are learnt from, all of them, whole. Tokens are words between ASCII white
@@ -463,9 +537,11 @@ def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "do
     counts as 1 in each class. Both factors add to one.
 
     Words are keyed by 64-bit hashes. The common_words most frequent are broadcast (a fixed bound, about 16 bytes
-    each); the words of the tail classes meet their counts and vectors in a join, so vocabularies of any size are
-    exact. Their context vectors, output vectors and biases are learnt from counts of the classes beside all their training
-    occurrences, of which a word has at most 2 K. Null or
+    each); the words of the tail classes meet their counts and vectors in a shuffle, so vocabularies of any size are
+    exact. Their context vectors, output vectors and biases are learnt there from all their training occurrences, which
+    meet in one task for a word of at most `hot` of them. Words with more (which are broadcast, but for those rarer than all
+    that are) send counts of the classes beside them instead, at most 2 K from a run of occurrences, and their vectors
+    meet the occurrences in a join that may be split; so no task holds more for them. Null or
     empty text: the end alone. Null doc_id is scored; repeated rows each. Very long texts are read whole, in runs of about
     1 MB or the text itself. Other columns play no part, whatever their names. No training rows: every count is 0 and the
     model is uniform over classes. An empty table gives no rows.
@@ -504,7 +580,7 @@ def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "do
     h, r, bias = train_vectors(pairs, class_n, steps=steps)
     table = _table(h, r, bias)
     shares = np.log10(class_n + class_v + 1)
-    held = spark.sparkContext.broadcast((heads, common, table, shares, np.log10(n + v + 1)))
+    held = spark.sparkContext.broadcast((heads, common, table, shares, np.log10(n + v + 1), hot))
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
     part = keyed.select(F.struct("row", "doc_id", "held_out").alias("row"), "text")
     kind = docs.schema[doc].dataType.simpleString()
@@ -517,22 +593,29 @@ def score(docs: DataFrame, held_out, common_words: int = 1 << 20, doc: str = "do
     own = spark.sparkContext.broadcast((table * np.float32(np.log(10)), h.astype(np.float32), r.astype(np.float32), around))
     # the words of a tail class in few tasks, so that the weights they add stay few: about 4,000 words each
     split = F.pmod("key", F.lit(1 + v // (4_000 * TAILS)))
-    seen = part.where("NOT held_out").select("key", "own", "before", "after").mapInArrow(_word_counts, "own int, key long, counts binary")
-    seen = seen.repartition("own", split).sortWithinPartitions("own", "key")
-    words = stash(seen.mapInArrow(_word_vectors(own), "key long, n long, vec binary, w double"), "words")
-    weight = words.where("n < 0").groupBy("n").agg(F.sum("w").alias("w")).toArrow()
-    # a word's vector meets its occurrences in a join, which may be split where a word is hot
-    places = part.select("row", "held_out", "key", "own", "before", "after").mapInArrow(_places, "key long, places binary")
-    vectors = spark.sparkContext.broadcast((_biased(h.astype(np.float32)), r.astype(np.float32)))
-    met = places.join(words.where("n >= 0").select("key", "n", "vec"), "key", "left").select("places", "n", "vec")
-    fitted = met.mapInArrow(_word_scores(vectors), "row long, k long, base double, score double")
+    places = part.select("row", "held_out", "key", "own", "before", "after")
+    # as many tasks as occurrences are worth, where that is more than the session's partitions
+    tasks = n // 4_000_000
+    dealt = [tasks, "own", split] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else ["own", split]
+    fitted = places.mapInArrow(_occurrences(False), "own int, key long, places binary").repartition(*dealt).sortWithinPartitions("own", "key")
+    fitted = stash(fitted.mapInArrow(_fitted(own), "row long, k long, base double, score double"), "fitted")
+    weights = fitted.where("row < 0").select("row", F.col("score").alias("w"))
+    if ((common.values > hot) & (heads.find(common.keys, -1) < 0) & (common.keys != END)).any():
+        seen = part.where("NOT held_out").select("key", "own", "before", "after").mapInArrow(_hot_counts, "own int, key long, counts binary")
+        seen = seen.repartition("own", split).sortWithinPartitions("own", "key")
+        words = stash(seen.mapInArrow(_hot_vectors(own), "key long, row long, vec binary, w double"), "words")
+        weights = weights.unionByName(words.where("row < 0").select("row", "w"))
+        vectors = spark.sparkContext.broadcast((_biased(h.astype(np.float32)), r.astype(np.float32)))
+        met = places.mapInArrow(_occurrences(True), "own int, key long, places binary").join(words.where("row >= 0").select("key", "vec"), "key").select("places", "vec")
+        fitted = fitted.unionByName(met.mapInArrow(_hot_scores(vectors), "row long, k long, base double, score double"))
+    weight = weights.groupBy("row").agg(F.sum("w").alias("w")).toArrow()
     added = np.zeros(TAILS * K)
-    added[-1 - weight.column("n").to_numpy()] = weight.column("w").to_numpy()
+    added[-1 - weight.column("row").to_numpy()] = weight.column("w").to_numpy()
     whole = (class_n + class_v + 1)[1 + HEAD :, None]
     change = spark.sparkContext.broadcast(-np.log10(np.maximum(whole + added.reshape(TAILS, K), 1) / whole))
     weighed = part.select("row", "own", "before").mapInArrow(_weighed(change), "row long, more double")
     zero = F.lit(0.0)
-    more = fitted.unionByName(weighed.select("row", F.lit(0).cast("long").alias("k"), zero.alias("base"), F.col("more").alias("score")))
+    more = fitted.where("row >= 0").unionByName(weighed.select("row", F.lit(0).cast("long").alias("k"), zero.alias("base"), F.col("more").alias("score")))
     more = more.groupBy("row").agg(F.sum("k").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
     out = part.drop("key", "own", "before", "after").join(more, "row")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("k")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("b")).alias("base_score"), (F.col("score") + F.col("s")).alias("score"))
