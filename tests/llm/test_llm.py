@@ -645,10 +645,10 @@ def test_language_model_scores_against_a_plain_one(spark):
     texts += ["", None, "unseen1 head3 rare0xyz unseen2", "rare1xyz " * 5]
     held = lambda d: d % 5 == 2
     got = {}
-    for common_words in (800, 2000):
+    for common_words, hot in ((800, 10**6), (2000, 10**6), (2000, 6), (2000, 2)):
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-        rows = lm.score(df, F.col("doc_id") % 5 == 2, common_words=common_words, steps=40).collect()
-        got[common_words] = {x.doc_id: x.score for x in rows}
+        rows = lm.score(df, F.col("doc_id") % 5 == 2, common_words=common_words, steps=40, hot=hot).collect()
+        got[common_words, hot] = {x.doc_id: x.score for x in rows}
     key = lambda w: int(lm._keys(common.Words([w.encode()], common.SOLID))[0])
     tail = lambda w: int(lm.tail_class(common.Words([w.encode()], common.SOLID))[0])
     words = [[*(t or "").split(), None] for t in texts]
@@ -681,7 +681,7 @@ def test_language_model_scores_against_a_plain_one(spark):
     for w in own:
         added[cls(w)] += (counts[w] + 1) * np.expm1(y[w].astype(float))
     whole = class_n + class_v + 1
-    assert len(own) > 20
+    assert len(own) > 20 and any(counts[w] > 6 for w in own) and any(counts[w] <= 6 for w in own)
 
     def chance(p, w):
         a, c = cls(p), cls(w)
