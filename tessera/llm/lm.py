@@ -74,6 +74,13 @@ class Table:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands in the table; -1 for those that are not there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
     def find(self, keys: np.ndarray, missing) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(keys), missing)
@@ -191,11 +198,14 @@ def _context_fit(seen: np.ndarray, base: np.ndarray, r: np.ndarray, spread=None,
 
     def value(d):
         x = d @ r.T
-        top = (x + base).max(1, keepdims=True)
-        w = np.exp(x + base - top)
+        w = x + base
+        top = w.max(1, keepdims=True)
+        w -= top
+        np.exp(w, out=w)
         z = w.sum(1, keepdims=True)
         norm = top + np.log(z)
-        return (d * total).sum(1) - (n * norm)[:, 0] - prior / 2 * (d * d).sum(1), total - n * (w @ r / z) - prior * d, x - norm
+        x -= norm
+        return (d * total).sum(1) - (n * norm)[:, 0] - prior / 2 * (d * d).sum(1), total - n * (w @ r / z) - prior * d, x
 
     return _climb(np.zeros_like(total), value, lambda g: (g @ u / (n * e + prior)) @ u.T, tries)
 
@@ -215,17 +225,23 @@ def _output_fit(seen: np.ndarray, around: np.ndarray, h: np.ndarray, spread=None
     output_vectors() gives. seen: counts of classes before the words; around: the same of all words of their class."""
     n = seen.sum(1, keepdims=True)
     h, share = _biased(h), around / max(around.sum(), 1)
-    false = noise * n * share
+    false = np.float32(noise) * n * share.astype(np.float32)
+    both = seen + false
     e, u = _spread(h, share, False) if spread is None else spread
     e = e * np.float32(noise / (1 + noise))
 
     def value(d):
         x = d @ h.T
         s = x - np.float32(np.log(noise))
-        odds = np.log1p(np.exp(-np.abs(s)))
-        gain = (seen * (np.minimum(s, 0) - odds)).sum(1) - (false * (np.maximum(s, 0) + odds)).sum(1)
-        true = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        return gain - prior / 2 * (d * d).sum(1), (seen - (seen + false) * true) @ h - prior * d, x
+        t = np.abs(s)
+        np.negative(t, out=t)
+        np.exp(t, out=t)
+        # ln(1 + e^-s) is what a true pair loses, and s more what a false one does
+        lost = np.log1p(t) - np.minimum(s, 0)
+        gain = -np.einsum("ij,ij->i", both, lost) - np.einsum("ij,ij->i", false, s)
+        true = np.where(s >= 0, np.float32(1), t) / (1 + t)
+        true *= both
+        return gain - prior / 2 * (d * d).sum(1), (seen - true) @ h - prior * d, x
 
     return _climb(np.zeros((len(seen), h.shape[1]), dtype=np.float32), value, lambda g: (g @ u / (n * e + prior)) @ u.T, tries)
 
@@ -500,7 +516,9 @@ def _scored(held):
             for _, part in blocks(b.column(1).to_pylist()):
                 w = Words(part, SOLID)
                 cls = _classes(w, heads)
-                count = common.find(_keys(w), -1)
+                keys = _keys(w)
+                place = common.place(keys)
+                count = np.where(place >= 0, common.values[place], -1) if len(common.values) else place
                 full, ends = _with_ends(w, cls, 0)
                 before = np.concatenate([[0], full[:-1]])
                 before[ends[:-1] + 1] = 0
@@ -515,7 +533,8 @@ def _scored(held):
                 out[2].append(np.add.reduceat(base, starts))
                 out[3].append(np.add.reduceat(table[before, full] + inner, starts))
                 at = np.flatnonzero(full > HEAD)
-                out[4].append(_with_ends(w, _keys(w), END)[0][at])
+                # a common word goes on by its place, which is a smaller number than its hash
+                out[4].append(_with_ends(w, np.where(place >= 0, place, keys), END)[0][at])
                 out[5].append((full[at] - 1 - HEAD + TAILS * np.where(known[at] < 0, RARE, np.where(known[at] > hot, HOT, 0))).astype(np.int16))
                 out[6].append(before[at].astype(np.int16))
                 out[7].append(full[at + 1].astype(np.int16))
