@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import threading
@@ -397,3 +398,36 @@ def test_metatile_round_trip():
         metatile.encode(1, 1, 0, 0, np.array([0, 0]), np.array([1, 1]), np.array([1, 1]))
     with pytest.raises(ValueError, match="no metatile"):
         metatile.decode(b"PNG")
+
+
+def test_listings_repeat_once_a_file(spark, tmp_path):
+    key, parts = "parquet.dictionary.page.size", 8
+    r = spark.range(2000).select(F.lit("earth").alias("rf"), F.lit("g").alias("grp"), F.concat(*[F.sha2(F.concat(F.lit(f"{i}-"), F.col("id").cast("string")), 256) for i in range(16)]).alias("resource"), F.lit("tms").alias("type"), F.lit(True).alias("ready"), (F.col("id") * 10).alias("updated"))
+    args = F.when(F.col("id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("id").cast("string")))
+    c = spark.range(480).select("id", F.when(F.col("id") % 4 == 0, "list-resources").otherwise("updated-since").alias("command"), args.alias("args"))
+    listing = "\n".join(sorted(f"earth/tms/g/{x.resource}" for x in r.collect()))
+    assert len(listing) > 1 << 20
+    try:
+        got = catalogue.answer(c, r, 7)
+        each = {x.p: x.n for x in got.where("answer LIKE 'earth%'").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert sum(each.values()) == 120 and max(each.values()) <= 30
+        got.write.parquet(f"file://{tmp_path}/out")
+    finally:
+        spark.conf.unset(key)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert {(x.a, x.n) for x in back.groupBy(F.sha2("answer", 256).alias("a")).agg(F.count(F.lit(1)).alias("n")).collect()} == {(hashlib.sha256(a.encode()).hexdigest(), n) for a, n in ((listing, 120), ("true", 360))}
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < (parts + 2) * len(listing)
+
+
+def test_commands_with_odd_arguments(spark):
+    r = spark.createDataFrame([("earth", "g", "a", "tms", None, 30), ("mars", "g", "b", "tms", True, 10)], "rf string, grp string, resource string, type string, ready boolean, updated long")
+    asked = {
+        ("has-resource", ("earth", "g", "a")): "true", ("has-resource", ("earth", None, "a")): "false", ("has-resource", ("earth", "g", "a", "x")): "error: has-resource expects 3 arguments", ("has-resource", None): "error: has-resource expects 3 arguments",
+        ("is-resource-ready", ("earth", "g", "a")): "false", ("is-resource-ready", ("mars", "g", "b")): "true", ("resource-url", ("mars", "g", "b")): "/mars/tms/g/b/", ("resource-url", ("mars", "g", "c")): "error: no such resource",
+        ("updated-since", ("20", "earth", "g", "a")): "true", ("updated-since", ("20", "mars", "g", "b")): "false", ("updated-since", ("20", "mars", "g", "c")): "false", ("updated-since", ("soon", "mars", "g", "b")): "error: argument is not a number",
+        ("updated-since", ("20",)): "true", ("updated-since", ("30",)): "false", ("updated-since", ("20", "mars")): "error: updated-since expects 1 or 4 arguments", ("list-resources", ("x",)): "error: list-resources expects 0 arguments",
+        ("list-resources", ()): "earth/tms/g/a\nmars/tms/g/b", ("no-such", ("earth", "g", "a")): "error: unknown command no-such", (None, ("earth", "g", "a")): None, ("supports-reference-frame", ("venus",)): "false",
+    }
+    c = spark.createDataFrame([(i, k, None if a is None else list(a)) for i, (k, a) in enumerate(asked)], "id long, command string, args array<string>")
+    assert [x.answer for x in catalogue.answer(c, r, 7).orderBy("id").collect()] == list(asked.values())
+    assert [x.answer for x in catalogue.answer(c.where("command = 'list-resources'"), r.limit(0), 7).orderBy("id").collect()] == ["error: list-resources expects 0 arguments", ""]
