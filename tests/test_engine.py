@@ -10,6 +10,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,6 +420,30 @@ def test_listings_repeat_once_a_file(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < (parts + 2) * len(listing)
 
 
+def test_listings_are_not_compared_for_statistics(spark, tmp_path):
+    keys = ("parquet.dictionary.page.size", "parquet.column.statistics.enabled#answer")
+    r = spark.range(9000).select(F.lit("earth").alias("rf"), F.lit("g").alias("grp"), F.sha2(F.col("id").cast("string"), 256).alias("resource"), F.lit("tms").alias("type"), F.lit(True).alias("ready"), F.col("id").alias("updated"))
+    c = spark.range(60).select("id", F.when(F.col("id") % 3 == 0, "list-resources").when(F.col("id") % 3 == 1, "no-such").alias("command"), F.array().cast("array<string>").alias("args"))
+    listing = "\n".join(sorted(f"earth/tms/g/{x.resource}" for x in r.collect()))
+    bounds = lambda at: [m.row_group(g).column(i).has_column_index for f in at.glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups) for i in range(m.num_columns) if m.row_group(g).column(i).path_in_schema == "answer"]
+    for k in keys:
+        spark.conf.unset(k)
+    try:
+        catalogue.answer(c, r.limit(5), 7).write.parquet(f"file://{tmp_path}/few")
+        assert any(bounds(tmp_path / "few"))
+        catalogue.answer(c, r, 7).write.parquet(f"file://{tmp_path}/out")
+        assert bounds(tmp_path / "out") and not any(bounds(tmp_path / "out"))
+        spark.conf.set(keys[1], "true")
+        catalogue.answer(c, r, 7)
+        assert spark.conf.get(keys[1]) == "true"
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert [back.where(w).count() for w in (F.col("answer") == listing, F.col("answer") == "error: unknown command no-such", F.col("answer").isNull(), F.col("answer") > "zzz")] == [20, 20, 20, 0]
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 10 * len(listing)
+
+
 def test_commands_with_odd_arguments(spark):
     r = spark.createDataFrame([("earth", "g", "a", "tms", None, 30), ("mars", "g", "b", "tms", True, 10)], "rf string, grp string, resource string, type string, ready boolean, updated long")
     asked = {
